@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examweft.llm import chat, dedup, urls
+from examweft.llm import bpe, chat, dedup, packing, urls
 from examweft.llm.common import read, visible
 
 
+def bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.token_pieces(docs, bpe_path()))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT conv_id, turn, role, text FROM VALUES (-1L, 0L, 'user', '{both}'), (-1L, 1L, 'assistant', '{both}') AS t(conv_id, turn, role, text)")
@@ -36,6 +47,12 @@ FROM w GROUP BY conv_id
 """
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), bpe_path())
+    decoded = bpe.decode(encoded, bpe_path(), keep=("doc_id", "n_tokens"))
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -76,7 +93,9 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM t WINDOW w AS (PARTITION BY text)
 """
 
-_QUERIES = {f.__name__: f for f in (op4_chat, op7_urls, op8_exact_dedup)}
+_QUERIES = {f.__name__: f for f in (
+    op2_packing, op4_chat, op6_bpe, op7_urls, op8_exact_dedup,
+)}
 _SQL = {"op4_chat": OP4_SQL, "op7_urls": OP7_SQL, "op8_exact_dedup": OP8_SQL}
 
 
