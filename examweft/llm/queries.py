@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examweft.llm import bpe, chat, dedup, packing, urls
+from examweft.llm import bpe, chat, dedup, licenses, media, packing, pii, urls
 from examweft.llm.common import read, visible
 
 
@@ -15,6 +15,10 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.encode(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(packing.token_pieces(docs, bpe_path()))
@@ -47,6 +51,10 @@ FROM w GROUP BY conv_id
 """
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), bpe_path())
     decoded = bpe.decode(encoded, bpe_path(), keep=("doc_id", "n_tokens"))
@@ -86,6 +94,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("found")
+
+
 OP8_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -94,7 +106,7 @@ FROM t WINDOW w AS (PARTITION BY text)
 """
 
 _QUERIES = {f.__name__: f for f in (
-    op2_packing, op4_chat, op6_bpe, op7_urls, op8_exact_dedup,
+    op1_matroska, op2_packing, op4_chat, op5_licenses, op6_bpe, op7_urls, op8_exact_dedup, op10_pii,
 )}
 _SQL = {"op4_chat": OP4_SQL, "op7_urls": OP7_SQL, "op8_exact_dedup": OP8_SQL}
 
