@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examweft.llm import bpe, chat, dedup, licenses, media, packing, pii, urls
+from examweft.llm import bpe, chat, dedup, jaccard, licenses, media, packing, pii, quality, urls
 from examweft.llm.common import read, visible
 
 
@@ -24,6 +24,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(docs, bpe_path()))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT conv_id, turn, role, text FROM VALUES (-1L, 0L, 'user', '{both}'), (-1L, 1L, 'assistant', '{both}') AS t(conv_id, turn, role, text)")
@@ -94,6 +98,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("found")
 
@@ -106,7 +115,7 @@ FROM t WINDOW w AS (PARTITION BY text)
 """
 
 _QUERIES = {f.__name__: f for f in (
-    op1_matroska, op2_packing, op4_chat, op5_licenses, op6_bpe, op7_urls, op8_exact_dedup, op10_pii,
+    op1_matroska, op2_packing, op3_jaccard, op4_chat, op5_licenses, op6_bpe, op7_urls, op8_exact_dedup, op9_quality, op10_pii,
 )}
 _SQL = {"op4_chat": OP4_SQL, "op7_urls": OP7_SQL, "op8_exact_dedup": OP8_SQL}
 
