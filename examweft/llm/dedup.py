@@ -80,9 +80,10 @@ def _by_text(docs, id_col, text_col, digest, collided, verified, runs, level):
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` whose text no other row with a preferred identifier holds, with all their columns.
+    """The rows of ``docs`` without those whose text a row with a preferred identifier holds; all columns stay.
 
-    Identifiers must be unique for one row of each group to stay; rows that share one stay together.
+    Identifiers should be unique. Rows that share one stay or go together, and stay where any of them would.
     """
-    stay = groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
+    found = groups(docs, id_col, text_col, keep)
+    gone = materialize(found.groupBy(F.col(id_col).alias("_gone")).agg(F.bool_or("kept").alias("kept")).where("not kept").select("_gone"), "gone")
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")

@@ -387,7 +387,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (fewer words: one shingle of all). ``component_id`` is the smallest identifier that links lead to,
     ``class_id`` is the same for documents with equal sets. A null or empty text has no shingles and is a
     component of its own. Rows with equal identifiers are each a document; a null identifier counts as
-    larger than any. An empty table gives an empty result; other columns are ignored.
+    larger than any (a component of such rows only has null). An empty table gives an empty result; other columns are ignored.
     Shingles are compared by 64-bit hashes.
     """
     own = materialize(members(docs, id_col, text_col, k), "members")
@@ -403,5 +403,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that bear the smallest identifier of their component, with all their columns."""
-    stay = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
+    found = near_duplicates(docs, id_col, text_col)
+    stays = F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id")))
+    gone = materialize(found.groupBy(F.col(id_col).alias("_gone")).agg(stays.alias("stays")).where("not stays").select("_gone"), "gone")
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
