@@ -12,7 +12,9 @@ occurrence by a shuffle (several times the input), for texts whose own words are
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -74,10 +76,29 @@ def ragged(flat: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.n
     return flat[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])], ends
 
 
+@cache
+def word_encoder(path: str) -> Callable[[str], list[int]]:
+    """The ids of one word. Where the vocabulary numbers its pieces in the order of the merges that make
+    them, merging by piece number is the same as merging by merge number, and costs a quarter."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab, special = spec["model"]["vocab"], {t["content"]: [t["id"]] for t in spec["added_tokens"]}
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    singles = [i for piece, i in vocab.items() if len(piece) == 1]
+    table, ends = pieces(path)
+    ranks = {table[ends[i] : ends[i + 1]].tobytes(): i for p, i in vocab.items() if p not in special}
+    if made != sorted(set(made)) or max(singles) > made[0] or len(ranks) != len(made) + 256:
+        return lambda word: tokenizer(path).encode(word, add_special_tokens=False).ids
+    bare = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda word: special[word] if word in special else bare(word)
+
+
 def encode_words(path: str, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    each = [e.ids for e in tokenizer(path).encode_batch_fast(distinct, add_special_tokens=False)]
-    bounds = np.concatenate(([0], np.cumsum([len(e) for e in each], dtype=np.int64)))
-    return np.fromiter((i for e in each for i in e), np.uint32, bounds[-1]), bounds
+    each = list(map(word_encoder(path), distinct))
+    bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))))
+    return np.fromiter(chain.from_iterable(each), np.uint32, bounds[-1]), bounds
 
 
 def token_ids(path: str, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
