@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from examweft.llm import dedup, jaccard, packing, pii, quality
-from examweft.llm.common import materialize, read, visible
+from examweft.llm.common import materialize, read, prepare
 from examweft.llm.queries import bpe_path
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    visible(spark)
+    prepare(spark)
     return quality.keep_good(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
@@ -27,20 +27,20 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links connect the one with the smallest doc_id stays."""
-    visible(spark)
+    prepare(spark)
     return jaccard.first_of_each(docs)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is masked, and n_chars follows the text."""
-    visible(spark)
+    prepare(spark)
     masked = pii.redact(docs)
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences."""
-    visible(spark)
+    prepare(spark)
     return packing.pack(packing.token_pieces(docs, bpe_path()))
 
 

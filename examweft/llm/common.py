@@ -18,13 +18,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def visible(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver found it."""
+#: Bytes of rows that go to a Python worker at a time, where the session doesn't say: bounds a task's memory
+#: whatever the length of its texts.
+ARROW_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver found it, and bounds their batches."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(":") if p]
     if root not in paths:
         env["PYTHONPATH"] = ":".join([root, *paths])
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from examweft.llm import bpe, chat, dedup, jaccard, licenses, media, packing, pii, quality, urls
-from examweft.llm.common import read, visible
+from examweft.llm.common import read, prepare
 
 
 def bpe_path() -> str:
@@ -123,7 +123,7 @@ _SQL = {"op4_chat": OP4_SQL, "op7_urls": OP7_SQL, "op8_exact_dedup": OP8_SQL}
 def queries() -> dict:
     def ready(f):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            visible(spark)
+            prepare(spark)
             return f(spark, sf_dir)
 
         return query
