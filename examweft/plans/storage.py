@@ -13,9 +13,9 @@ def upsert(table: DataFrame, rows: DataFrame, key: str = "id", version: str | No
 
     Only the old keys that are replaced move: an anti join, and a window over the new rows.
     """
-    new = rows.select(*table.columns)
-    order = F.desc(version) if version else F.monotonically_increasing_id().desc()
-    newest = new.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_rank = 1").drop("_rank")
+    order = F.desc(version) if version else F.desc("_place")
+    ranked = rows.withColumn("_place", F.monotonically_increasing_id()).withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    newest = ranked.where("_rank = 1").select(*table.columns)
     return table.join(newest.select(key), key, "left_anti").select(*table.columns).unionByName(newest)
 
 
