@@ -121,17 +121,17 @@ def split_by_library(path: str, text: str) -> list[str]:
 
 
 def with_words(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """``keep`` and the words of each text; where the JVM can't split it, ``odd`` has the text instead."""
+    """``keep`` and the words of each text; where the JVM can't split it, ``_odd`` has the text instead."""
     text = whole_text(text_col)
     odd = F.rlike(text, F.lit(UNKNOWN))
-    return df.select(*keep, F.when(~odd, words(text)).alias("words"), F.when(odd, text).alias("odd"))
+    return df.select(*keep, F.when(~odd, words(text)).alias("_words"), F.when(odd, text).alias("_odd"))
 
 
 def stretches(path: str, batch: pa.RecordBatch):
-    """(rows, ids, bounds) for consecutive rows of a batch with ``words`` and ``odd``, a bounded number of words each."""
-    lists = batch.column("words")
-    if batch.column("odd").null_count < batch.num_rows:
-        lists = pa.array([w if o is None else split_by_library(path, o) for w, o in zip(lists.to_pylist(), batch.column("odd").to_pylist(), strict=True)], pa.list_(pa.string()))
+    """(rows, ids, bounds) for consecutive rows of a batch with ``_words`` and ``_odd``, a bounded number of words each."""
+    lists = batch.column("_words")
+    if batch.column("_odd").null_count < batch.num_rows:
+        lists = pa.array([w if o is None else split_by_library(path, o) for w, o in zip(lists.to_pylist(), batch.column("_odd").to_pylist(), strict=True)], pa.list_(pa.string()))
     ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64))
     at = 0
     while at < batch.num_rows:

@@ -166,7 +166,9 @@ def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
     while at < end:
         kind, at = get_number(data, at, keep_marker=True)
         size, at = get_number(data, at)
-        stop = min(end, at + size) if size is not None else _unknown_end(data, kind, at, end)
+        stop = at + size if size is not None else _unknown_end(data, kind, at, end)
+        if stop > end:
+            raise ValueError(f"cut short: the element at byte {at} ends beyond what holds it")
         yield kind, at, stop
         at = stop
 

@@ -3,7 +3,7 @@
 Detectors find plain e-mail addresses, IP addresses, card and phone numbers. A chain of transducers then
 rewrites disguises (look-alike letters and digits, invisible characters, spelled digits, "at" and "dot")
 and keeps for each character of its output where in the source it came from; what the detectors find in
-the rewritten text is mapped back, and added unless plain data of its kind stands there already.
+the rewritten text is mapped back, and added unless it lies within plain data of its kind.
 """
 
 from __future__ import annotations
@@ -86,7 +86,9 @@ _STRANGE = re.compile("[Ͱ-ԯ！-～­​-‍⁠﻿․。٠-٩]")
 _WORD = rf"(?:{'|'.join(DIGIT_WORDS)})"
 _SPELLED = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus[ -]+)?{_WORD}(?:[ ,-]+(?:{_WORD}|dot|point|[0-9](?![0-9])))*[ ,-]+{_WORD}(?![A-Za-z0-9])")
 _SPELLED_ITEM = re.compile(rf"(?i)plus|{_WORD}|dot|point|[0-9]|[ ,-]+")
-_AT = re.compile(r"(?i)\s*(?:\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|<\s*at\s*>)\s*|(?<=[A-Za-z0-9]) +at +(?=[A-Za-z0-9-]+(?:\s*[\[({<]\s*dot\s*[\])}>]\s*| +dot +)[A-Za-z0-9])")
+#: Endings that a spelled-out address must have where "at" and "dot" are plain words (fixed values).
+_ENDINGS = "com|org|net|edu|gov|info|io|co|eu|uk|de|fr|es|it|nl|ch|at|vn|ru|pl|us|ca|au|in|jp"
+_AT = re.compile(rf"(?i)\s*(?:\[\s*at\s*\]|\(\s*at\s*\)|\{{\s*at\s*\}}|<\s*at\s*>)\s*|(?<=[A-Za-z0-9]) +at +(?=[A-Za-z0-9-]+(?:(?:\s*[\[({{<]\s*dot\s*[\])}}>]\s*| +dot +|\.)[A-Za-z0-9-]+)*(?:\s*[\[({{<]\s*dot\s*[\])}}>]\s*| +dot +)(?:{_ENDINGS})(?![A-Za-z0-9-]))")
 _DOT = re.compile(r"(?i)\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(?:dot|\.)\s*\}|<\s*(?:dot|\.)\s*>)\s*|(?<=[A-Za-z0-9]) +dot +(?=[A-Za-z0-9])")
 
 
@@ -161,7 +163,7 @@ def disguised(text: str) -> list[tuple[int, int, str]]:
 def find(text: str) -> tuple[list, list]:
     """Plain spans, and all spans, as (start, kind's place in KINDS, end) in order."""
     base = detect(text)
-    extra = [x for x in disguised(text) if not any(x[1] == y[1] and x[0] < y[2] and y[0] < x[2] for y in base)]
+    extra = [x for x in disguised(text) if not any(x[1] == y[1] and y[0] <= x[0] and x[2] <= y[2] for y in base)]
     return base, sorted({*base, *extra})
 
 
