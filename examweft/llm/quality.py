@@ -130,7 +130,7 @@ def minimise(positive: tuple, unlabelled: tuple, prior: float, steps: int = 400)
     """The weights of least non-negative risk, from the unbiased risk's own minimum on."""
     (n_p, p, pp), (n_u, u, uu) = positive, unlabelled
     p, pp, u, uu = p / n_p, pp / n_p, u / n_u, uu / n_u
-    ridge = RIDGE * np.eye(SIZE)
+    ridge = (RIDGE + 1 / min(n_p, n_u)) * np.eye(SIZE)  # few documents say little
     w = np.linalg.solve(uu + ridge, 2 * prior * p - u)
     rate = 0.5 / np.linalg.eigvalsh(uu + prior * pp + ridge)[-1]
 
