@@ -14,7 +14,7 @@ OPTION = r"(?U)^(?:(?:\(?([A-Da-d])\s*[./])|(?:\(([A-Da-d])\))|(?:\[([A-Da-d])\]
 NUMBER = r"(?iuU)^(\**(?:Câu|Question|[0-9]+)?\s*[0-9]+\**[.:*]*)\s*(.*)"
 INLINE = r"(?iU)(?:\s+|^)[(\[]?([A-D])[)\].]+\s+(.*?)(?=\s+[(\[]?[A-D][)\].]+\s+|$)"
 META = {"title": "Đề Thi Mới", "subject": "Toán Học", "grade": "Lớp 12"}
-LEAST_INLINE = 3
+LEAST_INLINE = 3  # options within a stem count from so many on (W8)
 
 
 def _after_colon(line: Column) -> Column:

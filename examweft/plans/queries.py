@@ -471,7 +471,23 @@ def line_questions(spark, d):
 ROLES = {"title": "section", "h1": "question", "p": "stem", "a": "option_label", "li": "option_text", "ul": "stimulus", "div": "explanation"}
 
 
-@query()
+_ROLES = " ".join(f"WHEN '{t}' THEN '{r}'" for t, r in ROLES.items())
+
+
+@query(rf"""WITH {PAGE_SPANS}, b AS (SELECT doc_id, CASE label {_ROLES} END AS label, regexp_replace(regexp_replace(text, '^[{WS}]+', ''), '[{WS}]+$', '') AS text, row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC, close_order) AS seq FROM spans),
+stim AS (SELECT doc_id, seq, 'stim_' || row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS sid, text FROM b WHERE label = 'stimulus'),
+j AS (SELECT b.*, sid FROM b LEFT JOIN stim USING (doc_id, seq)),
+w1 AS (SELECT *, coalesce(last_value(CASE WHEN label = 'section' THEN text END IGNORE NULLS) OVER w, '') AS section, nullif(last_value(CASE WHEN label IN ('section', 'stimulus') THEN coalesce(sid, '') END IGNORE NULLS) OVER w, '') AS active,
+  coalesce(bool_or(label IN ('question', 'question_label', 'stem')) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS opened FROM j WINDOW w AS (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+w2 AS (SELECT *, count(*) FILTER ((label = 'stem' AND text <> '') OR (label = 'option_text' AND opened)) OVER (PARTITION BY doc_id ORDER BY seq) AS c FROM w1),
+w3 AS (SELECT *, coalesce(lag(c) OVER (PARTITION BY doc_id ORDER BY seq), 0) AS c_before, coalesce(last_value(CASE WHEN label IN ('question', 'question_label') THEN c END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c_head FROM w2),
+w4 AS (SELECT *, count(*) FILTER (label = 'question' OR (label = 'question_label' AND (NOT opened OR c_before > c_head)) OR (label = 'stem' AND NOT opened)) OVER (PARTITION BY doc_id ORDER BY seq) AS q,
+  CASE WHEN label IN ('question', 'question_label', 'stem') THEN active END AS named FROM w3),
+gq AS (SELECT doc_id, q, coalesce(string_agg(nullif(text, ''), ' ' ORDER BY seq) FILTER (label = 'stem'), '') AS stem, count(*) FILTER (label = 'option_text') AS n_opt, arg_max(text, seq) FILTER (label = 'question_label') AS number,
+  arg_min(section, seq) AS section, arg_max(named, seq) FILTER (named IS NOT NULL) AS sid, max(seq) FILTER (named IS NOT NULL) AS last FROM w4 WHERE q > 0 GROUP BY doc_id, q),
+z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY q) AS n FROM gq WHERE stem <> '' OR n_opt > 0)
+SELECT z.doc_id, CAST(n AS INTEGER) AS n, coalesce(number, 'Câu ' || n) AS question_number, stem, CAST(CASE WHEN n_opt = 0 THEN 4 ELSE n_opt END AS INTEGER) AS n_options, z.sid AS stimulus_id,
+  CAST(length(coalesce(stim.text, '')) AS INTEGER) AS stimulus_chars, section FROM z LEFT JOIN stim ON stim.doc_id = z.doc_id AND stim.sid = z.sid AND stim.seq < z.last""")
 def span_questions(spark, d):
     """Page elements in the part of exam labels."""
     found = tokens.spans(page_docs(spark, d), tags=PAGE_TAGS)
@@ -479,7 +495,7 @@ def span_questions(spark, d):
     return parse_spans.parse_spans(found.withColumn("label", roles[F.col("label")])).select("doc_id", "n", "question_number", "stem", F.size("options").alias("n_options"), "stimulus_id", F.length("stimulus_text").alias("stimulus_chars"), "section")
 
 
-@query()
+@query("SELECT doc_id, 'Đề Thi Mới' AS title, 'Toán Học' AS subject, 'Lớp 12' AS grade, 45 AS duration_minutes, 0 AS n_questions FROM documents")
 def markup_exams(spark, d):
     """X18 over text that no one wrote as markup: defaults, and no questions."""
     return markup.parse_markup(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "title", "subject", "grade", "duration_minutes", F.size("questions").alias("n_questions"))
@@ -718,7 +734,11 @@ def submission_times(spark, d):
     return progress.submission_time(starts, submits)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS task_id, epoch_ms(ts) // 1000000 AS ms, CAST(trunc(value) AS INTEGER) AS streamed_tokens FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ms, streamed_tokens) AS i FROM e),
+r AS (SELECT task_id, i, ms, streamed_tokens, ms AS last, true AS passed FROM n WHERE i = 1
+  UNION ALL SELECT n.task_id, n.i, n.ms, n.streamed_tokens, CASE WHEN n.streamed_tokens >= 90 OR n.ms - r.last >= 80 THEN n.ms ELSE r.last END, n.streamed_tokens >= 90 OR n.ms - r.last >= 80 FROM r JOIN n ON n.task_id = r.task_id AND n.i = r.i + 1)
+SELECT task_id, ms, streamed_tokens, 90 AS estimated_tokens FROM r WHERE passed""")
 def throttled(spark, d):
     """what is let through depends on what was let through."""
     rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("task_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("value").cast("int").alias("streamed_tokens"), F.lit(90).alias("estimated_tokens"))
