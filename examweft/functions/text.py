@@ -38,14 +38,14 @@ def contains_text(column: Column, query: str) -> Column:
 def strip_markdown(x: Column) -> Column:
     """Plain text of markdown: headers, emphasis, code, links, quotes and list marks go, in this order."""
     steps = (
-        (r"(?m)^#+\s+", ""),
+        (r"(?mU)^#+\s+", ""),
         (r"(\*\*|__)(.*?)\1", "$2"),
         (r"(\*|_)(.*?)\1", "$2"),
         (r"`([^`]+)`", "$1"),
         (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-        (r"(?m)^\s*>\s+", ""),
-        (r"(?m)^\s*[-*+]\s+", ""),
-        (r"(?m)^\s*[0-9]+\.\s+", ""),
+        (r"(?mU)^\s*>\s+", ""),
+        (r"(?mU)^\s*[-*+]\s+", ""),
+        (r"(?mU)^\s*[0-9]+\.\s+", ""),
     )
     out = F.coalesce(x, F.lit(""))
     for pattern, new in steps:

@@ -503,10 +503,17 @@ def markup_exams(spark, d):
 
 # --- text -----------------------------------------------------------------------------------------
 
-@query()
+_SP = f"[{WS}]"
+_PLAIN = "regexp_replace(regexp_replace(replace(html, '</', '**'), '[<>/]', '*', 'g'), '=', '_', 'g')"
+for _pattern, _new in (("(?m)^#+{s}+", ""), (r"\*\*(.*?)\*\*|__(.*?)__", r"\1\2"), (r"\*(.*?)\*|_(.*?)_", r"\1\2"), ("`([^`]+)`", r"\1"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), ("(?m)^{s}*>{s}+", ""), ("(?m)^{s}*[-*+]{s}+", ""), (r"(?m)^{s}*[0-9]+\.{s}+", "")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern.replace('{s}', _SP)}', '{_new}', 'g')"
+
+
+@query(f"SELECT page_id, md5(regexp_replace(regexp_replace({_PLAIN}, '^{_SP}+', ''), '{_SP}+$', '')) AS plain_md5 FROM pages")
 def plain_texts(spark, d):
-    """Has a back reference, which the oracle's engine lacks."""
-    return table(spark, d, "pages").select("page_id", X.strip_markdown(F.regexp_replace("html", "[<>/]", "*")).alias("plain"))
+    """Tags in the part of emphasis. The SQL spells the back references out."""
+    marked = F.replace(F.regexp_replace(F.replace("html", F.lit("</"), F.lit("**")), "[<>/]", "*"), F.lit("="), F.lit("_"))
+    return table(spark, d, "pages").select("page_id", F.md5(X.strip_markdown(marked)).alias("plain_md5"))
 
 
 @query(rf"""WITH f AS (SELECT doc_id, text, [x FOR x IN [regexp_replace(regexp_replace(y, '^[{WS}]+', ''), '[{WS}]+$', '') FOR y IN string_split(text, chr(10))] IF x <> ''][1] AS line FROM documents)
