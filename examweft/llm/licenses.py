@@ -112,7 +112,7 @@ def scan(text: bytes) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of one text in UTF-8."""
     found = text.translate(_WORDS).split()
     line = (b" " + b" ".join(found) + b" ").decode("latin-1")
-    base, labels, starts, tagged = set(), set(), [], False
+    base, labels, starts, longer, tagged = set(), set(), [], [], False
     for end, phrase in automaton().iter(line):
         if phrase == TAG:
             tagged = True
@@ -120,6 +120,9 @@ def scan(text: bytes) -> tuple:
             base.add(label)
             starts.append(end - len(phrase) - 1)
         else:
+            longer.append((end - len(phrase) - 1, end, phrase))
+    for a, b, phrase in longer:  # "cc by nc" is not "cc by" as well
+        if not any(x <= a and b <= y and (x, y) != (a, b) for x, y, _ in longer):
             labels.add(PHRASES[phrase])
     scores = [FREEDOM[x] for x in base | labels]
     if tagged:

@@ -79,12 +79,20 @@ def detect(text: str) -> list[tuple[int, int, str]]:
 
 #: Look-alikes and what they look like (fixed values): Cyrillic, Greek.
 LOOKALIKES = dict(zip("АВЕКМНОРСТХаеорсухіјѕԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρ", "ABEKMHOPCTXaeopcyxijsdqwABEZHIKMNOPTYXovp", strict=True))
-#: Spelled digits (fixed values).
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Spelled digits in English, German, French and Spanish, from zero to nine (fixed values).
+DIGITS = (
+    "zero one two three four five six seven eight nine",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+)
+DIGIT_WORDS = {word: str(n) for line in DIGITS for n, word in enumerate(line.split())} | {"oh": "0"}
 
 _STRANGE = re.compile("[Ͱ-ԯ！-～­​-‍⁠﻿․。٠-٩]")
-_WORD = rf"(?:{'|'.join(DIGIT_WORDS)})"
-_SPELLED = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus[ -]+)?{_WORD}(?:[ ,-]+(?:{_WORD}|dot|point|[0-9](?![0-9])))*[ ,-]+{_WORD}(?![A-Za-z0-9])")
+_WORD = rf"(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})"
+#: A text without any of these has too few spelled digits for a number.
+_HINTS = tuple(w for w in DIGIT_WORDS if len(w) > 3)
+_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[ -]+)?{_WORD}(?:[ ,-]+(?:{_WORD}|dot|point|[0-9](?![0-9])))*[ ,-]+{_WORD}(?!\w)")
 _SPELLED_ITEM = re.compile(rf"(?i)plus|{_WORD}|dot|point|[0-9]|[ ,-]+")
 #: Endings that a spelled-out address must have where "at" and "dot" are plain words (fixed values).
 _ENDINGS = "com|org|net|edu|gov|info|io|co|eu|uk|de|fr|es|it|nl|ch|at|vn|ru|pl|us|ca|au|in|jp"
@@ -147,7 +155,7 @@ def disguised(text: str) -> list[tuple[int, int, str]]:
     if _STRANGE.search(text):
         plain_characters(m)
         low = m.text.lower()
-    if _SPELLED.search(m.text) if any(w in low for w in ("three", "four", "five", "six", "seven", "eight", "nine", "zero", "two")) else False:
+    if any(w in low for w in _HINTS):
         plain_digits(m)
     if "dot" in low or "(at" in low or "[at" in low or "{at" in low or "( at" in low or "[ at" in low or "[.]" in low or "(.)" in low:
         plain_marks(m)
