@@ -1,9 +1,9 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip), over word shingles of whole texts.
 
 1. Each text becomes a set of shingle hashes; texts with equal sets become one node.
-2. Document frequencies: packed shingles of all nodes are dealt over buckets by hash, and a bucket
-   answers with the shingles that two nodes or more have. A node keeps on only if it shares enough of
-   its own shingles to reach the threshold with anyone: most texts end here.
+2. Document frequencies: packed shingles are dealt over buckets by hash, and a bucket answers with the
+   shingles that two documents or more have. A node keeps on only if it shares enough of its own
+   shingles to reach the threshold with anyone: most texts end here.
 3. Blocks: with shingles ordered from rare to common, two nodes that reach the threshold share one of
    the first few of each (the prefix filter). Nodes that are connected by such shingles form a block.
    No pairs are made here, only one edge for each node and shingle.
@@ -123,8 +123,30 @@ def members(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 # --- document frequencies -------------------------------------------------------------------------
 
+#: Documents and shingles of a slice; a run of one document's shingles in a bucket.
+SLICE_DOCS, SLICE, RUN = 60_000, 1 << 20, 65_535
+_PACKED = "bucket long, slice long, docs binary, counts binary, hashes binary, often binary, keys binary, sizes binary"
+_COLUMNS = [c.split()[0] for c in _PACKED.split(", ")]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_COLUMNS)
+
+
+def _runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The documents of neighbouring entries, and how many entries each has; long runs are cut."""
+    cuts = np.flatnonzero(np.diff(doc, prepend=-1))
+    counts = np.diff([*cuts, len(doc)])
+    if len(counts) and counts.max() > RUN:
+        cuts = np.concatenate([np.arange(c, c + n, RUN) for c, n in zip(cuts, counts, strict=True)])
+        counts = np.diff([*cuts, len(doc)])
+    return doc[cuts].astype(np.uint16), counts.astype(np.uint16)
+
+
 def _packed(docs: DataFrame, text_col: str, k: int, buckets: int) -> DataFrame:
-    """Rows for a bucket and a stretch of documents: nodes, their sizes, how many shingles each has here, and these."""
+    """A slice is some documents of a task. It sends each bucket its shingles there by document (numbered in
+    the slice), and to one bucket the table of its nodes and their sizes, which passes through."""
 
     def run(batches):
         for batch in batches:
@@ -133,88 +155,94 @@ def _packed(docs: DataFrame, text_col: str, k: int, buckets: int) -> DataFrame:
                 if len(s):
                     found[_key(s)] = s
                     held += len(s)
-                if held > STRETCH // 4:
+                if held > SLICE or len(found) >= SLICE_DOCS:
                     yield pack(found)
                     found, held = {}, 0
             if found:
                 yield pack(found)
 
     def pack(found: dict[int, np.ndarray]) -> pa.RecordBatch:
-        sizes = np.array([len(s) for s in found.values()])
-        flat, node = np.concatenate(list(found.values())), np.repeat(np.arange(len(sizes)), sizes)
+        sizes, keys = np.array([len(s) for s in found.values()]), np.array(list(found), np.int64)
+        name = _key(keys)
+        flat, doc = np.concatenate(list(found.values())), np.repeat(np.arange(len(sizes)), sizes)
         bucket = ((flat >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        bucket, node, low = bucket[order], node[order], flat[order].astype(np.uint32)
-        keys, rows = np.array(list(found), np.int64), []
+        bucket, doc, low = bucket[order], doc[order], flat[order].astype(np.uint32)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        rows = [(name % buckets, name, None, None, None, None, keys.tobytes(), sizes.astype(np.uint32).tobytes())]
         for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-            here, counts = np.unique(node[a:b], return_counts=True)
-            rows.append((bucket[a], keys[here].tobytes(), sizes[here].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), low[a:b].tobytes()))
-        cols = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), *[pa.binary()] * 4], strict=True)], names=["bucket", "keys", "sizes", "counts", "hashes"])
+            docs, counts = _runs(doc[a:b])
+            rows.append((bucket[a], name, docs.tobytes(), counts.tobytes(), low[a:b].tobytes(), None, None, None))
+        return _rows(rows)
 
-    texts = docs.select(whole_text(text_col).alias("_text"))
-    return texts.mapInArrow(run, "bucket long, keys binary, sizes binary, counts binary, hashes binary")
+    return docs.select(whole_text(text_col).alias("_text")).mapInArrow(run, _PACKED)
 
 
-def _joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each node the shingles that other nodes have too, and how many nodes have them."""
-    keys, sizes, counts, low = (_joined(table, n, t) for n, t in (("keys", "<i8"), ("sizes", "<u4"), ("counts", "<u4"), ("hashes", "<u4")))
-    nodes, first, place = np.unique(keys, return_index=True, return_inverse=True)
-    entries = np.unique(low.astype(np.uint64) << np.uint64(32) | np.repeat(place, counts).astype(np.uint64))
-    value = (entries >> np.uint64(32)).astype(np.uint32)
+    """Of one bucket: by slice, the shingles that another document has too, and how many documents have them."""
+    passing = table.filter(table.column("keys").is_valid())
+    table = table.filter(table.column("docs").is_valid())
+    if not table.num_rows:
+        return passing
+    docs, counts, low = (_joined(table.column(n), t) for n, t in (("docs", "<u2"), ("counts", "<u2"), ("hashes", "<u4")))
+    row = np.repeat(np.arange(table.num_rows), [len(x.as_buffer()) // 2 for x in table.column("docs")])
+    place = np.repeat(np.arange(len(docs)), counts)
+    order = np.argsort(low, kind="stable")
+    value = low[order]
     cuts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
     often = np.diff([*cuts, len(value)])
-    many = np.repeat(often, often)
+    many = np.empty(len(low), np.int64)
+    many[order] = np.repeat(often, often)
     keep = many > 1
-    value, many, node = value[keep], np.minimum(many[keep], 65535).astype(np.uint16), (entries[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    order = np.argsort(node, kind="stable")
-    value, many, node = value[order], many[order], node[order]
-    cuts = np.flatnonzero(np.diff(node, prepend=-1))
-    ends = np.array([*cuts[1:], len(node)], np.int64)
-    rows = [(value[a:b].tobytes(), many[a:b].tobytes()) for a, b in zip(cuts, ends, strict=True)]
-    here = node[cuts]
-    return pa.table({
-        "key": pa.array(nodes[here], pa.int64()),
-        "n": pa.array(sizes[first[here]], pa.int64()),
-        "bucket": pa.array(np.full(len(here), table.column("bucket")[0].as_py()), pa.int64()),
-        "shared": pa.array(ends - cuts, pa.int64()),
-        "hashes": pa.array([r[0] for r in rows], pa.binary()),
-        "often": pa.array([r[1] for r in rows], pa.binary()),
-    })
+    if not keep.any():
+        return passing
+    low, many, row, doc = low[keep], np.minimum(many[keep], 65_535).astype(np.uint16), row[place[keep]], docs[place[keep]].astype(np.int64)
+    cuts = np.flatnonzero(np.diff(row, prepend=-1))
+    bucket, slices, rows = table.column("bucket")[0].as_py(), table.column("slice").to_pylist(), []
+    for a, b in zip(cuts, [*cuts[1:], len(row)], strict=True):
+        here, n = _runs(doc[a:b])
+        rows.append((bucket, slices[row[a]], here.tobytes(), n.tobytes(), low[a:b].tobytes(), many[a:b].tobytes(), None, None))
+    return pa.concat_tables([passing, pa.Table.from_batches([_rows(rows)])])
 
 
 def suspects(docs: DataFrame, text_col: str, k: int, percent: int, buckets: int) -> DataFrame:
-    """(key, n, tokens, prefix): nodes that share enough; their shared shingles from rare to common, and how many lead."""
-    found = (
-        _packed(docs, text_col, k, buckets)
-        .groupBy("bucket")
-        .applyInArrow(_shared, "key long, n long, bucket long, shared long, hashes binary, often binary")
-        .groupBy("key")
-        .agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.collect_list(F.struct("bucket", "hashes", "often")).alias("parts"))
-        .where(F.col("shared") * 100 >= F.col("n") * percent)
-    )
+    """(key, slice, n, tokens, prefix): nodes that share enough; their shared shingles from rare to common, and how many lead.
 
-    def function(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, prefix = [], []
-        for n, parts in zip(batch.column("n").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-            low = np.concatenate([np.frombuffer(p["hashes"], "<u4").astype(np.int64) | p["bucket"] << 32 for p in parts])
-            often = np.concatenate([np.frombuffer(p["often"], "<u2") for p in parts])
-            tokens.append(low[np.lexsort((low, often))])
-            prefix.append(len(low) + (-n * percent // 100) + 1)  # shingles of its own come first and lead nowhere
-        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(tokens, pa.list_(pa.int64())), pa.array(prefix, pa.int32())], names=["key", "n", "tokens", "prefix"])
+    A node is there once for each slice that has it.
+    """
 
-    return map_batches(found.select("key", "n", "parts"), function, "key long, n long, tokens array<long>, prefix int")
+    def chosen(table: pa.Table) -> pa.Table:
+        named = table.filter(table.column("keys").is_valid())
+        table = table.filter(table.column("docs").is_valid())
+        keys, sizes = _joined(named.column("keys"), "<i8"), _joined(named.column("sizes"), "<u4").astype(np.int64)
+        docs, counts, low, often = (_joined(table.column(n), t) for n, t in (("docs", "<u2"), ("counts", "<u2"), ("hashes", "<u4"), ("often", "<u2")))
+        doc = np.repeat(docs, counts).astype(np.int64)
+        bucket = np.repeat(np.array(table.column("bucket").to_pylist(), np.int64), [len(x.as_buffer()) // 4 for x in table.column("hashes")])
+        shared = np.bincount(doc, minlength=len(keys))
+        enough = shared * 100 >= sizes * percent
+        keep = enough[doc]
+        doc, often, token = doc[keep], often[keep], low[keep].astype(np.int64) | bucket[keep] << 32
+        order = np.lexsort((token, often, doc))
+        picked = np.flatnonzero(enough)
+        n = sizes[picked]
+        bounds = np.concatenate(([0], np.cumsum(shared[picked])))
+        tokens = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), pa.array(token[order], pa.int64())).cast(pa.list_(pa.int64()))
+        prefix = shared[picked] + (-n * percent // 100) + 1  # shingles of its own come first and lead nowhere
+        return pa.table({"key": pa.array(keys[picked], pa.int64()), "slice": pa.array(np.full(len(picked), named.column("slice")[0].as_py())), "n": pa.array(n), "tokens": tokens, "prefix": pa.array(prefix, pa.int32())})
+
+    shared = _packed(docs, text_col, k, buckets).groupBy("bucket").applyInArrow(_shared, _PACKED)
+    return shared.groupBy("slice").applyInArrow(chosen, "key long, slice long, n long, tokens array<long>, prefix int")
 
 
 def blocks(nodes: DataFrame) -> DataFrame:
     """(key, block) for nodes that share a leading shingle with another one."""
     leads = nodes.select("key", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
-    first = materialize(leads.groupBy("token").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("token", "first"), "lists")
+    first = leads.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
+    first = materialize(first.select("token", "first"), "lists")
     edges = leads.join(first, "token").where("key <> first").select(F.col("key").alias("u"), F.col("first").alias("v"))
     return components(edges).select(F.col("node").alias("key"), F.col("root").alias("block"))
 
@@ -346,11 +374,12 @@ def _search_blocks(rows: DataFrame, names: list[str], percent: int, partitions:
 
 
 def links(nodes: DataFrame, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS, block_nodes: int = BLOCK_NODES) -> DataFrame:
-    """(u, v): links between nodes (key, n, tokens, prefix), enough of them that all components are whole."""
+    """(u, v): links between nodes (key, slice, n, tokens, prefix), enough of them that all components are whole."""
     partitions = shuffle_partitions(nodes.sparkSession)
-    placed = blocks(nodes)
+    once = nodes.groupBy("key").agg(F.min("slice").alias("slice"))
+    placed = blocks(nodes).join(once, "key")
     sized = materialize(
-        nodes.join(placed, "key").select("block", "key", "n", "tokens", F.size("tokens").alias("shared")), "blocks"
+        nodes.join(placed, ["key", "slice"]).select("block", "key", "n", "tokens", F.size("tokens").alias("shared")), "blocks"
     )
     cuts = F.greatest(F.ceil(F.sum("shared") / block_tokens), F.ceil(F.count("*") / block_nodes))
     own = F.min(F.struct(((F.col("n") - F.col("shared")) / F.col("n")).alias("own"), "key"))
