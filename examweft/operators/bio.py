@@ -34,13 +34,14 @@ def align(tokens: DataFrame, spans: DataFrame, tags: tuple[str, ...] = BASE_TAGS
     it is a hash or sort-merge join whatever the length of a document.
     """
     clean = trim_spans(spans).where("ce > cs").withColumn("stride", F.explode(F.sequence(F.floor(F.col("cs") / stride), F.floor((F.col("ce") - 1) / stride))))
-    held = tokens.select("doc_id", "pos", "start", F.floor(F.col("start") / stride).alias("stride"))
-    inside = (F.col("start") >= F.col("cs")) & (F.col("start") < F.col("ce"))
-    first = held.join(clean, ["doc_id", "stride"]).where(inside).groupBy("doc_id", "pos").agg(F.min_by(F.struct("label", "cs"), "close_order").alias("s"))
-    tag = F.when(F.col("s.label").isNull(), "O").otherwise(F.concat(F.when(F.col("start") == F.col("s.cs"), "B-").otherwise("I-"), F.col("s.label")))
+    held = tokens.withColumn("stride", F.floor(F.col("start") / stride)).alias("t")
+    holds = (F.col("t.doc_id") == F.col("s.doc_id")) & (F.col("t.stride") == F.col("s.stride")) & (F.col("t.start") >= F.col("cs")) & (F.col("t.start") < F.col("ce"))
+    keys = [F.col(f"t.{c}") for c in (*tokens.columns, "stride")]
+    # The groups hold the join's keys, so that the join's partitioning serves them too.
+    first = held.join(clean.alias("s"), holds, "left").groupBy(*keys).agg(F.min_by(F.struct("label", "cs"), "close_order").alias("span"))
+    tag = F.when(F.col("span.label").isNull(), "O").otherwise(F.concat(F.when(F.col("start") == F.col("span.cs"), "B-").otherwise("I-"), F.col("span.label")))
     ids = F.create_map(*[F.lit(x) for pair in label_ids(tags).items() for x in pair])
-    tagged = tokens.join(first, ["doc_id", "pos"], "left").withColumn("tag", tag)
-    return tagged.select(*tokens.columns, "tag", F.coalesce(F.try_element_at(ids, F.col("tag")), F.lit(0)).alias("label_id"))
+    return first.withColumn("tag", tag).select(*tokens.columns, "tag", F.coalesce(F.try_element_at(ids, F.col("tag")), F.lit(0)).alias("label_id"))
 
 
 def invalid(labelled: DataFrame) -> DataFrame:
