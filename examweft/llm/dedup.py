@@ -1,7 +1,8 @@
 """Exact dedup as a log-structured merge index over text digests, in DataFrame operations only.
 
 Each task is a memtable: it digests its rows, sorts them by digest and flushes them as one sorted run,
-a Parquet file with a Bloom filter and min/max statistics on the digest. Compaction merges the runs:
+a Parquet file with a Bloom filter and min/max statistics on the digest, which serve lookups of given
+texts. Compaction reads every run anyway and merges them:
 one entry for each digest, with the identifier that stays and the number of rows. Digests with more
 than one row are hits; the texts behind them are compared byte for byte by grouping the hits on their
 whole text. Should two texts share a digest, the rows of that digest are resolved by text instead.
@@ -28,7 +29,17 @@ def sha256(text: Column) -> Column:
 def flush(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """The sorted runs: (id, digest), one file for each memtable, filtered by digest."""
     runs = docs.select(F.col(id_col).alias("id"), digest(whole_text(text_col)).alias("digest"))
-    return materialize(runs.sortWithinPartitions("digest", "id"), "runs", **{"parquet.bloom.filter.enabled#digest": "true"})
+    # Digests hardly repeat within a run: a dictionary would gain nothing, and the writer leaves the filter out beside one.
+    options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.enable.dictionary#digest": "false"}
+    return materialize(runs.sortWithinPartitions("digest", "id"), "runs", **options)
+
+
+def lookup(runs: DataFrame, texts: list[str], digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """The (id, digest) entries of a few given texts: the digests reach the scan as an IN list, so that each run's
+    statistics and Bloom filter pass it over where it has none of them."""
+    spark = runs.sparkSession
+    wanted = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(digest(F.col("text"))).collect()]
+    return runs.where(F.col("digest").isin([F.lit(bytes(w)) for w in wanted]))
 
 
 def compact(runs: DataFrame, keep: str = "min") -> DataFrame:

@@ -36,6 +36,16 @@ def test_deduplicate(odd, none):
     assert dedup.groups(none).count() == 0 and dedup.deduplicate(none).count() == 0
 
 
+def test_runs_have_filters_and_answer_lookups(odd):
+    import duckdb
+
+    runs = dedup.flush(odd, "doc_id", "text", dedup.sha256)
+    for path in runs.inputFiles():
+        found = duckdb.sql(f"SELECT bloom_filter_length FROM parquet_metadata('{path.removeprefix('file://')}') WHERE path_in_schema = 'digest'").fetchall()
+        assert all(n for (n,) in found)
+    assert sorted(r.id for r in dedup.lookup(runs, ["Same text here twice", "never seen"]).collect()) == [4, 4, 5]
+
+
 def brute_judge(url, rules, default):
     if url is None or "://" not in url:
         return "", "", None, default
