@@ -25,9 +25,12 @@ import hashlib
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,9 +149,11 @@ def _runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _packed(docs: DataFrame, text_col: str, k: int, buckets: int) -> DataFrame:
     """A slice is some documents of a task. It sends each bucket its shingles there by document (numbered in
-    the slice), and to one bucket the table of its nodes and their sizes, which passes through."""
+    the slice), and to one bucket the table of its nodes and their sizes, which passes through. Its name is
+    of its place (partition, number) and its nodes: a task that runs again makes the same, and no two are equal."""
 
     def run(batches):
+        pack = partial(packed, TaskContext.get().partitionId(), count())
         for batch in batches:
             found, held = {}, 0
             for s in shingle_sets(_texts(batch), k):
@@ -161,9 +166,9 @@ def _packed(docs: DataFrame, text_col: str, k: int, buckets: int) -> DataFrame:
             if found:
                 yield pack(found)
 
-    def pack(found: dict[int, np.ndarray]) -> pa.RecordBatch:
+    def packed(partition: int, number: Iterator[int], found: dict[int, np.ndarray]) -> pa.RecordBatch:
         sizes, keys = np.array([len(s) for s in found.values()]), np.array(list(found), np.int64)
-        name = _key(keys)
+        name = _key(np.concatenate(([partition, next(number)], keys)))
         flat, doc = np.concatenate(list(found.values())), np.repeat(np.arange(len(sizes)), sizes)
         bucket = ((flat >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")

@@ -73,6 +73,19 @@ def test_components(spark, odd, sizes, seed):
     assert all(len(s) == 1 for s in by_class.values())
 
 
+def test_same_rows_in_several_partitions(spark):
+    """Slices with the same nodes are told apart; texts of a similarity of 0.4 do not link."""
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(words[:34] + [f"v{i}" for i in range(18)])
+    assert 0.35 < len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) < 0.45
+    rows = [(i, t) for i, t in enumerate([a, b] * 6)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "doc_id long, text string")
+    got = jaccard.near_duplicates(df).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
+    nodes = jaccard.suspects(df, "text", 5, 75, 4).collect()
+    assert len(nodes) == 12 and all(len(r.tokens) == r.n == len(set(r.tokens)) for r in nodes)
+
+
 def test_odd(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = jaccard.near_duplicates(odd).collect()
