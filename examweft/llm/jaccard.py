@@ -9,10 +9,10 @@
    No pairs are made here, only one edge for each node and shingle.
 4. T-occurrence search in each block: a query's short inverted lists are merged with a heap, which skips
    what can't reach T - L occurrences any more; its L longest lists are only probed by binary search for
-   what the merge found; documents that reach the required overlap are linked. The node that shares most
-   asks first; nodes that are linked to it need not ask again, as they are in one component already.
-   A block beyond a size is cut into sub-blocks: its first query goes to all of them, then those nodes
-   that aren't linked to it do.
+   what the merge found; documents that reach the required overlap are linked. Every node asks, for nodes
+   with larger keys, so that each link is found once; links are counted where they are found, and only
+   those that connect something new are handed on. A block beyond a size is cut into sub-blocks, and its
+   nodes ask all of them.
 5. Components of the links; each document gets the smallest identifier of its component.
 
 What moves by shuffle is 4 bytes a shingle once, then only shared shingles. Very common passages are
@@ -258,47 +258,46 @@ class Lists:
     """Inverted lists of some nodes; nodes are numbered by their place."""
 
     def __init__(self, keys: list[int], sizes: list[int], tokens: list[np.ndarray], percent: int):
-        self.keys, self.sizes, self.tokens, self.percent = keys, sizes, tokens, percent
+        self.keys, self.sizes, self.percent = keys, np.asarray(sizes, np.int64), percent
         flat = np.concatenate(tokens)
         node = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
         order = np.argsort(flat, kind="stable")
         flat = flat[order]
         cuts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        self.values, self.cuts, self.ends, self.nodes = flat[cuts], cuts, np.append(cuts[1:], len(flat)), node[order]
+        self.values, self.ends, self.nodes = flat[cuts], np.append(cuts[1:], len(flat)), node[order]
+        self.places = np.repeat(np.arange(len(cuts)) * len(tokens), np.diff([*cuts, len(flat)])) + self.nodes
 
-    def of(self, tokens: np.ndarray) -> list[list[int]]:
-        """The lists of some tokens, the shortest first."""
+    def of(self, tokens: np.ndarray, after: int = -1) -> list[np.ndarray]:
+        """The lists of some tokens, of nodes beyond ``after`` only, the shortest first; none is empty."""
         at = np.minimum(np.searchsorted(self.values, tokens), len(self.values) - 1)
         at = at[self.values[at] == tokens]
-        lengths = self.ends[at] - self.cuts[at]
-        return [self.nodes[self.cuts[i] : self.ends[i]].tolist() for i in at[np.argsort(lengths, kind="stable")]]
+        begin, end = np.searchsorted(self.places, at * len(self.sizes) + after + 1), self.ends[at]
+        order = np.argsort(end - begin, kind="stable")
+        return [self.nodes[a:b] for a, b in zip(begin[order].tolist(), end[order].tolist(), strict=True) if a < b]
 
-    def search(self, tokens: np.ndarray, n: int) -> list[int]:
-        """The nodes whose Jaccard similarity with a set of size ``n`` reaches the threshold."""
+    def search(self, tokens: np.ndarray, n: int, after: int = -1) -> np.ndarray:
+        """The nodes beyond ``after`` whose Jaccard similarity with a set of size ``n`` reaches the threshold."""
         p = self.percent
         least = -(-n * p // 100)  # the overlap that any partner needs: sizes differ by the threshold at most
-        lists = self.of(tokens)
+        lists = self.of(tokens, after)
         if len(lists) < least:
-            return []
+            return np.zeros(0, np.int64)
         longest = len(lists[-1])
         set_aside = min(least - 1, int(least / (MU * np.log2(longest + 1) + 1)))
         short, long = lists[: len(lists) - set_aside], lists[len(lists) - set_aside :][::-1]
-        found = []
-        for node, count in merge_skip(short, least - set_aside):
-            size = self.sizes[node]
-            if size * 100 < n * p or n * 100 < size * p:
-                continue
-            need = -(-(n + size) * p // (100 + p))
-            left = len(long)
-            for one in long:
-                if count + left < need:
-                    break
-                left -= 1
-                i = bisect_left(one, node)
-                count += i < len(one) and one[i] == node
-            if count >= need:
-                found.append(node)
-        return found
+        merged = np.array(list(merge_skip([one.tolist() for one in short], least - set_aside)), np.int64).reshape(-1, 2)
+        size = self.sizes[merged[:, 0]]
+        fits = (size * 100 >= n * p) & (n * 100 >= size * p)
+        node, count, need = merged[fits, 0], merged[fits, 1], -(-(n + size[fits]) * p // (100 + p))
+        for left, one in zip(range(len(long), 0, -1), long, strict=True):
+            going = count + left >= need
+            if not going.all():
+                node, count, need = node[going], count[going], need[going]
+            if not len(node):
+                break
+            at = np.minimum(np.searchsorted(one, node), len(one) - 1)
+            count = count + (one[at] == node)
+        return node[count >= need]
 
 
 def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
@@ -330,28 +329,33 @@ def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (one[at[i]], i))
 
 
-def _most_shared(sizes: list[int], tokens: list[np.ndarray], keys: list[int]) -> int:
-    return min(range(len(keys)), key=lambda i: (sizes[i] - len(tokens[i])) / sizes[i] if sizes[i] else 1)
+def _links(rows: list[tuple], percent: int) -> list[tuple[int, int, int]]:
+    """(u, v, 0): links of one (sub-)block that connect all that its links connect; (u, u, n): links of ``u`` to documents.
 
-
-def _links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links of one (sub-)block. Rows: key, n, tokens, role; "a": is listed and asks, "i": is listed, "q": asks."""
-    listed = [r for r in rows if r[3] != "q"]
-    asking = [r for r in rows if r[3] == "q"]
-    if not listed:
+    Rows: key, n, docs, tokens, role; "a": is listed and asks, "i": is listed, "q": asks. Each asks for larger
+    keys, so that each link is found once; it counts for both ends.
+    """
+    listed = sorted((r for r in rows if r[4] != "q"), key=lambda r: r[0])
+    asking = [r for r in rows if r[4] != "i"]
+    if not listed or not asking:
         return []
-    keys, sizes, tokens, roles = map(list, zip(*listed, strict=True))
-    lists, out, settled = Lists(keys, sizes, tokens, percent), [], set()
-    for key, n, own, _ in asking:
-        out += [(key, keys[i]) for i in lists.search(own, n) if keys[i] != key]
-    if "a" in roles:
-        first = _most_shared(sizes, tokens, keys)
-        settled = set(lists.search(tokens[first], sizes[first])) | {first}
-        out += [(keys[first], keys[i]) for i in settled if i != first]
-        for q in range(len(keys)):
-            if q not in settled:
-                out += [(keys[q], keys[i]) for i in lists.search(tokens[q], sizes[q]) if i != q]
-    return out
+    keys, sizes, docs, tokens, _ = zip(*listed, strict=True)
+    lists, order = Lists(keys, sizes, tokens, percent), np.array(keys, np.int64)
+    names = np.unique(np.concatenate((order, np.array([r[0] for r in asking], np.int64))))
+    place, weights = np.searchsorted(names, order), np.array(docs, np.int64)
+    group, number, out = np.arange(len(names)), np.zeros(len(names), np.int64), []
+    for key, n, own_docs, own, _ in asking:
+        found = lists.search(own, n, int(np.searchsorted(order, key, "right")) - 1)
+        if not len(found):
+            continue
+        at, to = int(np.searchsorted(names, key)), place[found]
+        number[at] += weights[found].sum()
+        number[to] += own_docs
+        for one, first in zip(*np.unique(group[to], return_index=True), strict=True):
+            if one != group[at]:
+                out.append((key, int(names[to[first]]), 0))
+                group[group == one] = group[at]
+    return out + [(int(names[i]), int(names[i]), int(number[i])) for i in np.flatnonzero(number)]
 
 
 def _search_blocks(rows: DataFrame, names: list[str], percent: int, partitions: int) -> DataFrame:
@@ -363,63 +367,57 @@ def _search_blocks(rows: DataFrame, names: list[str], percent: int, partitions:
         for batch in batches:
             block = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
             tokens = batch.column("tokens")
-            for i, (b, key, n, role) in enumerate(zip(block, *(batch.column(c).to_pylist() for c in ("key", "n", "role")), strict=True)):
+            for i, (b, key, n, docs, role) in enumerate(zip(block, *(batch.column(c).to_pylist() for c in ("key", "n", "docs", "role")), strict=True)):
                 if b != now:
                     if held:
                         yield edges(_links(held, percent))
                     now, held = b, []
-                held.append((key, n, np.asarray(tokens[i].values), role))
+                held.append((key, n, docs, np.asarray(tokens[i].values), role))
         if held:
             yield edges(_links(held, percent))
 
-    def edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+    def edges(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["u", "v", "n"])
 
-    return dealt.select(*names, "key", "n", "tokens", "role").mapInArrow(run, "u long, v long")
+    return dealt.select(*names, "key", "n", "docs", "tokens", "role").mapInArrow(run, "u long, v long, n long")
 
 
-def links(nodes: DataFrame, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS, block_nodes: int = BLOCK_NODES) -> DataFrame:
-    """(u, v): links between nodes (key, slice, n, tokens, prefix), enough of them that all components are whole."""
+def links(nodes: DataFrame, classes: DataFrame, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """(u, v, n): links between nodes (key, slice, n, tokens, prefix), enough of them that all components are whole,
+    and rows (u, u, n) whose sum is a node's number of links to documents of other nodes; classes: key, docs."""
     partitions = shuffle_partitions(nodes.sparkSession)
     once = nodes.groupBy("key").agg(F.min("slice").alias("slice"))
-    placed = blocks(nodes).join(once, "key")
+    placed = blocks(nodes).join(once, "key").join(classes, "key")
     sized = materialize(
-        nodes.join(placed, ["key", "slice"]).select("block", "key", "n", "tokens", F.size("tokens").alias("shared")), "blocks"
+        nodes.join(placed, ["key", "slice"]).select("block", "key", "n", "docs", "tokens", F.size("tokens").alias("shared")), "blocks"
     )
     cuts = F.greatest(F.ceil(F.sum("shared") / block_tokens), F.ceil(F.count("*") / block_nodes))
-    own = F.min(F.struct(((F.col("n") - F.col("shared")) / F.col("n")).alias("own"), "key"))
-    sizes = materialize(sized.groupBy("block").agg(cuts.alias("cuts"), own["key"].alias("first")), "sizes")
+    turns = F.ceil(F.sum("shared") / block_tokens)
+    sizes = materialize(sized.groupBy("block").agg(cuts.alias("cuts"), turns.alias("turns")), "sizes")
     whole = sized.join(sizes.where("cuts = 1").select("block"), "block").withColumn("role", F.lit("a"))
     found = materialize(_search_blocks(whole, ["block"], percent, partitions), "links")
     large = sizes.where("cuts > 1")
-    return found if large.isEmpty() else found.unionByName(_large_links(sized, large, percent, partitions, block_tokens))
+    return found if large.isEmpty() else found.unionByName(materialize(_large_links(sized, large, percent, partitions), "links"))
 
 
-def _large_links(sized: DataFrame, large: DataFrame, percent: int, partitions: int, block_tokens: int) -> DataFrame:
-    """Blocks in sub-blocks: the node that shares most asks all of them, then all nodes that it isn't linked to."""
-    names = ["block", "part", "turn"]
+def _large_links(sized: DataFrame, large: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """Blocks in sub-blocks: every node asks each part, in turns."""
     rows = materialize(
-        sized.join(large, "block").withColumn("part", F.pmod(F.xxhash64("key"), F.col("cuts"))), "large"
+        sized.join(large, "block").withColumns({"part": F.pmod(F.xxhash64("key"), F.col("cuts")), "turn": F.pmod(F.xxhash64("key", F.lit(1)), F.col("turns"))}), "large"
     )
-    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))
-    index = rows.select("block", "part", F.lit(0).cast("long").alias("turn"), "key", "n", "tokens", F.lit("i").alias("role"))
-    ask = rows.where("key = first").select("block", everywhere.alias("part"), F.lit(0).cast("long").alias("turn"), "key", "n", "tokens", F.lit("q").alias("role"))
-    stars = materialize(_search_blocks(index.unionByName(ask), names, percent, partitions), "stars")
-    linked = stars.select(F.col("v").alias("key")).unionByName(stars.select(F.col("u").alias("key"))).distinct()
-    rest = rows.where("key <> first").join(linked, "key", "left_anti")
-    turns = materialize(rest.groupBy("block").agg(F.ceil(F.sum("shared") / block_tokens).alias("turns")), "turns")
-    rest = rest.join(turns, "block").withColumn("turn", F.pmod(F.xxhash64("key", F.lit(1)), F.col("turns")))
-    index = rows.join(turns, "block").select("block", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "key", "n", "tokens", F.lit("i").alias("role"))
-    ask = rest.select("block", everywhere.alias("part"), "turn", "key", "n", "tokens", F.lit("q").alias("role"))
-    return stars.unionByName(_search_blocks(index.unionByName(ask), names, percent, partitions))
+    all_of = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    index = rows.select("block", "part", all_of("turns").alias("turn"), "key", "n", "docs", "tokens", F.lit("i").alias("role"))
+    ask = rows.select("block", all_of("cuts").alias("part"), "turn", "key", "n", "docs", "tokens", F.lit("q").alias("role"))
+    return _search_blocks(index.unionByName(ask), ["block", "part", "turn"], percent, partitions)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, **sizes: int) -> DataFrame:
-    """One row for each row of ``docs``: id_col, n_shingles, component_id, class_id.
+    """One row for each row of ``docs``: id_col, n_shingles, component_id, class_id, n_links.
 
     Documents link when 100 * |intersection| >= percent * |union| of their distinct ``k``-word shingles
     (fewer words: one shingle of all). ``component_id`` is the smallest identifier that links lead to,
-    ``class_id`` is the same for documents with equal sets. A null or empty text has no shingles and is a
+    ``class_id`` is the same for documents with equal sets, ``n_links`` is the number of other documents that a
+    document links to, equal sets included. A null or empty text has no shingles and is a
     component of its own. Rows with equal identifiers are each a document; a null identifier counts as
     larger than any (a component of such rows only has null). An empty table gives an empty result; other columns are ignored.
     Shingles are compared by 64-bit hashes.
@@ -428,11 +426,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(shuffle_partitions(docs.sparkSession), -(-total // BUCKET))
     nodes = materialize(suspects(docs, text_col, k, percent, buckets), "nodes")
-    groups = components(links(nodes, percent, **sizes)).select(F.col("node").alias("key"), "root")
-    rooted = materialize(own.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+    classes = materialize(own.where("n > 0").groupBy("key").agg(F.count("*").alias("docs")), "classes")
+    found = links(nodes, classes, percent, **sizes)
+    groups = components(found.select("u", "v")).select(F.col("node").alias("key"), "root")
+    others = found.where("u = v").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("others"))
+    numbers = classes.join(groups, "key", "left").join(others, "key", "left")
+    numbers = materialize(numbers.select("key", "root", (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "numbers")
+    rooted = materialize(own.join(numbers, "key", "left").withColumns({"root": F.coalesce("root", "key"), "n_links": F.coalesce("n_links", F.lit(0))}), "rooted")
     least = materialize(rooted.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id")), "least")
     alone = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return rooted.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"), F.col("key").alias("class_id"))
+    return rooted.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"), F.col("key").alias("class_id"), "n_links")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -73,6 +73,15 @@ def test_components(spark, odd, sizes, seed):
     assert all(len(s) == 1 for s in by_class.values())
 
 
+@pytest.mark.parametrize("sizes", [{}, {"block_tokens": 300, "block_nodes": 4}])
+def test_every_link_counts(spark, sizes):
+    rows = corpus(3)
+    sets = [shingles(t) for _, t in rows]
+    want = {i: sum(j != i and bool(a) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **sizes).collect()
+    assert {r.doc_id: r.n_links for r in got} == want and max(want.values()) > 4
+
+
 def test_same_rows_in_several_partitions(spark):
     """Slices with the same nodes are told apart; texts of a similarity of 0.4 do not link."""
     words = [f"w{i}" for i in range(60)]
