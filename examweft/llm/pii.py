@@ -90,14 +90,14 @@ DIGIT_WORDS = {word: str(n) for line in DIGITS for n, word in enumerate(line.spl
 
 _STRANGE = re.compile("[Ͱ-ԯ！-～­​-‍⁠﻿․。٠-٩]")
 _WORD = rf"(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})"
-#: A text without any of these has too few spelled digits for a number.
-_HINTS = tuple(w for w in DIGIT_WORDS if len(w) > 3)
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[ -]+)?{_WORD}(?:[ ,-]+(?:{_WORD}|dot|point|[0-9](?![0-9])))*[ ,-]+{_WORD}(?!\w)")
 _SPELLED_ITEM = re.compile(rf"(?i)plus|{_WORD}|dot|point|[0-9]|[ ,-]+")
 #: Endings that a spelled-out address must have where "at" and "dot" are plain words (fixed values).
 _ENDINGS = "com|org|net|edu|gov|info|io|co|eu|uk|de|fr|es|it|nl|ch|at|vn|ru|pl|us|ca|au|in|jp"
 _AT = re.compile(rf"(?i)\s*(?:\[\s*at\s*\]|\(\s*at\s*\)|\{{\s*at\s*\}}|<\s*at\s*>)\s*|(?<=[A-Za-z0-9]) +at +(?=[A-Za-z0-9-]+(?:(?:\s*[\[({{<]\s*dot\s*[\])}}>]\s*| +dot +|\.)[A-Za-z0-9-]+)*(?:\s*[\[({{<]\s*dot\s*[\])}}>]\s*| +dot +)(?:{_ENDINGS})(?![A-Za-z0-9-]))")
 _DOT = re.compile(r"(?i)\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(?:dot|\.)\s*\}|<\s*(?:dot|\.)\s*>)\s*|(?<=[A-Za-z0-9]) +dot +(?=[A-Za-z0-9])")
+#: Without "dot" a text has none of these marks but in brackets.
+_BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|\.)\s*[\])}>]")
 
 
 class Mapped:
@@ -151,13 +151,11 @@ def plain_marks(m: Mapped) -> None:
 
 def disguised(text: str) -> list[tuple[int, int, str]]:
     """What shows only after rewriting, as source ranges; cheap searches pass over texts without any disguise."""
-    m, low = Mapped(text), text.lower()
+    m = Mapped(text)
     if _STRANGE.search(text):
         plain_characters(m)
-        low = m.text.lower()
-    if any(w in low for w in _HINTS):
-        plain_digits(m)
-    if "dot" in low or "(at" in low or "[at" in low or "{at" in low or "( at" in low or "[ at" in low or "[.]" in low or "(.)" in low:
+    plain_digits(m)
+    if "dot" in m.text.lower() or _BRACKETED.search(m.text):
         plain_marks(m)
     if m.starts is None:
         return []

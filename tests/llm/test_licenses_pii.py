@@ -115,3 +115,16 @@ def test_columns(odd, none):
 def test_luhn_and_long_runs():
     assert P.luhn("4539148803436467") and not P.luhn("4539148803436468")
     assert P.find("1" * 200_000 + "a" * 200_000) == ([], [])
+
+
+@pytest.mark.parametrize("a, b", ["[]", "()", "{}", "<>"])
+@pytest.mark.parametrize("gap", ["", " ", "  "])
+def test_each_bracket_alone(a, b, gap):
+    for text in (f"to jane{a}{gap}at{gap}{b}example.com", f"to jane {a}{gap}AT{gap}{b} example.com", f"to jane@example{a}{gap}.{gap}{b}com", f"to jane@example {a}{gap}dot{gap}{b} com"):
+        assert P.masked(text) == "to [EMAIL]", text
+
+
+@pytest.mark.parametrize("word", P.DIGIT_WORDS)
+def test_each_digit_word_alone(word):
+    assert P.masked(f"call plus {' '.join([word] * 11)}") == "call [PHONE]"
+    assert P.masked(f"from {' dot '.join([word] * 4)}") == "from [IP]"
