@@ -612,6 +612,20 @@ def continuation_offsets(spark, d):
     return annotation.round_offsets(docs, used).where("k = 2").select("doc_id", F.col("offset").alias("second_offset"))
 
 
+@query("""WITH halves AS (SELECT doc_id, text, length(text) // 2 AS half, substr(text, length(text) // 2 + 1, 100) AS anchor FROM documents),
+  sought AS (SELECT *, greatest(half - 80, 0) AS low, substr(text, greatest(half - 80, 0) + 1, least(length(text), half + 80) - greatest(half - 80, 0)) AS near,
+    trim(anchor, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160)) AS bare FROM halves)
+SELECT doc_id, CAST(CASE WHEN anchor = '' THEN half WHEN strpos(near, anchor) > 0 THEN low + strpos(near, anchor) - 1
+  WHEN bare <> '' AND strpos(near, bare) > 0 THEN low + strpos(near, bare) - 1 ELSE half END AS INTEGER) AS second_offset FROM sought""")
+def whole_continuation_offsets(spark, d):
+    """Every document's whole second half, placed after its first."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    half = F.floor(F.length("text") / 2)
+    second = F.concat(F.substr("text", half + 1, F.length("text")), F.lit("<|END|>"))
+    rounds = docs.select("doc_id", F.inline(F.array(F.struct(F.lit(1).alias("round"), F.substr("text", F.lit(1), half).alias("tagged")), F.struct(F.lit(2).alias("round"), second.alias("tagged")))))
+    return annotation.round_offsets(docs, annotation.rounds_in_use(rounds)).where("k = 2").select("doc_id", F.col("offset").alias("second_offset"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'hosted' WHEN contains(m, '/') OR contains(lower(m), 'minimax') OR starts_with(m, 'mn/') OR (p_size % 3 <> 0 AND p_size % 2 = 0) THEN 'gateway' ELSE 'primary' END AS chat,
   CASE WHEN p_size % 5 = 0 THEN 'hosted' WHEN contains(m, '/') OR contains(lower(m), 'minimax') OR (p_size % 3 <> 0 AND p_size % 2 = 0) THEN 'gateway' ELSE 'primary' END AS annotator
 FROM (SELECT *, CASE p_size % 7 WHEN 0 THEN 'MiniMax-M2' WHEN 1 THEN 'a/b' WHEN 2 THEN 'mn/x' ELSE 'deepseek-chat' END AS m FROM part)""")

@@ -138,3 +138,22 @@ def test_rounds(spark):
     got = annotation.annotated_spans(docs, rounds).orderBy("close_order").collect()
     assert [(r.text, text[r.start : r.end]) for r in got] == [("one two", "one two"), ("four", "four"), ("seven", "seven")]
     assert [tuple(r)[1:] for r in annotation.preservation(docs, docs.select("doc_id", F.lit("<stem>one</stem> " + text[4:]).alias("tagged"))).collect()] == [(True, True)]
+
+
+def test_every_document_is_continued(spark, tmp_path):
+    """Short and empty texts, repeated passages and white space at the seam, against the original's rule."""
+    from examweft.plans.queries import QUERIES
+
+    texts = ["", "a", "ab", "short text", "la " * 40, "same line\n" * 60, "x" * 500, "word " * 9 + " " * 150 + "end", " ".join(f"w{i}" for i in range(300)), "ab" * 25 + " " + "ab" * 25]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def want(text):
+        half = len(text) // 2
+        low, high, anchor = max(0, half - 80), min(len(text), half + 80), text[half:][:100]
+        for a in (anchor, anchor.strip()):
+            if a and (i := text.find(a, low, high)) >= 0:
+                return i
+        return half
+
+    got = {r.doc_id: r.second_offset for r in QUERIES["whole_continuation_offsets"](spark, str(tmp_path)).collect()}
+    assert got == {i: want(t) for i, t in enumerate(texts)} and any(v != len(texts[i]) // 2 for i, v in got.items())
