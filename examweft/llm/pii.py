@@ -46,7 +46,7 @@ def emails(text: str) -> Iterator[Span]:
 
 def ips(text: str) -> Iterator[Span]:
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(q := p.lstrip("0")) < 4 and int(q or "0") <= 255 for p in m[0].split(".")):
             yield m.span()
 
 

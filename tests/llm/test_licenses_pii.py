@@ -128,3 +128,7 @@ def test_each_bracket_alone(a, b, gap):
 def test_each_digit_word_alone(word):
     assert P.masked(f"call plus {' '.join([word] * 11)}") == "call [PHONE]"
     assert P.masked(f"from {' dot '.join([word] * 4)}") == "from [IP]"
+
+
+def test_many_zeros_are_a_number():
+    assert P.masked("0" * 5000 + ".0.0.1") == "[IP]" and P.masked("0" * 5000 + ".0.0.256") == "0" * 5000 + ".0.0.256"
