@@ -420,7 +420,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document links to, equal sets included. A null or empty text has no shingles and is a
     component of its own. Rows with equal identifiers are each a document; a null identifier counts as
     larger than any (a component of such rows only has null). An empty table gives an empty result; other columns are ignored.
-    Shingles are compared by 64-bit hashes.
+    Shingles are compared by 32 bits of their hashes and their bucket, sets by 64-bit digests; neither is checked exactly.
     """
     own = materialize(members(docs, id_col, text_col, k), "members")
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
