@@ -4,19 +4,21 @@
 2. Document frequencies: packed shingles are dealt over buckets by hash, and a bucket answers with the
    shingles that two documents or more have. A node keeps on only if it shares enough of its own
    shingles to reach the threshold with anyone: most texts end here.
-3. Blocks: with shingles ordered from rare to common, two nodes that reach the threshold share one of
-   the first few of each (the prefix filter). Nodes that are connected by such shingles form a block.
-   No pairs are made here, only one edge for each node and shingle.
-4. T-occurrence search in each block: a query's short inverted lists are merged with a heap, which skips
+3. Lists: with shingles ordered from rare to common, two nodes that reach the threshold share one of
+   the first few of each (the prefix filter). A node's label is the least node on its leading shingles'
+   lists, taken twice; labels gather most partners. Where a shingle leads under two labels for nodes of
+   sizes that fit, those labels are searched against each other too: a unit is a pair of labels (or one
+   with itself) and the nodes that reach across. No pairs of nodes are made.
+4. T-occurrence search in each unit: a query's short inverted lists are merged with a heap, which skips
    what can't reach T - L occurrences any more; its L longest lists are only probed by binary search for
-   what the merge found; documents that reach the required overlap are linked. Every node asks, for nodes
-   with larger keys, so that each link is found once; links are counted where they are found, and only
-   those that connect something new are handed on. A block beyond a size is cut into sub-blocks, and its
-   nodes ask all of them.
+   what the merge found; documents that reach the required overlap are linked. Each pair of nodes meets in
+   one unit only, so that each link is found once; links are counted where they are found, and only those
+   that connect something new are handed on. A unit's sides are salted into parts of bounded size, and each
+   pair of parts is a cell of its own: a group of near copies, however large, is many small searches.
 5. Components of the links; each document gets the smallest identifier of its component.
 
-What moves by shuffle is 4 bytes a shingle once, then only shared shingles. Very common passages are
-long lists: they are never merged and never make a block, unless a text consists mostly of them.
+What moves by shuffle is 8 bytes a shingle once, then only shared shingles. Very common passages are
+long lists: they are never merged and never make a unit, unless a text consists mostly of them.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ from examweft.llm.common import map_batches, materialize, shuffle_partitions, wh
 from examweft.llm.graph import components
 
 WORDS, PERCENT = 5, 75
-#: Text bytes hashed at a time, shingles in a bucket, shingles and nodes of a sub-block.
-STRETCH, BUCKET, BLOCK_TOKENS, BLOCK_NODES = 1 << 22, 2_000_000, 2_000_000, 4096
+#: Text bytes hashed at a time, shingles in a bucket, shingles and nodes of a part.
+STRETCH, BUCKET, PART_TOKENS, PART_NODES = 1 << 22, 2_000_000, 500_000, 256
 #: DivideSkip's weight of a long list's length against the number of lists that are set aside.
 MU = 0.01
 
@@ -172,12 +174,12 @@ def _packed(docs: DataFrame, text_col: str, k: int, buckets: int) -> DataFrame:
         flat, doc = np.concatenate(list(found.values())), np.repeat(np.arange(len(sizes)), sizes)
         bucket = ((flat >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        bucket, doc, low = bucket[order], doc[order], flat[order].astype(np.uint32)
+        bucket, doc, flat = bucket[order], doc[order], flat[order]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         rows = [(name % buckets, name, None, None, None, None, keys.tobytes(), sizes.astype(np.uint32).tobytes())]
         for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
             docs, counts = _runs(doc[a:b])
-            rows.append((bucket[a], name, docs.tobytes(), counts.tobytes(), low[a:b].tobytes(), None, None, None))
+            rows.append((bucket[a], name, docs.tobytes(), counts.tobytes(), flat[a:b].tobytes(), None, None, None))
         return _rows(rows)
 
     return docs.select(whole_text(text_col).alias("_text")).mapInArrow(run, _PACKED)
@@ -193,24 +195,24 @@ def _shared(table: pa.Table) -> pa.Table:
     table = table.filter(table.column("docs").is_valid())
     if not table.num_rows:
         return passing
-    docs, counts, low = (_joined(table.column(n), t) for n, t in (("docs", "<u2"), ("counts", "<u2"), ("hashes", "<u4")))
+    docs, counts, hashes = (_joined(table.column(n), t) for n, t in (("docs", "<u2"), ("counts", "<u2"), ("hashes", "<u8")))
     row = np.repeat(np.arange(table.num_rows), [len(x.as_buffer()) // 2 for x in table.column("docs")])
     place = np.repeat(np.arange(len(docs)), counts)
-    order = np.argsort(low, kind="stable")
-    value = low[order]
+    order = np.argsort(hashes, kind="stable")
+    value = hashes[order]
     cuts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
     often = np.diff([*cuts, len(value)])
-    many = np.empty(len(low), np.int64)
+    many = np.empty(len(hashes), np.int64)
     many[order] = np.repeat(often, often)
     keep = many > 1
     if not keep.any():
         return passing
-    low, many, row, doc = low[keep], np.minimum(many[keep], 65_535).astype(np.uint16), row[place[keep]], docs[place[keep]].astype(np.int64)
+    hashes, many, row, doc = hashes[keep], np.minimum(many[keep], 65_535).astype(np.uint16), row[place[keep]], docs[place[keep]].astype(np.int64)
     cuts = np.flatnonzero(np.diff(row, prepend=-1))
     bucket, slices, rows = table.column("bucket")[0].as_py(), table.column("slice").to_pylist(), []
     for a, b in zip(cuts, [*cuts[1:], len(row)], strict=True):
         here, n = _runs(doc[a:b])
-        rows.append((bucket, slices[row[a]], here.tobytes(), n.tobytes(), low[a:b].tobytes(), many[a:b].tobytes(), None, None))
+        rows.append((bucket, slices[row[a]], here.tobytes(), n.tobytes(), hashes[a:b].tobytes(), many[a:b].tobytes(), None, None))
     return pa.concat_tables([passing, pa.Table.from_batches([_rows(rows)])])
 
 
@@ -224,13 +226,12 @@ def suspects(docs: DataFrame, text_col: str, k: int, percent: int, buckets: int)
         named = table.filter(table.column("keys").is_valid())
         table = table.filter(table.column("docs").is_valid())
         keys, sizes = _joined(named.column("keys"), "<i8"), _joined(named.column("sizes"), "<u4").astype(np.int64)
-        docs, counts, low, often = (_joined(table.column(n), t) for n, t in (("docs", "<u2"), ("counts", "<u2"), ("hashes", "<u4"), ("often", "<u2")))
+        docs, counts, token, often = (_joined(table.column(n), t) for n, t in (("docs", "<u2"), ("counts", "<u2"), ("hashes", "<i8"), ("often", "<u2")))
         doc = np.repeat(docs, counts).astype(np.int64)
-        bucket = np.repeat(np.array(table.column("bucket").to_pylist(), np.int64), [len(x.as_buffer()) // 4 for x in table.column("hashes")])
         shared = np.bincount(doc, minlength=len(keys))
         enough = shared * 100 >= sizes * percent
         keep = enough[doc]
-        doc, often, token = doc[keep], often[keep], low[keep].astype(np.int64) | bucket[keep] << 32
+        doc, often, token = doc[keep], often[keep], token[keep]
         order = np.lexsort((token, often, doc))
         picked = np.flatnonzero(enough)
         n = sizes[picked]
@@ -243,13 +244,40 @@ def suspects(docs: DataFrame, text_col: str, k: int, percent: int, buckets: int)
     return shared.groupBy("slice").applyInArrow(chosen, "key long, slice long, n long, tokens array<long>, prefix int")
 
 
-def blocks(nodes: DataFrame) -> DataFrame:
-    """(key, block) for nodes that share a leading shingle with another one."""
-    leads = nodes.select("key", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
+def reaches(nodes: DataFrame, percent: int) -> DataFrame:
+    """(key, shared, a, b): the label ``a`` of each node that shares a leading shingle with another one, and each label
+    ``b`` (``a`` is one) that has a leading shingle of it with a node of a size that fits."""
+    leads = nodes.select("key", "n", F.size("tokens").alias("shared"), F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
     first = leads.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
-    first = materialize(first.select("token", "first"), "lists")
-    edges = leads.join(first, "token").where("key <> first").select(F.col("key").alias("u"), F.col("first").alias("v"))
-    return components(edges).select(F.col("node").alias("key"), F.col("root").alias("block"))
+    led = materialize(leads.join(first.select("token", "first"), "token"), "leads")
+    least = materialize(led.groupBy("key").agg(F.min("first").alias("least")), "least")
+    above = least.select(F.col("key").alias("least"), F.col("least").alias("higher"))
+    labels = least.join(above, "least").select("key", F.col("higher").alias("a"))
+    led = materialize(led.join(labels, "key").select("key", "n", "shared", "token", "a"), "labelled")
+    heads = led.groupBy("token", F.col("a").alias("b")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    fits = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("low") * percent)
+    return led.join(heads, "token").where(fits).select("key", "shared", "a", "b").distinct()
+
+
+def cells(nodes: DataFrame, percent: int, part_tokens: int = PART_TOKENS, part_nodes: int = PART_NODES) -> DataFrame:
+    """(key, low, high, x, y, role): the cells in which a node is searched; low and high are a unit's labels, x and y parts of
+    its sides. Roles as in ``_links``."""
+    own = F.col("a") <= F.col("b")
+    met = materialize(reaches(nodes, percent).select("key", "shared", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), own.alias("own")), "reaches")
+    side = lambda is_own: [f(F.when(F.col("own") == is_own, v)) for f, v in ((F.count, F.lit(1)), (F.sum, F.col("shared")))]
+    (m, p), (n, q) = side(True), side(False)
+    parts = lambda count, tokens: F.greatest(F.ceil(count / part_nodes), F.ceil(F.coalesce(tokens, F.lit(0)) / part_tokens))
+    sizes = met.groupBy("low", "high").agg(m.alias("m"), n.alias("n"), parts(m, p).alias("own_parts"), parts(n, q).alias("other_parts"))
+    sizes = materialize(sizes.where("(low = high and m > 1) or (low < high and m > 0 and n > 0)").drop("m", "n"), "sizes")
+    one, own = F.col("low") == F.col("high"), F.col("own")
+    here = F.pmod(F.xxhash64("key"), F.when(own, F.col("own_parts")).otherwise(F.col("other_parts")))
+    there = F.when(one | ~own, F.col("own_parts")).otherwise(F.col("other_parts"))
+    rows = met.join(sizes, ["low", "high"]).select("key", "low", "high", "own", one.alias("one"), here.alias("here"), F.explode(F.sequence(F.lit(0).cast("long"), there - 1)).alias("there"))
+    one, here, there = F.col("one"), F.col("here"), F.col("there")
+    x = F.when(one, F.least(here, there)).when(own, here).otherwise(there)
+    y = F.when(one, F.greatest(here, there)).when(own, there).otherwise(here)
+    listed = F.when(one, here < there).otherwise(own)
+    return rows.select("key", "low", "high", x.alias("x"), y.alias("y"), F.when(one & (here == there), "a").when(listed, "i").otherwise("q").alias("role"))
 
 
 # --- T-occurrence search --------------------------------------------------------------------------
@@ -330,10 +358,10 @@ def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
 
 
 def _links(rows: list[tuple], percent: int) -> list[tuple[int, int, int]]:
-    """(u, v, 0): links of one (sub-)block that connect all that its links connect; (u, u, n): links of ``u`` to documents.
+    """(u, v, 0): links of one cell that connect all that its links connect; (u, u, n): links of ``u`` to documents.
 
-    Rows: key, n, docs, tokens, role; "a": is listed and asks, "i": is listed, "q": asks. Each asks for larger
-    keys, so that each link is found once; it counts for both ends.
+    Rows: key, n, docs, tokens, role; "a": is listed and asks for larger keys, "i": is listed, "q": asks.
+    So each link is found once; it counts for both ends.
     """
     listed = sorted((r for r in rows if r[4] != "q"), key=lambda r: r[0])
     asking = [r for r in rows if r[4] != "i"]
@@ -344,8 +372,8 @@ def _links(rows: list[tuple], percent: int) -> list[tuple[int, int, int]]:
     names = np.unique(np.concatenate((order, np.array([r[0] for r in asking], np.int64))))
     place, weights = np.searchsorted(names, order), np.array(docs, np.int64)
     group, number, out = np.arange(len(names)), np.zeros(len(names), np.int64), []
-    for key, n, own_docs, own, _ in asking:
-        found = lists.search(own, n, int(np.searchsorted(order, key, "right")) - 1)
+    for key, n, own_docs, own, role in asking:
+        found = lists.search(own, n, int(np.searchsorted(order, key)) if role == "a" else -1)
         if not len(found):
             continue
         at, to = int(np.searchsorted(names, key)), place[found]
@@ -358,20 +386,21 @@ def _links(rows: list[tuple], percent: int) -> list[tuple[int, int, int]]:
     return out + [(int(names[i]), int(names[i]), int(number[i])) for i in np.flatnonzero(number)]
 
 
-def _search_blocks(rows: DataFrame, names: list[str], percent: int, partitions: int) -> DataFrame:
-    """Links (u, v) of all blocks; a block's rows are together and are held one block at a time."""
+def _search(rows: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """(u, v, n) of all cells; a cell's rows are together and are held one cell at a time."""
+    names = ["low", "high", "x", "y"]
     dealt = rows.repartition(partitions, *names).sortWithinPartitions(*names)
 
     def run(batches):
         now, held = None, []
         for batch in batches:
-            block = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+            cell = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
             tokens = batch.column("tokens")
-            for i, (b, key, n, docs, role) in enumerate(zip(block, *(batch.column(c).to_pylist() for c in ("key", "n", "docs", "role")), strict=True)):
-                if b != now:
+            for i, (c, key, n, docs, role) in enumerate(zip(cell, *(batch.column(c).to_pylist() for c in ("key", "n", "docs", "role")), strict=True)):
+                if c != now:
                     if held:
                         yield edges(_links(held, percent))
-                    now, held = b, []
+                    now, held = c, []
                 held.append((key, n, docs, np.asarray(tokens[i].values), role))
         if held:
             yield edges(_links(held, percent))
@@ -382,33 +411,13 @@ def _search_blocks(rows: DataFrame, names: list[str], percent: int, partitions:
     return dealt.select(*names, "key", "n", "docs", "tokens", "role").mapInArrow(run, "u long, v long, n long")
 
 
-def links(nodes: DataFrame, classes: DataFrame, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS, block_nodes: int = BLOCK_NODES) -> DataFrame:
+def links(nodes: DataFrame, classes: DataFrame, percent: int = PERCENT, **sizes: int) -> DataFrame:
     """(u, v, n): links between nodes (key, slice, n, tokens, prefix), enough of them that all components are whole,
     and rows (u, u, n) whose sum is a node's number of links to documents of other nodes; classes: key, docs."""
-    partitions = shuffle_partitions(nodes.sparkSession)
-    once = nodes.groupBy("key").agg(F.min("slice").alias("slice"))
-    placed = blocks(nodes).join(once, "key").join(classes, "key")
-    sized = materialize(
-        nodes.join(placed, ["key", "slice"]).select("block", "key", "n", "docs", "tokens", F.size("tokens").alias("shared")), "blocks"
-    )
-    cuts = F.greatest(F.ceil(F.sum("shared") / block_tokens), F.ceil(F.count("*") / block_nodes))
-    turns = F.ceil(F.sum("shared") / block_tokens)
-    sizes = materialize(sized.groupBy("block").agg(cuts.alias("cuts"), turns.alias("turns")), "sizes")
-    whole = sized.join(sizes.where("cuts = 1").select("block"), "block").withColumn("role", F.lit("a"))
-    found = materialize(_search_blocks(whole, ["block"], percent, partitions), "links")
-    large = sizes.where("cuts > 1")
-    return found if large.isEmpty() else found.unionByName(materialize(_large_links(sized, large, percent, partitions), "links"))
-
-
-def _large_links(sized: DataFrame, large: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Blocks in sub-blocks: every node asks each part, in turns."""
-    rows = materialize(
-        sized.join(large, "block").withColumns({"part": F.pmod(F.xxhash64("key"), F.col("cuts")), "turn": F.pmod(F.xxhash64("key", F.lit(1)), F.col("turns"))}), "large"
-    )
-    all_of = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    index = rows.select("block", "part", all_of("turns").alias("turn"), "key", "n", "docs", "tokens", F.lit("i").alias("role"))
-    ask = rows.select("block", all_of("cuts").alias("part"), "turn", "key", "n", "docs", "tokens", F.lit("q").alias("role"))
-    return _search_blocks(index.unionByName(ask), ["block", "part", "turn"], percent, partitions)
+    met = materialize(cells(nodes, percent, **sizes), "cells")
+    once = nodes.groupBy("key").agg(F.min("slice").alias("slice")).join(met.select("key").distinct(), "key", "left_semi")
+    whole = materialize(nodes.join(once, ["key", "slice"]).join(classes, "key").select("key", "n", "docs", "tokens"), "asked")
+    return materialize(_search(met.join(whole, "key"), percent, shuffle_partitions(nodes.sparkSession)), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, **sizes: int) -> DataFrame:
@@ -420,7 +429,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document links to, equal sets included. A null or empty text has no shingles and is a
     component of its own. Rows with equal identifiers are each a document; a null identifier counts as
     larger than any (a component of such rows only has null). An empty table gives an empty result; other columns are ignored.
-    Shingles are compared by 32 bits of their hashes and their bucket, sets by 64-bit digests; neither is checked exactly.
+    Shingles are compared by their 64-bit hashes, equal sets by 64-bit digests; of ``m`` different ones, m * m / 2**65 pairs
+    or so fall together.
     """
     own = materialize(members(docs, id_col, text_col, k), "members")
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -60,7 +60,11 @@ def corpus(seed):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block_tokens": 300, "block_nodes": 4}])
+def corpus_texts(seed):
+    return [t for _, t in corpus(seed)][:40]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"part_tokens": 300, "part_nodes": 4}])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, odd, sizes, seed):
     rows = corpus(seed)
@@ -73,7 +77,7 @@ def test_components(spark, odd, sizes, seed):
     assert all(len(s) == 1 for s in by_class.values())
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block_tokens": 300, "block_nodes": 4}])
+@pytest.mark.parametrize("sizes", [{}, {"part_tokens": 300, "part_nodes": 4}])
 def test_every_link_counts(spark, sizes):
     rows = corpus(3)
     sets = [shingles(t) for _, t in rows]
@@ -95,6 +99,44 @@ def test_same_rows_in_several_partitions(spark):
     assert len(nodes) == 12 and all(len(r.tokens) == r.n == len(set(r.tokens)) for r in nodes)
 
 
+@pytest.mark.parametrize("partitions", ["1", "61"])
+def test_partitions_make_no_difference(spark, partitions):
+    """The same texts in one and in several partitions, and any number of shuffle partitions, give the same answer;
+    two words whose hashes agree in 32 bits and in the bucket's number stay apart."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(words[:57] + ["x", "y", "z"]), " ".join(words[:40] + [f"v{i}" for i in range(7)])
+    pair = ["doc155568", "doc393637"]
+    rows = list(enumerate([a, b, c, *pair, *corpus_texts(5)] * 2))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        for slices in (1, 5):
+            df = spark.createDataFrame(spark.sparkContext.parallelize(rows, slices), "doc_id long, text string")
+            got = jaccard.near_duplicates(df).collect()
+            assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
+            firsts = {int(i) for i, _, c in brute(rows) if i == c}
+            assert slices == 1 or {r.doc_id for r in jaccard.first_of_each(df).collect()} == firsts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_large_group_is_many_cells(spark):
+    """A group of near copies is dealt over parts, and no cell holds more than two of them."""
+    rng = random.Random(4)
+    base, rows = [f"b{i}" for i in range(80)], []
+    for i in range(150):
+        edited = list(base)
+        edited[rng.randrange(80)] = f"e{i}"
+        rows.append((i, " ".join(edited)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = jaccard.suspects(df, "text", 5, 75, 4)
+    met = jaccard.cells(nodes, 75, part_nodes=16).groupBy("low", "high", "x", "y").count().collect()
+    assert max(r["count"] for r in met) <= 2 * 16 * 2 and len(met) > 20
+    got = jaccard.near_duplicates(df, part_nodes=16).collect()
+    sets = [shingles(t) for _, t in rows]
+    assert {r.doc_id: r.n_links for r in got} == {i: sum(j != i and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+
+
 def test_odd(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = jaccard.near_duplicates(odd).collect()
