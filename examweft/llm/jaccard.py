@@ -41,7 +41,7 @@ from examweft.llm.graph import components
 
 WORDS, PERCENT = 5, 75
 #: Text bytes hashed at a time, shingles in a bucket, shingles and nodes of a part.
-STRETCH, BUCKET, PART_TOKENS, PART_NODES = 1 << 22, 2_000_000, 500_000, 256
+STRETCH, BUCKET, PART_TOKENS, PART_NODES = 1 << 22, 2_000_000, 250_000, 128
 #: DivideSkip's weight of a long list's length against the number of lists that are set aside.
 MU = 0.01
 
