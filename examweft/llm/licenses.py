@@ -5,6 +5,7 @@ text's words, and a shunting-yard parser evaluates the licence expressions behin
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -28,6 +29,12 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
     "cc by nd": "cc-by-nd",
     "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution share alike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution non commercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution noderivs": "cc-by-nd",
     "all rights reserved": "all-rights-reserved",
 }
 TAG = "spdx license identifier"
@@ -37,10 +44,20 @@ FREEDOM = {
     "cc-by": 0.9, "mpl": 0.7, "epl": 0.6, "lgpl": 0.5, "cc-by-sa": 0.5, "gpl": 0.4, "agpl": 0.3, "cc-by-nd": 0.2, "cc-by-nc": 0.1, "all-rights-reserved": 0.0,
 }
 UNKNOWN, NO_LICENCE = 0.5, 0.5
+#: Identifiers without a version, and the families whose identifiers go on after a hyphen (fixed values, lower case). An
+#: expression's operand is one of these, a reference, or (behind "with") an exception; any other word ends the expression.
+PLAIN_IDENTIFIERS = frozenset(
+    "0bsd aal abstyles adobe-glyph bitstream-vera beerware blessing curl ftl fsful glide hpnd icu ijg imagemagick info-zip intel isc jasper-2.0 json"
+    " latex2e libpng libtiff linux-openib mit mit-0 mit-cmu miros motosoto ms-pl ms-rl naumen ncsa netcdf nlod-1.0 noweb ntp openssl php-3.01 plexus"
+    " postgresql psfrag python-2.0 qhull ruby sgi-b-2.0 sleepycat tcl unlicense vim w3c wtfpl x11 xnet zlib zlib-acknowledgement none noassertion".split()
+)
+FAMILIES = "afl agpl apache apsl artistic bsd bsl cc cc0 cddl cecill cpal cpl ecl efl epl eupl gfdl gpl lgpl lppl mpl ngpl npl odbl ofl osl pddl php psf upl vsl zpl".split()
+_REFERENCES = ("licenseref-", "documentref-")
 PRECEDENCE = {"OR": 1, "AND": 2, "WITH": 3}
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_TAGGED = re.compile(r"spdx-license-identifier:[ \t]*([A-Za-z0-9.+() \t-]+)", re.I)
+_WORD = re.compile(rb"[^ ]+")
+_EXPRESSION = re.compile(rb"[ \t]*:[ \t]*([A-Za-z0-9.+() \t-]+)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.-]+\+?")
 
 
@@ -55,23 +72,35 @@ def automaton():
     return a
 
 
+def is_identifier(token: str) -> bool:
+    name = token.lower().rstrip("+.")
+    family, hyphen, rest = name.partition("-")
+    return name in PLAIN_IDENTIFIERS or name.startswith(_REFERENCES) or (family in FAMILIES and bool(hyphen and rest))
+
+
 def parse_expression(text: str) -> list[str]:
     """The expression at the start of ``text`` in postfix order. Dijkstra's shunting yard: WITH binds most, OR least.
 
-    The expression ends where the next token can't continue it. ValueError: nothing there, or unbalanced.
+    The expression ends where the next token can't continue it; an operator before a word that is no identifier
+    belongs to the prose behind it. ValueError: nothing there, or unbalanced.
     """
     out, stack, want_operand, depth = [], [], True, 0
     for token in _TOKEN.findall(text):
         upper = token.upper()
         if want_operand:
-            if token == "(":
+            exception = stack and stack[-1] == "WITH"
+            if token == "(" and not exception:
                 stack.append(token)
                 depth += 1
-            elif token == ")" or upper in PRECEDENCE:
-                raise ValueError(f"{token!r} where an identifier is wanted")
-            else:
-                out.append(token)
+            elif token != ")" and ("exception" in token.lower() if exception else is_identifier(token)):
+                out.append(token.rstrip("."))
+                want_operand = False
+            elif out and stack and stack[-1] in PRECEDENCE:
+                stack.pop()
                 want_operand = False
+                break
+            else:
+                raise ValueError(f"{token!r} where an identifier is wanted")
         elif upper in PRECEDENCE:
             while stack and stack[-1] != "(" and PRECEDENCE[stack[-1]] >= PRECEDENCE[upper]:
                 out.append(stack.pop())
@@ -108,32 +137,46 @@ def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
     return stack[0], names
 
 
+def tagged(text: bytes, line: str, ends: list[int]) -> Iterator[str]:
+    """What stands behind the tags that the automaton found; ``ends`` are places in the line of words, in order."""
+    if not ends:
+        return
+    ends_of_words = [m.end() for m in _WORD.finditer(text.translate(_WORDS))]
+    word, at = 0, 1
+    for end in ends:
+        word += line.count(" ", at, end + 1)
+        at = end + 1
+        if m := _EXPRESSION.match(text, ends_of_words[word - 1]):
+            yield m[1].decode("ascii")
+
+
 def scan(text: bytes) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of one text in UTF-8."""
     found = text.translate(_WORDS).split()
     line = (b" " + b" ".join(found) + b" ").decode("latin-1")
-    base, labels, starts, longer, tagged = set(), set(), [], [], False
+    base, labels, starts, longer, tags = set(), set(), [], [], []
     for end, phrase in automaton().iter(line):
         if phrase == TAG:
-            tagged = True
+            tags.append(end)
         elif label := BASE_PHRASES.get(phrase):
             base.add(label)
             starts.append(end - len(phrase) - 1)
         else:
             longer.append((end - len(phrase) - 1, end, phrase))
-    for a, b, phrase in longer:  # "cc by nc" is not "cc by" as well
-        if not any(x <= a and b <= y and (x, y) != (a, b) for x, y, _ in longer):
+    last = -1
+    for a, b, phrase in sorted(longer, key=lambda x: (x[0], -x[1])):  # "cc by nc" is not "cc by" as well
+        if b > last:
             labels.add(PHRASES[phrase])
+            last = b
     scores = [FREEDOM[x] for x in base | labels]
-    if tagged:
-        for m in _TAGGED.finditer(text.decode("utf-8", "replace")):
-            try:
-                score, names = evaluate(parse_expression(m[1]))
-            except ValueError:
-                labels.add("invalid-expression")
-                score, names = UNKNOWN, set()
-            scores.append(score)
-            labels |= names
+    for expression in tagged(text, line, tags):
+        try:
+            score, names = evaluate(parse_expression(expression))
+        except ValueError:
+            labels.add("invalid-expression")
+            score, names = UNKNOWN, set()
+        scores.append(score)
+        labels |= names
     places = (line.count(" ", 0, min(starts)), line.count(" ", 0, max(starts))) if starts else (None, None)
     return len(found), len(starts), *places, ",".join(sorted(base)), ",".join(sorted(base | labels)), min(scores, default=NO_LICENCE)
 
