@@ -1,16 +1,21 @@
 """Personal data, also in disguise, with offsets into the source text.
 
 Detectors find plain e-mail addresses, IP addresses, card and phone numbers. A chain of transducers then
-rewrites disguises (look-alike letters and digits, invisible characters, spelled digits, "at" and "dot")
-and keeps for each character of its output where in the source it came from; what the detectors find in
-the rewritten text is mapped back, and added unless it lies within plain data of its kind.
+rewrites disguises (character references, compatible and look-alike characters, invisible ones, digits of
+any script, spaced-out addresses, spelled digits, "at" and "dot"). Each transducer keeps its edits, by which
+what the detectors find in the rewritten text is mapped back to the source, and added unless it lies within
+plain data of its kind. All of it takes time in proportion to a text's length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import html
 import re
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,6 +84,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
 
 #: Look-alikes and what they look like (fixed values): Cyrillic, Greek.
 LOOKALIKES = dict(zip("АВЕКМНОРСТХаеорсухіјѕԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρ", "ABEKMHOPCTXaeopcyxijsdqwABEZHIKMNOPTYXovp", strict=True))
+#: Invisible characters (fixed values): soft hyphen, zero-width space, joiners, word joiner, byte order mark.
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 #: Spelled digits in English, German, French and Spanish, from zero to nine (fixed values).
 DIGITS = (
     "zero one two three four five six seven eight nine",
@@ -87,52 +94,95 @@ DIGITS = (
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 )
 DIGIT_WORDS = {word: str(n) for line in DIGITS for n, word in enumerate(line.split())} | {"oh": "0"}
+TIMES = {"double": 2, "triple": 3}
 
-_STRANGE = re.compile("[Ͱ-ԯ！-～­​-‍⁠﻿․。٠-٩]")
 _WORD = rf"(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})"
-_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[ -]+)?{_WORD}(?:[ ,-]+(?:{_WORD}|dot|point|[0-9](?![0-9])))*[ ,-]+{_WORD}(?!\w)")
-_SPELLED_ITEM = re.compile(rf"(?i)plus|{_WORD}|dot|point|[0-9]|[ ,-]+")
-#: Endings that a spelled-out address must have where "at" and "dot" are plain words (fixed values).
+_TIMES = rf"(?:(?:{'|'.join(TIMES)})[ -]++)?"
+_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[ -]++)?{_TIMES}{_WORD}(?:[ ,-]++(?:{_TIMES}{_WORD}|dot|point|[0-9](?![0-9])))*[ ,-]++{_TIMES}{_WORD}(?!\w)")
+_SPELLED_ITEM = re.compile(rf"(?i)plus|({'|'.join(TIMES)})[ -]++({_WORD})|{_WORD}|dot|point|[0-9]|[ ,-]++")
+#: Endings that a spelled-out or spaced-out address must have where its marks are plain words or blanks (fixed values).
 _ENDINGS = "com|org|net|edu|gov|info|io|co|eu|uk|de|fr|es|it|nl|ch|at|vn|ru|pl|us|ca|au|in|jp"
-_AT = re.compile(rf"(?i)\s*(?:\[\s*at\s*\]|\(\s*at\s*\)|\{{\s*at\s*\}}|<\s*at\s*>)\s*|(?<=[A-Za-z0-9]) +at +(?=[A-Za-z0-9-]+(?:(?:\s*[\[({{<]\s*dot\s*[\])}}>]\s*| +dot +|\.)[A-Za-z0-9-]+)*(?:\s*[\[({{<]\s*dot\s*[\])}}>]\s*| +dot +)(?:{_ENDINGS})(?![A-Za-z0-9-]))")
-_DOT = re.compile(r"(?i)\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(?:dot|\.)\s*\}|<\s*(?:dot|\.)\s*>)\s*|(?<=[A-Za-z0-9]) +dot +(?=[A-Za-z0-9])")
-#: Without "dot" a text has none of these marks but in brackets.
-_BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|\.)\s*[\])}>]")
+#: Marks in brackets; blanks around them are taken off by hand, so that a run of blanks is never tried again and again.
+_MARK = re.compile(r"(?i)\[\s*+(?:(at)|dot|\.)\s*+\]|\(\s*+(?:(at)|dot|\.)\s*+\)|\{\s*+(?:(at)|dot|\.)\s*+\}|<\s*+(?:(at)|dot|\.)\s*+>")
+_PLAIN_AT = re.compile(rf"(?i)(?<=[a-z0-9]) ++at ++(?=[a-z0-9-]+(?:(?: ++dot ++|\.)[a-z0-9-]+)* ++dot ++(?:{_ENDINGS})(?![a-z0-9-]))")
+_PLAIN_DOT = re.compile(r"(?i)(?<=[a-z0-9]) ++dot ++(?=[a-z0-9])")
+_REFERENCE = re.compile(r"(?i)&(?:#x[0-9a-f]{1,6}|#[0-9]{1,7}|commat|period|plus|hyphen|num|lowbar);|%40|%2e|%2b")
+_SPACED_END = re.compile(rf"(?i)(?: ?[a-z0-9-]+(?: ?\. ?[a-z0-9-]+)* ?\. ?(?:{_ENDINGS})|(?: [a-z0-9-])+(?: \.(?: [a-z0-9-])+)+)(?![a-z0-9-])")
+
+
+@cache
+def plain_table() -> dict[str, str]:
+    """Characters beyond ASCII that stand for ASCII ones: digits of any script, compatible forms, look-alikes, invisible ones."""
+    table = {}
+    for c in map(chr, range(0x80, 0x110000)):
+        if (digit := unicodedata.decimal(c, None)) is not None:
+            table[c] = str(digit)
+        elif (new := unicodedata.normalize("NFKC", c)).isascii():
+            table[c] = new
+    return table | {"。": "."} | LOOKALIKES | dict.fromkeys(INVISIBLE, "")
+
+
+@cache
+def strange() -> re.Pattern:
+    points = sorted(map(ord, plain_table()))
+    ranges, begin = [], points[0]
+    for x, y in zip(points, [*points[1:], None], strict=True):
+        if y != x + 1:
+            ranges.append(f"\\U{begin:08x}-\\U{x:08x}")
+            begin = y
+    return re.compile(f"[{''.join(ranges)}]")
+
+
+Edit = tuple[int, int, str]
 
 
 class Mapped:
-    """A rewritten text; ``starts`` and ``ends`` have the source range of each of its characters (None: unchanged)."""
+    """A rewritten text and the edits of each rewriting, by which places are mapped back to the source."""
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, None, None
+        self.text, self.layers = text, []
 
-    def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
+    def rewrite(self, edits: list[Edit]) -> None:
         """Edits are (start, end, new text) in order, without overlaps. New text comes from the whole range it replaces."""
         if not edits:
             return
-        old_starts = self.starts if self.starts is not None else range(len(self.text))
-        old_ends = self.ends if self.ends is not None else range(1, len(self.text) + 1)
-        out, starts, ends, at = [], [], [], 0
-        for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
+        out, places, at, size = [], [], 0, 0
+        for a, b, new in edits:
             out += [self.text[at:a], new]
-            starts += [*old_starts[at:a], *[old_starts[a]] * len(new)] if new else old_starts[at:a]
-            ends += [*old_ends[at:a], *[old_ends[b - 1]] * len(new)] if new else old_ends[at:a]
+            places.append(size + a - at)
+            size += a - at + len(new)
             at = b
-        self.text, self.starts, self.ends = "".join(out), starts, ends
+        self.text = "".join([*out, self.text[at:]])
+        self.layers.append((places, edits))
 
     def source(self, a: int, b: int) -> Span:
-        return (a, b) if self.starts is None else (self.starts[a], self.ends[b - 1])
+        """Where the characters from ``a`` up to ``b`` came from."""
+        last = b - 1
+        for places, edits in reversed(self.layers):
+            a, last = self._before(places, edits, a)[0], self._before(places, edits, last)[1]
+        return a, last + 1
 
+    @staticmethod
+    def _before(places: list[int], edits: list[Edit], at: int) -> Span:
+        """The first and last character that one character came from."""
+        k = bisect_right(places, at) - 1
+        if k < 0:
+            return at, at
+        a, b, new = edits[k]
+        past = at - places[k] - len(new)
+        return (a, b - 1) if past < 0 else (b + past, b + past)
 
-def plain_characters(m: Mapped) -> None:
-    def plain(c: str) -> str:
-        if "！" <= c <= "～":
-            return chr(ord(c) - 0xFEE0)
-        if "٠" <= c <= "٩":
-            return str(ord(c) - 0x660)
-        return "." if c in "․。" else "" if c in "­​‌‍⁠﻿" else LOOKALIKES.get(c, c)
 
-    m.rewrite([(x.start(), x.end(), new) for x in _STRANGE.finditer(m.text) if (new := plain(x[0])) != x[0]])
+def references(m: Mapped) -> None:
+    def plain(x: str) -> str:
+        return chr(int(x[1:], 16)) if x[0] == "%" else html.unescape(x)
+
+    m.rewrite([(*x.span(), plain(x[0])) for x in _REFERENCE.finditer(m.text)])
+
+
+def plain_characters(m: Mapped) -> None:
+    table = plain_table()
+    m.rewrite([(*x.span(), table[x[0]]) for x in strange().finditer(m.text)])
 
 
 def plain_digits(m: Mapped) -> None:
@@ -140,24 +190,59 @@ def plain_digits(m: Mapped) -> None:
     for run in _SPELLED.finditer(m.text):
         for x in _SPELLED_ITEM.finditer(m.text, *run.span()):
             word = x[0].lower()
-            edits.append((*x.span(), "+" if word == "plus" else "." if word in ("dot", "point") else DIGIT_WORDS.get(word, word if word.isdigit() else "")))
+            if x[1]:
+                new = DIGIT_WORDS[x[2].lower()] * TIMES[x[1].lower()]
+            else:
+                new = "+" if word == "plus" else "." if word in ("dot", "point") else DIGIT_WORDS.get(word, word if word.isdigit() else "")
+            edits.append((*x.span(), new))
     m.rewrite(edits)
 
 
 def plain_marks(m: Mapped) -> None:
-    m.rewrite([(*x.span(), "@") for x in _AT.finditer(m.text)])
-    m.rewrite([(*x.span(), ".") for x in _DOT.finditer(m.text)])
+    edits, text, done = [], m.text, 0
+    for x in _MARK.finditer(text):
+        a, b = x.span()
+        while a > done and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        edits.append((a, b, "@" if x.lastindex else "."))
+        done = b
+    m.rewrite(edits)
+    m.rewrite([(*x.span(), "@") for x in _PLAIN_AT.finditer(m.text)])
+    m.rewrite([(*x.span(), ".") for x in _PLAIN_DOT.finditer(m.text)])
+
+
+def closed_up(m: Mapped) -> None:
+    """Blanks within addresses: ``name @ host . com`` and ``n a m e @ h o s t . c o m``."""
+    edits, text, done = [], m.text, 0
+    at = text.find("@")
+    while at >= 0:
+        a = at - 1 if text[at - 1 : at] == " " else at
+        tail = _SPACED_END.match(text, at + 1)
+        if a > done and text[a - 1] in _LOCAL and tail and (a < at or " " in tail[0]):
+            # single characters between blanks, up to a word of more than one
+            while a - 2 > done and text[a - 2] == " " and text[a - 3] in _LOCAL and (a - 3 == 0 or text[a - 4] == " "):
+                a -= 2
+            edits += [(i, i + 1, "") for i in range(a, tail.end()) if text[i] == " "]
+            done = tail.end()
+        at = text.find("@", at + 1)
+    m.rewrite(edits)
 
 
 def disguised(text: str) -> list[tuple[int, int, str]]:
     """What shows only after rewriting, as source ranges; cheap searches pass over texts without any disguise."""
     m = Mapped(text)
-    if _STRANGE.search(text):
+    if "&" in text or "%" in text:
+        references(m)
+    if not m.text.isascii():
         plain_characters(m)
     plain_digits(m)
-    if "dot" in m.text.lower() or _BRACKETED.search(m.text):
+    if "dot" in m.text.lower() or _MARK.search(m.text):
         plain_marks(m)
-    if m.starts is None:
+    if "@" in m.text:
+        closed_up(m)
+    if not m.layers:
         return []
     found = []
     for a, k, b in detect(m.text):
@@ -169,8 +254,17 @@ def disguised(text: str) -> list[tuple[int, int, str]]:
 def find(text: str) -> tuple[list, list]:
     """Plain spans, and all spans, as (start, kind's place in KINDS, end) in order."""
     base = detect(text)
-    extra = [x for x in disguised(text) if not any(x[1] == y[1] and y[0] <= x[0] and x[2] <= y[2] for y in base)]
-    return base, sorted({*base, *extra})
+    extra = disguised(text)
+    if not extra:
+        return base, base
+    own = [[x for x in base if x[1] == k] for k in range(len(KINDS))]  # in order and without overlaps, in each kind
+    starts = [[x[0] for x in kind] for kind in own]
+
+    def within(x: tuple[int, int, int]) -> bool:
+        at = bisect_right(starts[x[1]], x[0]) - 1
+        return at >= 0 and x[2] <= own[x[1]][at][2]
+
+    return base, sorted({*base, *(x for x in extra if not within(x))})
 
 
 def shown(spans: list) -> str:
