@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -35,12 +34,8 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="examweft-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -74,3 +69,47 @@ def map_batches(
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+#: Bits of a Bloom filter for each key, bits at most (8 MB, whatever the input), places of a key.
+KEY_BITS, FILTER_BITS, PLACES = 16, 1 << 26, 4
+
+
+def _places(key: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(PLACES)]
+
+
+def may_be_in(keys: DataFrame, most_bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """A test of columns against a Bloom filter of ``keys`` (a table of one column): false only where a value isn't in it.
+
+    The filter is one array of words in a written table, which plans read as a scalar. Its size is bounded; beyond
+    ``most_bits / KEY_BITS`` keys more values pass the test than need to, and what tests them further has more to do.
+    """
+    spark, name = keys.sparkSession, keys.columns[0]
+    bits = 1 << 16
+    while bits < min(most_bits, KEY_BITS * keys.count()):
+        bits *= 2
+    places = keys.select(F.explode(F.array(*_places(F.col(name), bits))).alias("place"))
+    word = F.shiftrightunsigned("place", 6).alias("word")
+    words = places.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits"))
+    every = spark.range(bits // 64).join(words, F.col("id") == F.col("word"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    row = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda w: w["bits"]).alias("words"))
+    row = materialize(row, "filter")
+
+    def test(key: Column) -> Column:
+        words = row.scalar()
+        found = F.lit(True)
+        for place in _places(key, bits):
+            found = found & (F.getbit(words[F.shiftrightunsigned(place, 6)], place.bitwiseAND(63).cast("int")) == 1)
+        return found
+
+    return test
+
+
+def without(df: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` isn't in ``gone`` (a table of one column), null-safe. Only rows that pass a filter
+    of what goes are shuffled."""
+    maybe = may_be_in(gone)
+    name = gone.columns[0]
+    asked = df.where(maybe(F.col(column)))
+    return df.where(~maybe(F.col(column))).unionByName(asked.join(gone, asked[column].eqNullSafe(gone[name]), "left_anti"))

@@ -2,14 +2,15 @@
 
 Each task is a memtable: it digests its rows, sorts them by digest and flushes them as one sorted run,
 a Parquet file with a Bloom filter and min/max statistics on the digest, which serve lookups of given
-texts. Compaction reads every run anyway and merges them:
-one entry for each digest, with the identifier that stays and the number of rows. Digests with more
-than one row are hits; the texts behind them are compared byte for byte by grouping the hits on their
-whole text. Should two texts share a digest, the rows of that digest are resolved by text instead.
-
-Only digests and identifiers (some 50 bytes a row) are kept per document; texts move once, in the byte
-check. Groups are pre-aggregated in each task, so that a text which a third of all rows hold costs one
-row a task; the join that hands the result back to the rows is one that adaptive execution can split.
+texts. Compaction merges runs, and levels made of runs, into one level: an entry for each digest, with
+the identifier that stays and the number of rows. Digests of more than one row are hits. A Bloom filter of
+the hits is asked before anything else moves: rows that it rules out are alone, and neither their entries
+nor their texts are shuffled again. Texts of rows that pass are grouped by the whole text, which compares
+them byte for byte. Should two texts share a digest, the rows of that digest are resolved by text.
+
+Some 50 bytes a row move in compaction; after it only hits do (and the few rows that the filter lets
+through in vain). Groups are pre-aggregated in each task, so that a text which a third of all rows hold
+costs one row a task; the join that hands the result back to hits is one that adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -19,19 +20,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from examweft.llm.common import materialize, whole_text
+from examweft.llm.common import materialize, may_be_in, whole_text, without
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+#: Digests hardly repeat within a run: a dictionary would gain nothing, and the writer leaves the filter out beside one.
+SORTED_RUN = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.enable.dictionary#digest": "false"}
+
+
 def flush(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """The sorted runs: (id, digest), one file for each memtable, filtered by digest."""
     runs = docs.select(F.col(id_col).alias("id"), digest(whole_text(text_col)).alias("digest"))
-    # Digests hardly repeat within a run: a dictionary would gain nothing, and the writer leaves the filter out beside one.
-    options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.enable.dictionary#digest": "false"}
-    return materialize(runs.sortWithinPartitions("digest", "id"), "runs", **options)
+    return materialize(runs.sortWithinPartitions("digest", "id"), "runs", **SORTED_RUN)
 
 
 def lookup(runs: DataFrame, texts: list[str], digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -43,9 +46,18 @@ def lookup(runs: DataFrame, texts: list[str], digest: Callable[[Column], Column]
 
 
 def compact(runs: DataFrame, keep: str = "min") -> DataFrame:
-    """The merged level: digest, keep_id, n. ``keep``: which identifier of a digest stays, "min" or "max"."""
+    """Runs as one level: digest, keep_id, n. ``keep``: which identifier of a digest stays, "min" or "max"."""
+    return merge([runs.select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n"))], keep)
+
+
+def merge(levels: list[DataFrame], keep: str = "min") -> DataFrame:
+    """Levels (digest, keep_id, n) merged into the next one, sorted like a run; so a growing corpus needs only its new runs read."""
     best = {"min": F.min, "max": F.max}[keep]
-    return runs.groupBy("digest").agg(best("id").alias("keep_id"), F.count("*").alias("n"))
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    merged = every.groupBy("digest").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    return materialize(merged.sortWithinPartitions("digest"), "level", **SORTED_RUN)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -57,32 +69,32 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     table gives an empty result; other columns are ignored, whatever their names.
     """
     runs = flush(docs, id_col, text_col, digest)
-    level = materialize(compact(runs, keep), "level")
-    hits = level.where("n > 1").select("digest")
+    level = compact(runs, keep)
+    hits = level.where("n > 1")
+    is_hit = may_be_in(hits.select("digest"))
     best = {"min": F.min, "max": F.max}[keep]
-    texts = (
-        docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-        .withColumn("digest", digest(F.col("text")))
-        .join(hits, "digest", "left_semi")
-        .groupBy("text")
-        .agg(best("id").alias("keep_id"), F.count("*").alias("n"))
-        .select(digest(F.col("text")).alias("digest"), "keep_id", "n", F.sha2("text", 512).alias("exact"))
-    )
+    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).where(is_hit(digest(whole_text(text_col))))
+    texts = rows.groupBy("text").agg(best("id").alias("keep_id"), F.count("*").alias("n")).select(digest(F.col("text")).alias("digest"), "keep_id", "n", F.sha2("text", 512).alias("exact"))
     verified = materialize(texts, "verified")
     collided = verified.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
-    merged = runs.join(level, "digest", "left")
-    if not collided.isEmpty():
-        merged = _by_text(docs, id_col, text_col, digest, collided, verified, runs, level)
+    shared = runs.where(is_hit(F.col("digest")))
+    if collided.isEmpty():
+        found = shared.join(hits, "digest", "left").select("id", "digest", "keep_id", "n")
+    else:
+        found = _by_text(rows, digest, collided, verified, shared, hits)
+    alone = F.col("n").isNull()  # the filter let it through in vain
+    found = found.select("id", "digest", F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("n"))
+    rest = runs.where(~is_hit(F.col("digest"))).select("id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
+    merged = rest.unionByName(found)
     kept = F.col("id").eqNullSafe(F.col("keep_id"))
     return merged.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), kept.alias("kept"), "digest")
 
 
-def _by_text(docs, id_col, text_col, digest, collided, verified, runs, level):
+def _by_text(rows, digest, collided, verified, shared, hits):
     """Rows of digests that several texts share are looked up by a digest of another kind and twice the length."""
-    rest = runs.join(collided, "digest", "left_anti").join(level, "digest", "left").select("id", "digest", "keep_id", "n")
+    rest = shared.join(collided, "digest", "left_anti").join(hits, "digest", "left").select("id", "digest", "keep_id", "n")
     again = (
-        docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-        .select("id", digest(F.col("text")).alias("digest"), F.sha2("text", 512).alias("exact"))
+        rows.select("id", digest(F.col("text")).alias("digest"), F.sha2("text", 512).alias("exact"))
         .join(collided, "digest", "left_semi")
         .join(verified.select("exact", "keep_id", "n"), "exact")
         .select("id", "digest", "keep_id", "n")
@@ -97,4 +109,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = groups(docs, id_col, text_col, keep)
     gone = materialize(found.groupBy(F.col(id_col).alias("_gone")).agg(F.bool_or("kept").alias("kept")).where("not kept").select("_gone"), "gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, gone, id_col)

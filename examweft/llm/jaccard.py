@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examweft.llm.common import map_batches, materialize, shuffle_partitions, whole_text
+from examweft.llm.common import map_batches, materialize, shuffle_partitions, whole_text, without
 from examweft.llm.graph import components
 
 WORDS, PERCENT = 5, 75
@@ -453,4 +453,4 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = near_duplicates(docs, id_col, text_col)
     stays = F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id")))
     gone = materialize(found.groupBy(F.col(id_col).alias("_gone")).agg(stays.alias("stays")).where("not stays").select("_gone"), "gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, gone, id_col)

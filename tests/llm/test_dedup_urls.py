@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from examweft.llm import dedup, urls
+from examweft.llm import common, dedup, urls
 
 
 def brute_groups(rows, keep):
@@ -46,6 +46,27 @@ def test_runs_have_filters_and_answer_lookups(odd):
     assert sorted(r.id for r in dedup.lookup(runs, ["Same text here twice", "never seen"]).collect()) == [4, 4, 5]
 
 
+def test_levels_merge(spark):
+    """Levels of parts merge into the level of the whole."""
+    rng = random.Random(2)
+    parts = [spark.createDataFrame([(1000 * k + i, str(rng.randint(0, 60))) for i in range(100)], "doc_id long, text string") for k in range(3)]
+    levels = [dedup.compact(dedup.flush(p, "doc_id", "text", dedup.sha256)) for p in parts]
+    whole = dedup.compact(dedup.flush(parts[0].unionByName(parts[1]).unionByName(parts[2]), "doc_id", "text", dedup.sha256))
+    rows = lambda df: sorted((bytes(r.digest), r.keep_id, r.n) for r in df.collect())
+    assert rows(dedup.merge([dedup.merge(levels[:2]), levels[2]])) == rows(whole)
+
+
+@pytest.mark.parametrize("most_bits", [1 << 8, 1 << 26])
+def test_filter_has_all_its_keys(spark, most_bits):
+    keys = spark.range(0, 4000, 2).select(F.col("id").cast("string").alias("k"))
+    test = common.may_be_in(keys, most_bits)
+    got = spark.range(4000).select("id", test(F.col("id").cast("string")).alias("held")).collect()
+    assert all(r.held for r in got if r.id % 2 == 0)
+    passed = sum(r.held for r in got if r.id % 2)
+    assert passed < 100 if most_bits > 1 << 20 else passed <= 2000
+    assert not any(r.held for r in spark.range(9).select(common.may_be_in(keys.where("false"))(F.col("id").cast("string")).alias("held")).collect())
+
+
 def brute_judge(url, rules, default):
     if url is None or "://" not in url:
         return "", "", None, default
