@@ -84,6 +84,23 @@ def test_packing(spark, seed):
     assert len(rows) == 3000 and len(bins) <= -(-sum(lengths) // 2048) * 1.03 + 4
 
 
+def test_the_bound_binds():
+    """In the query's own settings bins do close, and the sequences stay within one per cent of the lower bound."""
+    rng = random.Random(3)
+    lengths = [rng.choice([int(rng.paretovariate(0.7) * 12) % 2048 + 1, rng.randint(1, 2048)]) for _ in range(packing.SHARD)]
+    bins = packing.Bins(packing.CAPACITY, packing.OPEN_BINS)
+    for at in range(0, len(lengths), packing.WINDOW):
+        for n in sorted(lengths[at : at + packing.WINDOW], reverse=True):
+            bins.place(n)
+            assert bins.count <= packing.OPEN_BINS
+    assert bins.closed > 0 and bins.opened <= sum(lengths) / packing.CAPACITY * 1.01
+
+
+def test_columns_left_out(spark):
+    df = spark.createDataFrame([(1, 0, 0, 5, 7, "x", 3)], "doc_id long, piece int, start long, length long, ids_crc32 long, _shard string, offset int")
+    assert packing.pack(df).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
 def test_best_fit_and_closing():
     bins = packing.Bins(10, 2)
     assert [bins.place(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
