@@ -1,7 +1,7 @@
 """Relational chat formatting with Spark expressions only.
 
-A conversation becomes ``<s>``, its turns, ``</s>``. A turn is ``<|=role|>text``; a turn whose role is
-that of the one before it is merged into that turn's block as ``<|+role|>text``. Inside roles and texts
+A conversation becomes ``<s>``, its blocks, ``</s>``. An array aggregation merges adjacent turns of one role
+into a block, ``<|=role|>text`` and for each further turn ``<|+role|>text``. Inside roles and texts
 a backslash, ``<`` and ``[`` (in roles ``|`` as well) are written as two characters that hold none of
 them, so that no text can hold a control string, and reading back is exact.
 
@@ -55,11 +55,23 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
     )
     stretch = rows.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list("t")).alias("ts"))
 
-    def written(t: Column, i: Column) -> Column:
-        mark = F.when(i == 0, "").when(F.col("ts")[i - 1]["role"] == t["role"], "<|+").otherwise("<|=")
-        head = F.concat(mark, escape(t["role"], "<[|"), F.lit("|>"))
-        body = escape(t["text"])
-        return F.struct(F.concat(head, body).alias("s"), F.length(head).alias("h"), F.length(body).alias("b"), t["role"].isin(*loss_roles).alias("loss"))
+    none = F.array().cast("array<struct<role:string,texts:array<string>>>")
+
+    def merged(blocks: Column, t: Column) -> Column:
+        last = F.try_element_at(blocks, F.lit(-1))
+        block = lambda texts: F.array(F.struct(t["role"].alias("role"), texts.alias("texts")))
+        grown = F.concat(F.slice(blocks, F.lit(1), F.greatest(F.size(blocks) - 1, F.lit(0))), block(F.concat(last["texts"], F.array(t["text"]))))
+        return F.when(last["role"] == t["role"], grown).otherwise(F.concat(blocks, block(F.array(t["text"]))))
+
+    def written(block: Column, i: Column) -> Column:
+        """The parts of a block; a stretch's first part gets its mark where stretches are joined."""
+
+        def part(text: Column, j: Column) -> Column:
+            mark = F.when(j > 0, "<|+").when(i > 0, "<|=").otherwise("")
+            head, body = F.concat(mark, escape(block["role"], "<[|"), F.lit("|>")), escape(text)
+            return F.struct(F.concat(head, body).alias("s"), F.length(head).alias("h"), F.length(body).alias("b"), block["role"].isin(*loss_roles).alias("loss"))
+
+        return F.transform(block["texts"], part)
 
     spans_type = "array<struct<start:int,end:int>>"
 
@@ -69,7 +81,7 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
         return F.struct((start + p["b"]).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(spans_type).alias("spans"))
-    stretch = stretch.withColumn("ps", F.transform("ts", written)).select(
+    stretch = stretch.withColumn("blocks", F.aggregate("ts", none, merged)).withColumn("ps", F.flatten(F.transform("blocks", written))).select(
         "conv_id",
         F.struct(
             "chunk",
@@ -109,11 +121,31 @@ def read_back(formatted: Column) -> Column:
     return F.transform(parts, turn)
 
 
-def digests(formatted: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """The digest columns of formatted conversations, all derived from the formatted text."""
-    back = formatted.withColumn("back", read_back(F.col("formatted")))
-    loss = F.array_join(F.transform(F.filter("back", lambda t: t["role"].isin(*loss_roles)), lambda t: t["text"]), "")
-    return back.withColumn("loss", loss).select(
+#: Spans that are read together: bounds how often a stretch of the text is passed over.
+TOGETHER = 64
+
+
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """What the spans of the loss mask cover, unescaped, one after another. Spans are in order; groups of them are cut out
+    of the text first, and each span out of its group's part."""
+
+    def cut(text: Column, span: Column, before: Column) -> Column:
+        return F.substr(text, span["start"] - before + 1, span["end"] - span["start"])
+
+    def group(i: Column) -> Column:
+        own = F.slice(spans, i * TOGETHER + 1, F.lit(TOGETHER))
+        begin, end = own[0]["start"], F.element_at(own, -1)["end"]
+        part = F.array(F.struct(F.substr(formatted, begin + 1, end - begin).alias("text"), begin.alias("begin"), own.alias("own")))
+        return F.array_join(F.flatten(F.transform(part, lambda p: F.transform(p["own"], lambda s: unescape(cut(p["text"], s, p["begin"]))))), "")
+
+    groups = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / TOGETHER).cast("int"))
+    return F.when(F.size(spans) == 0, "").otherwise(F.array_join(F.transform(groups, group), ""))
+
+
+def digests(formatted: DataFrame) -> DataFrame:
+    """The digest columns of formatted conversations: turns read back from the formatted text, loss text by its mask."""
+    back = formatted.withColumn("back", read_back(F.col("formatted"))).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
+    return back.select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),

@@ -40,5 +40,14 @@ def test_round_trip(turns):
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_digests_follow_the_mask(turns):
+    """The loss digest is what the mask covers: with half of the spans it is half of the text."""
+    out = chat.format_conversations(turns).withColumn("loss_spans", F.slice("loss_spans", F.lit(1), F.size("loss_spans") - F.floor(F.size("loss_spans") / 2).cast("int")))
+    whole = {r.conv_id: r.loss_chars for r in chat.digests(chat.format_conversations(turns)).collect()}
+    assert any(r.loss_chars < whole[r.conv_id] for r in chat.digests(out).collect())
+    none = chat.format_conversations(turns, ("nobody",))
+    assert all(r.loss_chars == 0 and r.loss_sha256 == hashlib.sha256(b"").hexdigest() for r in chat.digests(none).collect())
+
+
 def test_nothing(turns):
     assert chat.digests(chat.format_conversations(turns.where("false"))).count() == 0
