@@ -1,11 +1,16 @@
 """A quality classifier by positive-unlabelled learning.
 
-Only documents marked good are trusted as such; all others are unlabelled text, a mixture of good and bad
-in a share that the class prior states. A linear model on binned text statistics minimises the
-non-negative unbiased risk: pi * E_p[loss(f, +1)] + max(0, E_u[loss(f, -1)] - pi * E_p[loss(f, -1)]).
+Only documents marked good are trusted; marks of bad documents are never read. All training documents together
+are unlabelled text, a mixture of good and bad in a share that the class prior states. The prior is estimated
+from the two samples alone: a first model, fitted on one half of them, orders the documents of the other half, and
+the prior is the least ratio of the unlabelled to the positive share among those above any place in that order
+(with a margin for chance).
+A linear model on binned text statistics and hashed words and word pairs then minimises the non-negative
+unbiased risk: pi * E_p[loss(f, +1)] + max(0, E_u[loss(f, -1)] - pi * E_p[loss(f, -1)]).
+
 With the squared loss the risk depends on the data only by first and second moments, so that one pass over
-all documents (no sample) gives a table of fixed size, and the minimum is found from that. The score is
-then calibrated on the labelled training rows, again from a table of fixed size.
+all documents (no sample) gives a table of fixed size, and the minimum is found from that; the loss's own
+minimum is twice the probability of good less one, which makes the score without any calibration.
 """
 
 from __future__ import annotations
@@ -18,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from examweft.llm.common import map_batches, materialize, whole_text
+from examweft.llm.common import map_batches, materialize, whole_text, without
+from examweft.llm.jaccard import word_hashes
 
 #: The statistics of a text, and the knots between which each is interpolated (parameters of the model).
 FEATURES = {
@@ -36,8 +42,13 @@ FEATURES = {
     "spaces": (0, 0.1, 0.2, 0.4, 1),
     "beyond_ascii": (0, 0.02, 0.1, 1),
 }
-SIZE = 1 + sum(map(len, FEATURES.values()))
+#: Places for hashed words, and as many for hashed pairs of words.
+HASHED = 64
+SIZE = 1 + sum(map(len, FEATURES.values())) + 2 * HASHED
 THRESHOLD, FOLDS, BINS, RIDGE = 0.3, 5, 256, 1e-3
+#: How sure the bound on the prior is to hold: the chance that either sample's share is further off than allowed for.
+CHANCE = 0.1
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SYMBOLS = np.frombuffer(b"#$%&*+<=>@[]^_`{}~\\", np.uint8)
 _P = np.triu_indices(SIZE)
 
@@ -54,14 +65,25 @@ def statistics(text: bytes) -> tuple[float, ...]:
     )
 
 
-def basis(stats: np.ndarray) -> np.ndarray:
-    """Rows of statistics as rows of hat functions at the knots, after a constant."""
+def grams(text: bytes) -> bytes:
+    """Shares of hashed words and pairs of neighbouring words: square roots, in 255ths."""
+    _, words = word_hashes(np.frombuffer(text.translate(_LOWER), np.uint8))
+    pairs = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]
+    out = []
+    for x in (words, pairs ^ pairs >> np.uint64(29)):
+        n = np.bincount((x % np.uint64(HASHED)).astype(np.int64), minlength=HASHED)
+        out.append(np.rint(255 * np.sqrt(n / max(1, len(x)))))
+    return np.concatenate(out).astype(np.uint8).tobytes()
+
+
+def basis(stats: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Rows of hat functions at the statistics' knots after a constant, then the shares of hashed words and pairs."""
     parts = [np.ones((len(stats), 1))]
     for j, knots in enumerate(FEATURES.values()):
         k = np.array(knots, float)
         x = np.clip(stats[:, j], k[0], k[-1])
         parts.append(np.stack([np.interp(x, k, row) for row in np.eye(len(k))], axis=1))
-    return np.concatenate(parts, axis=1)
+    return np.concatenate([*parts, shares], axis=1)
 
 
 def fold(id_col: str) -> Column:
@@ -72,32 +94,34 @@ def fold(id_col: str) -> Column:
 @dataclass(frozen=True)
 class Model:
     weights: tuple[float, ...]
-    slope: float
-    shift: float
     prior: float
 
-    def scores(self, stats: np.ndarray) -> np.ndarray:
-        z = self.slope * self.margin(stats) + self.shift
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return (self.margin(x) + 1) / 2
 
-    def margin(self, stats: np.ndarray) -> np.ndarray:
-        return np.clip(basis(stats) @ np.array(self.weights), -2, 2)
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(x @ np.array(self.weights), -1, 1)
 
 
-def _stack(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), float).reshape(len(column), len(FEATURES))
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    """The basis functions of a batch with stats and grams, a row for each document."""
+    n = batch.num_rows
+    stats = np.asarray(batch.column("stats").flatten(), float).reshape(n, len(FEATURES))
+    shares = np.frombuffer(b"".join(batch.column("grams").to_pylist()), np.uint8).reshape(n, 2 * HASHED)
+    return basis(stats, shares / 255)
 
 
 def features(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``stats`` (array<double>) of each whole text; null counts as empty."""
+    """``keep``, ``stats`` (array<double>) and ``grams`` (binary) of each whole text; null counts as empty."""
     keep = list(keep)
 
     def function(batch: pa.RecordBatch) -> pa.RecordBatch:
-        stats = [statistics(t.as_buffer().to_pybytes()) for t in batch.column("_text").cast(pa.binary())]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(stats, pa.list_(pa.float64()))], names=[*keep, "stats"])
+        texts = [t.as_buffer().to_pybytes() for t in batch.column("_text").cast(pa.binary())]
+        stats, shares = [statistics(t) for t in texts], [grams(t) for t in texts]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(stats, pa.list_(pa.float64())), pa.array(shares, pa.binary())], names=[*keep, "stats", "grams"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return map_batches(docs.select(*keep, whole_text(text_col).alias("_text")), function, f"{kept}, stats array<double>")
+    return map_batches(docs.select(*keep, whole_text(text_col).alias("_text")), function, f"{kept}, stats array<double>, grams binary")
 
 
 def moments(rows: DataFrame, group: str) -> dict:
@@ -106,14 +130,14 @@ def moments(rows: DataFrame, group: str) -> dict:
     def run(batches):
         sums: dict = {}
         for batch in batches:
-            x, names = basis(_stack(batch.column("stats"))), np.array(batch.column(group).to_pylist())
+            x, names = _rows(batch), np.array(batch.column(group).to_pylist())
             for g in set(names.tolist()):
                 own = x[names == g]
                 sums[g] = sums.get(g, 0) + np.concatenate((own.sum(axis=0), (own.T @ own)[_P]))
         for g, values in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([g] * len(values)), pa.array(range(len(values)), pa.int32()), pa.array(values)], names=["g", "cell", "value"])
 
-    cells = rows.select(group, "stats").mapInArrow(run, "g string, cell int, value double").groupBy("g", "cell").agg(F.sum("value").alias("value"))
+    cells = rows.select(group, "stats", "grams").mapInArrow(run, "g string, cell int, value double").groupBy("g", "cell").agg(F.sum("value").alias("value"))
     out: dict = {}
     for r in cells.collect():  # a fixed number of cells for each of two groups
         out.setdefault(r["g"], np.zeros(SIZE + len(_P[0])))[r["cell"]] = r["value"]
@@ -130,7 +154,7 @@ def minimise(positive: tuple, unlabelled: tuple, prior: float, steps: int = 400)
     """The weights of least non-negative risk, from the unbiased risk's own minimum on."""
     (n_p, p, pp), (n_u, u, uu) = positive, unlabelled
     p, pp, u, uu = p / n_p, pp / n_p, u / n_u, uu / n_u
-    ridge = (RIDGE + 1 / min(n_p, n_u)) * np.eye(SIZE)  # few documents say little
+    ridge = (RIDGE + 3 / min(n_p, n_u)) * np.eye(SIZE)  # few documents say little
     w = np.linalg.solve(uu + ridge, 2 * prior * p - u)
     rate = 0.5 / np.linalg.eigvalsh(uu + prior * pp + ridge)[-1]
 
@@ -148,66 +172,65 @@ def minimise(positive: tuple, unlabelled: tuple, prior: float, steps: int = 400)
     return best
 
 
-def calibrate(table: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """Slope and shift of the logistic curve through (margin, bad, good) counts, by Newton steps."""
-    x, bad, good = (np.array(c, float) for c in zip(*table, strict=True))
-    n, a, b = bad + good, 1.0, 0.0
-    target = (good + 1 / len(x)) / (n + 2 / len(x))
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-        grad = np.array([np.sum(n * (q - target) * x) + 1e-3 * a, np.sum(n * (q - target))])
-        s = n * q * (1 - q) + 1e-9
-        hess = np.array([[np.sum(s * x * x) + 1e-3, np.sum(s * x)], [np.sum(s * x), np.sum(s)]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - np.clip(step[0], -5, 5), b - np.clip(step[1], -5, 5)
-    return float(a), float(b)
+def estimate_prior(table: list[tuple[int, int, int]]) -> float:
+    """The share of good among unlabelled documents from (bin, positive, unlabelled) counts, bins in order of the margin.
+
+    Above any place in the order, the unlabelled share is the prior times the positive share at least; where bad
+    documents are few it is little more. Of all places the one counts whose ratio has the least upper bound.
+    """
+    _, p, u = (np.array(c, float) for c in zip(*sorted(table, reverse=True), strict=True))
+    n_p, n_u = p.sum(), u.sum()
+    above_p, above_u = np.cumsum(p) / n_p, np.cumsum(u) / n_u
+    slack = np.sqrt(np.log(4 / CHANCE) / 2) * (1 / np.sqrt(n_p) + 1 / np.sqrt(n_u))
+    seen = above_p > 0
+    best = np.argmin((above_u[seen] + slack) / above_p[seen])
+    return float(np.clip(above_u[seen][best] / above_p[seen][best], 1 / (n_u + 1), 1))
 
 
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model:
-    """A model from all rows outside fold 0: ``stats`` has id_col and stats, ``labels`` id_col and label_col.
+    """A model from all rows outside fold 0: ``stats`` has id_col, stats and grams, ``labels`` id_col and label_col.
 
-    Of several labels for one identifier the largest counts; null labels are none. The class prior is
-    estimated as the share of good among labelled training rows. With no positive, or nothing unlabelled
-    and nothing labelled, every document scores the prior (0.5 without any label).
+    A document is trusted where any label of its identifier is 1; no other label is looked at. Without a trusted
+    document every document scores 0.5.
     """
-    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("label"))
+    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("_id")).distinct().withColumn("good", F.lit(True))
+    half = F.when(fold(id_col) <= FOLDS // 2, "1").otherwise("2")
     train = materialize(
-        stats.where(fold(id_col) != 0).join(marks, F.col(id_col) == F.col("_id"), "left").select("stats", "label"), "train"
+        stats.where(fold(id_col) != 0).join(good, F.col(id_col) == F.col("_id"), "left")
+        .select("stats", "grams", F.concat(F.when(F.col("good"), "p").otherwise("u"), half).alias("g")), "train"
     )
-    known = {r["label"]: r["n"] for r in train.where("label is not null").groupBy(F.when(F.col("label") == 1, 1).otherwise(0).alias("label")).agg(F.count("*").alias("n")).collect()}
-    good, bad = known.get(1, 0), known.get(0, 0)
-    prior = (good + 1) / (good + bad + 2)
-    parts = moments(train.withColumn("g", F.when(F.col("label") == 1, "p").when(F.col("label").isNull(), "u")).where("g is not null"), "g")
-    if "p" not in parts:
-        return Model((0.0,) * SIZE, 0.0, float(np.log(prior / (1 - prior))), prior)
-    if "u" not in parts:
-        parts |= {"u": moments(train.withColumn("g", F.lit("u")), "g")["u"]}
-    weights = tuple(minimise(parts["p"], parts["u"], prior))
-    raw = Model(weights, 1.0, 0.0, prior)
-    return Model(weights, *calibrate(_margins(train, raw)), prior)
-
-
-def _margins(train: DataFrame, model: Model) -> list[tuple[float, int, int]]:
-    """(margin, bad, good) of labelled training rows, in a fixed number of bins."""
+    parts = moments(train, "g")
+    total = lambda *names: [sum(x) for x in zip(*(parts[n] for n in names if n in parts), strict=True)]
+    if not total("p1", "p2"):
+        return Model((0.0,) * SIZE, 0.5)
+    prior = 0.5  # where a half has no trusted document
+    if "p1" in parts and "p2" in parts:
+        first = Model(tuple(minimise(parts["p1"], total("p1", "u1"), 0.5)), 0.5)
+        prior = estimate_prior(_margins(train.where("g in ('p2', 'u2')"), first))
+    return Model(tuple(minimise(total("p1", "p2"), total("p1", "p2", "u1", "u2"), prior)), prior)
+
+
+def _margins(train: DataFrame, model: Model) -> list[tuple[int, int, int]]:
+    """(bin, positive, unlabelled) counts of training rows by margin, in a fixed number of bins; unlabelled are all."""
+    weights = np.array(model.weights)
 
     def function(batch: pa.RecordBatch) -> pa.RecordBatch:
-        place = np.floor((model.margin(_stack(batch.column("stats"))) + 2) / 4 * (BINS - 1))
-        return pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), batch.column("good")], names=["bin", "good"])
+        place = np.clip(np.floor((_rows(batch) @ weights + 2) / 4 * BINS), 0, BINS - 1)
+        return pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), batch.column("g")], names=["bin", "g"])
 
-    rows = train.where("label is not null").select("stats", F.when(F.col("label") == 1, 1).otherwise(0).alias("good"))
-    bins = map_batches(rows, function, "bin int, good int").groupBy("bin").agg(F.sum("good").alias("good"), F.count("*").alias("n")).collect()
-    return [((r["bin"] + 0.5) / (BINS - 1) * 4 - 2, r["n"] - r["good"], r["good"]) for r in bins]
+    counts = map_batches(train, function, "bin int, g string").groupBy("bin").agg(F.count_if(F.col("g").startswith("p")).alias("p"), F.count("*").alias("u"))
+    return [(r["bin"], r["p"], r["u"]) for r in counts.collect()]
 
 
 def score(stats: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """id_col, held_out, score, predicted for each row of ``stats``; the identifier is no input of the score."""
 
     def function(batch: pa.RecordBatch) -> pa.RecordBatch:
-        s = model.scores(_stack(batch.column("stats")))
+        s = model.scores(_rows(batch))
         return pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
     kind = stats.schema[id_col].dataType.simpleString()
-    return map_batches(stats.select(id_col, "stats", (fold(id_col) == 0).alias("held_out")), function, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    return map_batches(stats.select(id_col, "stats", "grams", (fold(id_col) == 0).alias("held_out")), function, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -217,11 +240,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of ``docs`` that aren't rejected, with all their columns."""
-    model = fit(materialize(features(docs, text_col, (id_col,)), "stats"), labels, id_col, label_col)
+    """The rows of ``docs`` that aren't rejected, with all their columns. Each text is looked at once; a row is known by its
+    identifier and a hash of its text."""
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("hash"))
+    stats = materialize(features(docs.withColumn("_row", row), text_col, (id_col, "_row")), "stats")
+    model = fit(stats, labels, id_col, label_col)
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        return texts.__class__(model.scores(np.array([statistics((t or "").encode()) for t in texts]).reshape(-1, len(FEATURES))))
+    def function(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.select(["_row"]).filter(pa.array(model.scores(_rows(batch)) < THRESHOLD))
 
-    return docs.where(scored(whole_text(text_col)) >= THRESHOLD)
+    bad = map_batches(stats.select("_row", "stats", "grams"), function, f"_row {stats.schema['_row'].dataType.simpleString()}").distinct()
+    bad = materialize(bad.select(F.col("_row").alias("_bad")), "rejected")
+    return without(docs.withColumn("_row", row), bad, "_row").drop("_row")
