@@ -2,12 +2,13 @@
 
 A text is cut into pieces that cover all of it, and offsets are running sums of piece lengths: positions
 from the regular-expression engine would count UTF-16 units. Windows are partitioned by document, so work
-spreads by documents; one document's pieces are ordered together.
+spreads by documents; one document's pieces are ordered together. Texts are dealt over partitions before they
+are cut, so that no piece is shuffled, and spans carry no text while they are matched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examweft.functions.text import WS, attributes
@@ -21,7 +22,8 @@ BOLD_LABELS = ("option_label", "question_label")
 
 
 def _pieces(df: DataFrame, text: str, pattern: str) -> DataFrame:
-    return df.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("p", "piece"))
+    whole = df.select("doc_id", text).repartition("doc_id")
+    return whole.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("p", "piece"))
 
 
 def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -71,15 +73,14 @@ def spans(docs: DataFrame, tagged: str = "tagged", tags: tuple[str, ...] = BASE_
         .withColumn("open", F.lag(F.struct("at", "piece", "step")).over(lag))
         .where((F.col("step") < 0) & (F.col("open.step") > 0))
     )
-    texts = docs.select("doc_id", raw_text(tagged, tags).alias("raw"))
-    found = paired.join(texts, "doc_id").select(
-        "doc_id", "p", "tag", F.col("open.at").alias("begin"), F.col("at").alias("finish"), F.regexp_extract("open.piece", TAG, 3).alias("attrs"), "raw", "bold_after"
-    )
-    bold = F.col("tag").isin(*BOLD_LABELS) & (F.col("begin") >= 2) & F.col("bold_after") & (F.substr("raw", F.col("begin") - 1, F.lit(2)) == "**")
-    wide = found.withColumn("w", F.when(bold, 2).otherwise(0)).select(
-        "doc_id", "p", "tag", "attrs", "raw", (F.col("begin") - F.col("w")).alias("start"), (F.col("finish") + F.col("w")).alias("end")
-    )
-    return wide.select(
-        "doc_id", F.row_number().over(w).alias("close_order"), "start", "end", F.col("tag").alias("label"),
-        F.substr("raw", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), attributes(F.col("attrs")).alias("params"),
-    )
+    mine = paired.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("p", "tag", F.col("open.at").alias("begin"), F.col("at").alias("finish"), F.regexp_extract("open.piece", TAG, 3).alias("attrs"), "bold_after"))).alias("found"))
+    both = mine.join(docs.select("doc_id", raw_text(tagged, tags).alias("raw")), "doc_id")
+
+    def wide(x: Column) -> Column:
+        bold = x["tag"].isin(*BOLD_LABELS) & (x["begin"] >= 2) & x["bold_after"] & (F.substr("raw", x["begin"] - 1, F.lit(2)) == "**")
+        w = F.when(bold, 2).otherwise(0)
+        start, end = x["begin"] - w, x["finish"] + w
+        return F.struct(start.alias("start"), end.alias("end"), x["tag"].alias("label"), F.substr("raw", start + 1, end - start).alias("text"), x["attrs"].alias("attrs"))
+
+    closed = both.select("doc_id", F.posexplode(F.transform("found", wide)).alias("k", "s"))
+    return closed.select("doc_id", (F.col("k") + 1).alias("close_order"), "s.start", "s.end", "s.label", "s.text", attributes(F.col("s.attrs")).alias("params"))

@@ -53,7 +53,7 @@ def exam_items(spark: SparkSession, d: str) -> DataFrame:
 
 def exam_papers(spark: SparkSession, d: str) -> DataFrame:
     """One row for each order: exam_id, questions, answers."""
-    rows = F.array_sort(F.collect_list(F.struct("place", "id", "key", "answer", "stem")))
+    rows = F.sort_array(F.collect_list(F.struct("place", "id", "key", "answer", "stem")))
     papers = exam_items(spark, d).groupBy("exam_id").agg(rows.alias("rs"))
     question = lambda r: F.struct(
         r["id"].alias("id"), r["place"]["l_linenumber"].cast("string").alias("question_number"), r["stem"].alias("stem"),
@@ -66,9 +66,8 @@ def exam_papers(spark: SparkSession, d: str) -> DataFrame:
 
 def submissions(spark: SparkSession, d: str) -> DataFrame:
     papers = exam_papers(spark, d)
-    exams = papers.select(F.col("exam_id").alias("id"), F.concat(F.lit("exam "), "exam_id").alias("title"), "questions")
-    requests = papers.select("exam_id", F.lit("student").alias("student_name"), F.lit(None).cast("string").alias("student_code"), "answers")
-    return grading.grade(requests, exams, F.lit("2024-01-01T00:00:00"))
+    keyed = papers.select("exam_id", F.concat(F.lit("exam "), "exam_id").alias("exam_title"), "questions", F.lit("student").alias("student_name"), F.lit(None).cast("string").alias("student_code"), "answers")
+    return grading.grade_in_place(keyed, F.lit("2024-01-01T00:00:00"))
 
 
 ITEMS = """items AS (

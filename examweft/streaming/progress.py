@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -38,11 +39,25 @@ EVENT = "task_id string, ms long, streamed_tokens int, estimated_tokens int"
 
 def throttle(events: DataFrame) -> DataFrame:
     """Events (task_id, ms, streamed_tokens, estimated_tokens) 80 ms after the last that was let through, or
-    at the estimate and beyond (F2). For a table; a task's events are together."""
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _throttled(pdf, None)[0]
-
-    return events.select(*EVENT_COLUMNS).groupBy("task_id").applyInPandas(one, EVENT)
+    at the estimate and beyond (F2). For a table: tasks are dealt over partitions and pass through in order, a batch
+    at a time, whatever the number of events of a task."""
+    order = ["task_id", "ms", "streamed_tokens", "estimated_tokens"]
+    rows = events.select(*EVENT_COLUMNS).repartition("task_id").sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, last = None, None
+        for batch in batches:
+            keep = []
+            names, times, done, due = (batch.column(c).to_pylist() for c in order)
+            for name, ms, streamed, estimated in zip(names, times, done, due, strict=True):
+                if name != task or last is None or ms - last >= THROTTLE_MS or streamed >= estimated:
+                    task, last = name, ms
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, EVENT)
 
 
 EVENT_COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
