@@ -1,12 +1,15 @@
-"""The engine's front: what a caller can ask of a folder of tables, one method for each request.
+"""The engine's front: what a caller can ask of its tables, one method for each request.
 
-A table is a folder of numbered snapshots. Every change writes the next one and readers take the last that is
-complete, so that a failed write changes nothing. Concurrent writers are the caller's to keep apart.
+The state is one table of changes: each request that changes anything appends its changed documents, as JSON text,
+and its deletions in one write, so that a request is done as a whole or not at all, and costs what it changes. The
+last change of a document counts. ``tidy`` writes the state without its history elsewhere.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from examweft.operators import bio, catalog, grading, tokens
 from examweft.plans import parse_lines, parse_spans, remote, storage
 
 TABLES = {"exams": schemas.EXAMS, "submissions": schemas.SUBMISSIONS, "tasks": schemas.TASKS}
+CHANGES = "kind string, id string, version long, gone boolean, data string"
 
 
 class NotFound(KeyError):
@@ -26,25 +30,46 @@ class NotFound(KeyError):
 class Engine:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        spark.createDataFrame([], CHANGES).write.mode("ignore").partitionBy("kind").parquet(self.root)
 
     # --- state ------------------------------------------------------------------------------------
 
-    def _versions(self, name: str) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/*/_SUCCESS")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
-        return sorted(int(s.getPath().getParent().getName()) for s in found or [])
-
     def table(self, name: str) -> DataFrame:
-        """The current snapshot of a table; an empty one before the first write."""
-        versions = self._versions(name)
-        if not versions:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{versions[-1]:08d}")
+        """The documents of a kind that are in force."""
+        changes = self.spark.read.schema(CHANGES).parquet(self.root).where(F.col("kind") == name)
+        last = changes.groupBy("id").agg(F.max_by(F.struct("data", "gone"), "version").alias("c")).where("not c.gone")
+        columns = self.spark.createDataFrame([], TABLES[name]).schema
+        return last.select(F.from_json("c.data", columns).alias("d")).select("d.*")
+
+    def _write(self, *changes: DataFrame) -> int:
+        """All changes of a request, in one append; returns its version."""
+        version = time.time_ns()
+        rows = reduce(DataFrame.unionByName, changes).withColumn("version", F.lit(version))
+        rows.select("kind", "id", "version", "gone", "data").write.mode("append").partitionBy("kind").parquet(self.root)
+        return version
+
+    def _changed(self, name: str, rows: DataFrame) -> DataFrame:
+        columns = self.spark.createDataFrame([], TABLES[name]).columns
+        whole = catalog.newest_per_key(rows.select(*columns))
+        return whole.select(F.lit(name).alias("kind"), "id", F.lit(False).alias("gone"), F.to_json(F.struct(*columns)).alias("data"))
+
+    def _gone(self, name: str, ids: DataFrame) -> DataFrame:
+        return ids.select(F.lit(name).alias("kind"), "id", F.lit(True).alias("gone"), F.lit(None).cast("string").alias("data"))
 
     def save(self, name: str, rows: DataFrame) -> None:
-        versions = self._versions(name)
-        columns = self.spark.createDataFrame([], TABLES[name]).columns
-        rows.select(*columns).write.parquet(f"{self.root}/{name}/{(versions[-1] + 1 if versions else 0):08d}")
+        """Puts documents in by identifier."""
+        self._write(self._changed(name, rows))
+
+    def _of(self, version: int, name: str) -> DataFrame:
+        """The documents that one write put in."""
+        rows = self.spark.read.schema(CHANGES).parquet(self.root).where((F.col("kind") == name) & (F.col("version") == version))
+        return rows.select(F.from_json("data", self.spark.createDataFrame([], TABLES[name]).schema).alias("d")).select("d.*")
+
+    def tidy(self, root: str) -> Engine:
+        """The state in force as an engine of its own at ``root``."""
+        other = Engine(self.spark, root)
+        other._write(*(self._changed(name, self.table(name)) for name in TABLES))
+        return other
 
     def _one(self, name: str, key: str) -> DataFrame:
         found = catalog.by_id(self.table(name), key)
@@ -53,8 +78,7 @@ class Engine:
         return found
 
     def _delete(self, name: str, key: str) -> None:
-        self._one(name, key)
-        self.save(name, catalog.remove_by_id(self.table(name), key))
+        self._write(self._gone(name, self._one(name, key)))
 
     def health(self) -> dict[str, int]:
         """The number of rows of each table."""
@@ -77,27 +101,27 @@ class Engine:
         at = created_at if created_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
         rows = new.withColumn("duration_minutes", F.coalesce("duration_minutes", F.lit(schemas.DEFAULT_DURATION)))
         before = self.table("exams")
-        after = storage.insert_exam(before, rows, at, "title", "subject", "grade")
-        self.save("exams", storage.upsert(before, after.join(before.select("id"), "id", "left_anti")))
-        return self.table("exams").join(before.select("id"), "id", "left_anti")
+        made = storage.insert_exam(before.where("false"), rows, at, "title", "subject", "grade")
+        new = made.join(before.select("id"), "id", "left_anti")
+        return self._of(self._write(self._changed("exams", new)), "exams")
 
     def update_exam(self, changes: DataFrame) -> None:
         """Overlays title, subject, grade, duration_minutes and questions of exams by id."""
         for row in storage.missing(self.table("exams"), changes).limit(1).collect():
             raise NotFound(row["id"])
-        self.save("exams", storage.update_exam(self.table("exams"), changes))
+        known = self.table("exams").join(changes.select("id").distinct(), "id", "left_semi")
+        self.save("exams", storage.update_exam(known, changes))
 
     def delete_exam(self, exam_id: str) -> None:
         """Removes an exam and its submissions."""
         gone = self._one("exams", exam_id).select("id")
-        exams, submissions = storage.delete_exams(self.table("exams"), self.table("submissions"), gone)
-        self.save("submissions", submissions)
-        self.save("exams", exams)
+        taken = self.table("submissions").where(F.col("exam_id") == exam_id).select("id")
+        self._write(self._gone("exams", gone), self._gone("submissions", taken))
 
     def import_answers(self, exam_id: str, reply: str) -> None:
         """Sets an exam's keys from a model's reply that names question identifiers and labels."""
-        changed = self._one("exams", exam_id).select("id", grading.import_answers(F.col("questions"), grading.answer_mapping(F.lit(reply))).alias("questions"))
-        self.save("exams", storage.update_exam(self.table("exams"), changed))
+        exam = self._one("exams", exam_id)
+        self.save("exams", exam.withColumn("questions", grading.import_answers(F.col("questions"), grading.answer_mapping(F.lit(reply)))))
 
     # --- submissions ------------------------------------------------------------------------------
 
@@ -108,9 +132,8 @@ class Engine:
         """Grades requests (exam_id, student_name, student_code, answers), keeps and returns the submissions."""
         for row in storage.missing(self.table("exams").withColumnRenamed("id", "exam_id"), requests, "exam_id").limit(1).collect():
             raise NotFound(row["exam_id"])
-        before = self.table("submissions")
-        self.save("submissions", storage.upsert(before, grading.grade(requests, self.table("exams"), submitted_at)))
-        return self.table("submissions").join(before.select("id"), "id", "left_anti")
+        new = grading.grade(requests, self.table("exams"), submitted_at).join(self.table("submissions").select("id"), "id", "left_anti")
+        return self._of(self._write(self._changed("submissions", new)), "submissions")
 
     def delete_submission(self, submission_id: str) -> None:
         self._delete("submissions", submission_id)
@@ -142,7 +165,7 @@ class Engine:
 
     def put_tasks(self, rows: DataFrame) -> None:
         """New tasks, or new states of known ones."""
-        self.save("tasks", storage.upsert(self.table("tasks"), rows))
+        self.save("tasks", rows)
 
     def delete_task(self, task_id: str) -> None:
         self._delete("tasks", task_id)

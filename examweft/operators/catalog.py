@@ -70,9 +70,17 @@ def has_sections(questions: Column) -> Column:
     return F.exists(questions, lambda q: ~blank(q["section"]))
 
 
-def newest_first(df: DataFrame, column: str = "created_at") -> DataFrame:
-    """By creation time, the newest first; rows without any come last."""
-    return df.orderBy(F.coalesce(F.col(column), F.lit("")).desc())
+def newest_first(df: DataFrame, column: str = "created_at", *then: str) -> DataFrame:
+    """By creation time, the newest first; rows without any come last (O1, O5). ``then`` orders equal times."""
+    return df.orderBy(F.coalesce(F.col(column), F.lit("")).desc(), *then)
+
+
+def newest_per_key(rows: DataFrame, key: str = "id", version: str | None = None) -> DataFrame:
+    """One row for each key: that of the highest version, of equal ones the greatest by its columns in their order, so that
+    the choice doesn't depend on how rows are dealt."""
+    order = [F.desc(c) for c in ([version] if version else []) + [c for c, kind in rows.dtypes if c not in (key, version) and "map<" not in kind]]
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order or [F.lit(0)])))
+    return ranked.where("_rank = 1").drop("_rank")
 
 
 def first_row(df: DataFrame, *order: Column | str) -> DataFrame:
@@ -97,10 +105,10 @@ def first_uses(df: DataFrame, partition: str, value: str, position: str) -> Data
     return df.withColumn("_use", F.row_number().over(w)).where("_use = 1").drop("_use")
 
 
-def replace_by_id(df: DataFrame, changed: DataFrame, key: str = "id") -> DataFrame:
-    """``df`` with rows of the same key taken from ``changed``."""
-    new = changed.select(*df.columns)
-    return df.join(new, key, "left_anti").unionByName(df.select(key).join(new, key).select(*df.columns))
+def replace_by_id(df: DataFrame, changed: DataFrame, key: str = "id", version: str | None = None) -> DataFrame:
+    """``df`` with rows of the same key taken from ``changed``, one for each key."""
+    new = newest_per_key(changed, key, version).select(*df.columns)
+    return df.join(new, key, "left_anti").unionByName(df.select(key).distinct().join(new, key).select(*df.columns))
 
 
 def remove_by_id(df: DataFrame, key: object, column: str = "id") -> DataFrame:

@@ -140,16 +140,17 @@ def edited_questions(spark, d):
 
 
 @query(f"""WITH {ITEMS}, n AS (SELECT *, row_number() OVER (PARTITION BY exam_id ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM items),
-o AS (SELECT exam_id, i, key, clean, answer, unnest(['A', 'R']) AS label FROM n)
+o AS (SELECT exam_id, i, key, clean, answer, unnest(['A', 'R', '']) AS label FROM n)
 SELECT exam_id, CAST(i AS INTEGER) AS pos, label,
   CASE WHEN clean = label AND key = label THEN 'chosen-correct' WHEN clean = label THEN 'chosen-wrong' WHEN key = label THEN 'correct' ELSE 'plain' END AS normalized,
-  CASE WHEN answer = label AND key = label THEN 'chosen-correct' WHEN answer = label THEN 'chosen-wrong' WHEN key = label THEN 'correct' ELSE 'plain' END AS raw
+  CASE WHEN answer = label AND key = label THEN 'chosen-correct' WHEN answer = label THEN 'chosen-wrong' WHEN key = label THEN 'correct' ELSE 'plain' END AS raw,
+  CASE WHEN label = '' THEN 'plain' WHEN answer = label AND key = label THEN 'chosen-correct' WHEN answer = label THEN 'chosen-wrong' WHEN key = label THEN 'correct' ELSE 'plain' END AS nonempty
 FROM o""")
 def option_highlights(spark, d):
     """P9, P10, P11."""
-    rows = submissions(spark, d).select("exam_id", F.posexplode("detailed_results").alias("p", "r")).select("exam_id", (F.col("p") + 1).alias("pos"), "r", F.explode("r.options").alias("o"))
-    shown = lambda mode: grading.option_highlight(F.col("o.label"), F.col("r.student_answer"), F.col("r.correct_answer"), mode)
-    return rows.select("exam_id", "pos", F.col("o.label").alias("label"), shown("normalized").alias("normalized"), shown("nonempty").alias("raw"))
+    rows = submissions(spark, d).select("exam_id", F.posexplode("detailed_results").alias("p", "r")).select("exam_id", (F.col("p") + 1).alias("pos"), "r", F.explode(F.concat(F.transform("r.options", lambda o: o["label"]), F.array(F.lit("")))).alias("label"))
+    shown = lambda mode: grading.option_highlight(F.col("label"), F.col("r.student_answer"), F.col("r.correct_answer"), mode)
+    return rows.select("exam_id", "pos", "label", *(shown(mode).alias(mode) for mode in ("normalized", "raw", "nonempty")))
 
 
 @query(f"""WITH {ITEMS}, n AS (SELECT *, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || printf('%.2f', l_extendedprice) AS id FROM items)
@@ -194,12 +195,14 @@ def deduped_questions(spark, d):
     return papers.select("exam_id", F.array_join(F.transform("questions", lambda q: F.concat(q["id"], F.lit("="), q["stem"])), ",").alias("kept"))
 
 
-@query("""SELECT CAST(l_orderkey AS VARCHAR) AS exam_id, true AS answered, false AS sections, count(DISTINCT (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) + 1 AS n FROM lineitem GROUP BY l_orderkey""")
+@query(f"""WITH {ITEMS} SELECT exam_id, arg_min(answer <> '', (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS answered, bool_or(l_linenumber > 5) AS sections,
+  count(DISTINCT (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) + 1 AS n FROM items GROUP BY exam_id""")
 def merged_answers(spark, d):
-    """P14, P15, A14."""
+    """A new answer is put in twice; the first question may be unanswered; sections begin at the sixth line."""
     papers = exam_papers(spark, d)
     merged = papers.withColumn("answers", grading.merge_answer(grading.merge_answer(F.col("answers"), F.lit("new"), F.lit("A")), F.lit("new"), F.lit("B")))
-    return merged.select("exam_id", scoring.answered(F.try_element_at("answers", F.lit("new"))).alias("answered"), catalog.has_sections(F.col("questions")).alias("sections"), F.size("answers").cast("long").alias("n"))
+    sections = F.transform("questions", lambda q: q.withField("section", F.when(q["question_number"].cast("int") > 5, "late").otherwise(" ")))
+    return merged.select("exam_id", scoring.answered(F.try_element_at("answers", F.col("questions")[0]["id"])).alias("answered"), catalog.has_sections(sections).alias("sections"), F.size("answers").cast("long").alias("n"))
 
 
 # --- gradebook and catalog ------------------------------------------------------------------------
@@ -271,7 +274,7 @@ def point_lookup(spark, d):
 
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10")
 def newest_orders(spark, d):
-    """A top-k report."""
+    """A top-k report."""
     return catalog.limit_rows(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), 10, F.desc("o_orderdate"), "o_orderkey")
 
 
@@ -589,26 +592,16 @@ def shown_dates(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.shown_date(iso).alias("shown"), X.shown_date(F.lit("soon")).alias("missing"))
 
 
-@query("SELECT doc_id, 2 AS pages, text AS body, true AS complete FROM documents")
+@query("SELECT doc_id, CAST(1 + doc_id % 3 AS INTEGER) AS pages, CASE WHEN doc_id % 3 > 0 THEN text END AS body, doc_id % 2 = 0 AS complete FROM documents WHERE text IS NOT NULL")
 def page_marks(spark, d):
-    """S5, X34, X15, O7."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    pages = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("page"), F.concat("text", F.lit("<|END|>")).alias("text"))
+    """Documents of one to three pages, of which every other one has its end."""
+    docs = table(spark, d, "documents").select("doc_id", "text").where("text is not null")
+    end = F.when(F.col("doc_id") % 2 == 0, "<|END|>").otherwise("")
+    pages = docs.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("doc_id") % 3 + 1)).alias("page"), F.concat("text", end).alias("text"))
     joined = readers.page_fallback(pages)
-    body = F.substring_index(F.element_at(F.split("text", r"<\|page\|>Page 2\n\n"), 2), "<|END|>", 1)
-    return joined.select("doc_id", X.page_count(F.col("text")).alias("pages"), F.when(X.without_end_marker(F.col("text")) != F.col("text"), body).alias("body"), X.is_complete(F.col("text")).alias("complete"))
-
-
-@query("SELECT doc_id, CAST(length(text) // 2 AS INTEGER) AS second_offset FROM documents WHERE length(text) >= 400 AND strpos(substr(text, greatest(length(text) // 2 - 80, 0) + 1, 160), substr(text, length(text) // 2 + 1, 60)) = least(length(text) // 2, 80) + 1")
-def continuation_offsets(spark, d):
-    """A text cut in two with some repetition at hand goes back where it was."""
-    docs = table(spark, d, "documents").select("doc_id", "text").where(F.length("text") >= 400)
-    half = F.floor(F.length("text") / 2)
-    low = F.greatest(half - 80, F.lit(0))
-    docs = docs.where(F.instr(F.substr("text", low + 1, F.lit(160)), F.substr("text", half + 1, F.lit(60))) == F.least(half, F.lit(80)) + 1)
-    rounds = docs.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("round"), F.substr("text", F.lit(1), half).alias("tagged")), F.struct(F.lit(2).alias("round"), F.concat(F.substr("text", half + 1, F.lit(60)), F.lit("<|END|>")).alias("tagged")))).alias("r")).select("doc_id", "r.*")
-    used = annotation.rounds_in_use(rounds)
-    return annotation.round_offsets(docs, used).where("k = 2").select("doc_id", F.col("offset").alias("second_offset"))
+    second = F.try_element_at(F.split("text", r"<\|page\|>Page [23]\n\n"), F.lit(2))
+    body = X.without_end_marker(F.when(F.col("pages") > 2, F.regexp_replace(second, r"\n\n$", "")).otherwise(second))
+    return joined.withColumn("pages", X.page_count(F.col("text"))).select("doc_id", "pages", body.alias("body"), X.is_complete(F.col("text")).alias("complete"))
 
 
 @query("""WITH halves AS (SELECT doc_id, text, length(text) // 2 AS half, substr(text, length(text) // 2 + 1, 100) AS anchor FROM documents),
@@ -616,7 +609,7 @@ def continuation_offsets(spark, d):
     trim(anchor, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160)) AS bare FROM halves)
 SELECT doc_id, CAST(CASE WHEN anchor = '' THEN half WHEN strpos(near, anchor) > 0 THEN low + strpos(near, anchor) - 1
   WHEN bare <> '' AND strpos(near, bare) > 0 THEN low + strpos(near, bare) - 1 ELSE half END AS INTEGER) AS second_offset FROM sought""")
-def whole_continuation_offsets(spark, d):
+def continuation_offsets(spark, d):
     """Every document's whole second half, placed after its first."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     half = F.floor(F.length("text") / 2)
@@ -669,7 +662,7 @@ def synced(spark, d):
 
 @query("""SELECT 'order' AS kind, count(*) AS n FROM orders WHERE o_custkey % 5 <> 0 UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT 'missing', 1""")
 def cascade_delete(spark, d):
-    """K5, K6, J9."""
+    """K5, J9."""
     exams = customers(spark, d)
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("sub"), F.col("o_custkey").alias("exam_id"))
     gone = exams.where("id % 5 = 0").select("id").unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("id")))
@@ -716,10 +709,12 @@ def task_fold(spark, d):
     return storage.latest(updates, "user_id", "event_id", ["status", "progress"])
 
 
-@query("SELECT event_type AS status, count(*) AS n FROM events WHERE event_type IN ('pending', 'processing') GROUP BY ALL")
+@query("SELECT status, count(*) AS n FROM (SELECT CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed' END AS status FROM events) WHERE status IN ('pending', 'processing') GROUP BY ALL")
 def running_tasks(spark, d):
     """P20."""
-    return catalog.running(table(spark, d, "events").withColumnRenamed("event_type", "status")).groupBy("status").agg(F.count("*").alias("n"))
+    n = F.col("event_id") % 4
+    tasks = table(spark, d, "events").select(F.when(n == 0, "pending").when(n == 1, "processing").when(n == 2, "completed").alias("status"))
+    return catalog.running(tasks).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, event_id, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events),

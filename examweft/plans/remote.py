@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,19 +13,22 @@ from examweft.functions.text import clean_reply
 from examweft.operators.grading import answer_mapping
 
 
-def call(df: DataFrame, client: Callable[[str], str], column: str, out: str, parallel: int | None = None, attempts: int = 3) -> DataFrame:
-    """``df`` with the client's reply to each row's text; null where every attempt fails.
+ATTEMPTS, DELAY = 3, 2.0
 
-    ``parallel`` bounds the calls at a time by the number of partitions.
+
+def call(df: DataFrame, client: Callable[[str], str], column: str, out: str, parallel: int | None = None, attempts: int = ATTEMPTS, delay: float = DELAY) -> DataFrame:
+    """``df`` with the client's reply to each row's text; null where every attempt fails, with a pause between them.
+
+    ``parallel`` bounds the calls at a time by dealing the rows over so many partitions; what makes the rows keeps its own.
     """
-    rows = df.coalesce(parallel) if parallel else df
+    rows = df.repartition(parallel) if parallel else df
 
     def reply(text: str) -> str | None:
-        for _ in range(attempts):
+        for left in range(attempts - 1, -1, -1):
             try:
                 return client(text)
             except Exception:  # noqa: BLE001  whatever a remote client raises counts as one failed attempt
-                continue
+                time.sleep(delay if left else 0)
         return None
 
     def run(batches):
@@ -34,17 +38,17 @@ def call(df: DataFrame, client: Callable[[str], str], column: str, out: str, par
     return rows.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, {out} string")
 
 
-def recognise(pages: DataFrame, client: Callable[[str], str], parallel: int = 5) -> DataFrame:
+def recognise(pages: DataFrame, client: Callable[[str], str], parallel: int = 5, delay: float = DELAY) -> DataFrame:
     """Page batches (doc_id, batch, image, fallback) to text: the client's, or the text layer where it fails (M1)."""
-    read = call(pages, client, "image", "reply", parallel)
+    read = call(pages, client, "image", "reply", parallel, delay=delay)
     return read.select("doc_id", "batch", F.coalesce("reply", "fallback").alias("text"))
 
 
-def annotate(docs: DataFrame, client: Callable[[str], str]) -> DataFrame:
+def annotate(docs: DataFrame, client: Callable[[str], str], delay: float = DELAY) -> DataFrame:
     """(doc_id, text) to (doc_id, text, tagged), with thoughts and fences removed (M2)."""
-    return call(docs, client, "text", "reply").select("doc_id", "text", clean_reply(F.col("reply")).alias("tagged"))
+    return call(docs, client, "text", "reply", delay=delay).select("doc_id", "text", clean_reply(F.col("reply")).alias("tagged"))
 
 
-def map_answers(prompts: DataFrame, client: Callable[[str], str]) -> DataFrame:
+def map_answers(prompts: DataFrame, client: Callable[[str], str], delay: float = DELAY) -> DataFrame:
     """(exam_id, prompt) to (exam_id, mapping) (M3)."""
-    return call(prompts, client, "prompt", "reply").select("exam_id", answer_mapping(F.col("reply")).alias("mapping"))
+    return call(prompts, client, "prompt", "reply", delay=delay).select("exam_id", answer_mapping(F.col("reply")).alias("mapping"))

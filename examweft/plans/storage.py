@@ -6,19 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examweft.functions.text import short_id
+from examweft.operators.catalog import newest_per_key
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = "id", version: str | None = None) -> DataFrame:
-    """``table`` with ``rows`` put in by key; of several new rows for a key the highest version counts (K2).
+    """``table`` with ``rows`` put in by key; of several new rows for a key the highest version counts, of equal ones
+    the greatest by its other columns (K2).
 
     Only the old keys that are replaced move: an anti join, and a window over the new rows.
     """
-    order = F.desc(version) if version else F.desc("_place")
-    ranked = rows.withColumn("_place", F.monotonically_increasing_id()).withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    newest = ranked.where("_rank = 1").select(*table.columns)
+    newest = newest_per_key(rows, key, version).select(*table.columns)
     return table.join(newest.select(key), key, "left_anti").select(*table.columns).unionByName(newest)
 
 
+def migrated(table: DataFrame, legacy: DataFrame) -> DataFrame:
+    """``table``, or where it is still empty the rows of a legacy store (K7, gated by S2)."""
+    return upsert(table, legacy) if table.isEmpty() else table
+
+
 def sync(table: DataFrame, current: DataFrame, key: str = "id") -> DataFrame:
     """The state after a full sync: rows whose key isn't current go, current ones are put in; all go if none is (K1)."""
     return upsert(table.join(current.select(key).distinct(), key, "left_semi"), current, key)
@@ -35,12 +40,25 @@ def insert_exam(exams: DataFrame, new: DataFrame, created_at: Column, *id_keys:
     return exams.unionByName(made.select(*exams.columns))
 
 
-def update_exam(exams: DataFrame, changes: DataFrame) -> DataFrame:
-    """title, subject, grade, duration_minutes and questions from ``changes`` by id; id and created_at stay (K4)."""
-    fields = ["title", "subject", "grade", "duration_minutes", "questions"]
-    new = changes.select("id", *(F.col(f).alias(f"_{f}") for f in fields if f in changes.columns))
+def update_exam(exams: DataFrame, changes: DataFrame, version: str | None = None) -> DataFrame:
+    """title, subject, grade, duration_minutes and questions from ``changes`` by id; id and created_at stay (K4).
+
+    Of several changes for an id the highest version counts. Null keeps what was, but where ``changes`` names its
+    fields in an array column ``fields``: those are set, to null as well, and no others.
+    """
+    fields = [f for f in ("title", "subject", "grade", "duration_minutes", "questions") if f in changes.columns]
+    named = "fields" in changes.columns
+    new = newest_per_key(changes, "id", version).select("id", *(F.col(f).alias(f"_{f}") for f in fields), *([F.col("fields").alias("_fields")] if named else []))
     out = exams.join(new, "id", "left")
-    return out.select(*(F.coalesce(f"_{c}", c).alias(c) if f"_{c}" in new.columns else F.col(c) for c in exams.columns))
+
+    def value(c: str):
+        if c not in fields:
+            return F.col(c)
+        if named:
+            return F.when(F.coalesce(F.array_contains("_fields", c), F.lit(False)), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+        return F.coalesce(f"_{c}", c).alias(c)
+
+    return out.select(*map(value, exams.columns))
 
 
 def delete_exams(exams: DataFrame, submissions: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -60,6 +60,11 @@ def text_files(spark: SparkSession, folder: str, suffix: str = ".md", limit: int
     return found if limit is None else found.orderBy("path").limit(limit)
 
 
+def named_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, text) of what ``sinks.write_texts`` wrote."""
+    return spark.read.schema("name string, text string").parquet(path)
+
+
 def binary_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", done: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(path, name, stem, content) of files by pattern; those whose stem is in ``done`` are left out."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from examweft.functions.text import output_name
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
 def write_table(df: DataFrame, folder: str, name: str) -> None:
-    """A new snapshot of a table beside the old one; readers switch by path (K1)."""
+    """Replaces a table by the rows of ``df``, which must not be read from it (K1)."""
     df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
 
@@ -28,7 +33,12 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_texts(df: DataFrame, path: str, column: str, key: str = "output") -> None:
-    """One folder for each key with its text: tagged XML, CoNLL or markdown."""
+    """Texts by name: tagged XML, CoNLL or markdown, many to a file (K9, K10, K13). ``readers.named_texts`` reads them."""
+    df.select(F.col(key).cast("string").alias("name"), F.col(column).alias("text")).write.mode("overwrite").parquet(path)
+
+
+def write_files(df: DataFrame, path: str, column: str, key: str = "output") -> None:
+    """The same as plain text files, a folder for each key: for an export of a few documents."""
     df.select(key, F.col(column).alias("value")).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(path)
 
 

@@ -5,7 +5,7 @@ from examweft import schemas
 from examweft.functions import scoring
 from examweft.operators import catalog, gradebook, grading
 from examweft.plans import storage
-from examweft.sources import sinks
+from examweft.sources import readers, sinks
 
 
 def question(i, key="A", number="", section="", stimulus="", stem="s", options=(("A", "a"), ("B", "b"))):
@@ -112,6 +112,23 @@ def test_sink_files(spark, tmp_path):
     docs = spark.createDataFrame([("in_1", "in_1.md", "a\tO")], "stem string, name string, conll string")
     named = sinks.named_outputs(docs, "name")
     assert named.first().output == "real_exam_8c54c334"
-    sinks.write_texts(named, str(tmp_path / "conll"), "conll")
+    sinks.write_texts(named, str(tmp_path / "many"), "conll")
+    assert [(r.name, r.text) for r in readers.named_texts(spark, str(tmp_path / "many")).collect()] == [("real_exam_8c54c334", "a\tO")]
+    sinks.write_files(named, str(tmp_path / "conll"), "conll")
     assert next((tmp_path / "conll" / "output=real_exam_8c54c334").glob("*.txt")).read_text().rstrip("\n") == "a\tO"
     assert '"stem":"in_1"' in sinks.annotation_json(named).first().value
+
+
+def test_repeated_changes(spark):
+    """Several changes for one identifier make one row; the highest version counts, and null can be set where it is named."""
+    exams = spark.createDataFrame([("a", "t", 1), ("b", "u", 2)], "id string, title string, duration_minutes int")
+    changes = spark.createDataFrame([("a", "n1", 7, 1), ("a", "n2", 8, 2), ("b", None, None, 1)], "id string, title string, duration_minutes int, v int").repartition(3)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(storage.update_exam(exams, changes, "v")) == [("a", "n2", 8), ("b", "u", 2)]
+    named = changes.withColumn("fields", F.array(F.lit("title")))
+    assert [tuple(r) for r in storage.update_exam(exams, named, "v").orderBy("id").collect()] == [("a", "n2", 1), ("b", None, 2)]
+    new = changes.select("id", "title", "duration_minutes", "v").where("id = 'a'")
+    assert rows(catalog.replace_by_id(exams, new, version="v")) == [("a", "n2", 8), ("b", "u", 2)]
+    for n in (1, 4):
+        assert rows(storage.upsert(exams, new.repartition(n))) == [("a", "n2", 8), ("b", "u", 2)]
+    assert rows(storage.migrated(exams, exams)) == rows(exams) and rows(storage.migrated(exams.where("false"), exams)) == rows(exams)
