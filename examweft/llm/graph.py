@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by minimum labels and pointer jumping."""
+"""Connected components of an edge table, by contraction."""
 
 from __future__ import annotations
 
@@ -11,19 +11,31 @@ from examweft.llm.common import materialize
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (u, v); root is the smallest node that edges lead to.
 
-    Each round takes the smallest label among a node's neighbours, then that label's own label, so that
-    paths shorten by half or better. Rounds are written tables: both sides of each join are plain scans,
-    which adaptive execution can split where one node has very many edges. An empty table gives none.
+    Each round hooks every node to its smallest smaller neighbour, follows these hooks to their ends by pointer
+    jumping (joins of nodes, not of edges), and keeps the edges between different ends only, once each. A group of
+    many edges is a few after one round. Rounds are written tables: both sides of each join are plain scans, which
+    adaptive execution can split where one node has very many edges. An empty table gives none.
     """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    both = materialize(both.where("u <> v").distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("root")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("root"))
-        hooked = materialize(labels.unionByName(near).groupBy("node").agg(F.min("root").alias("root")), "hooked")
-        above = hooked.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-        jumped = materialize(hooked.join(above, "root").select("node", F.least("root", "higher").alias("root")), "labels")
-        changed = jumped.alias("a").join(labels.alias("b"), "node").where("a.root <> b.root")
-        labels = jumped
-        if changed.isEmpty():
-            return labels
+    down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    down = materialize(down.distinct(), "edges")
+    labels = None
+    while labels is None or not down.isEmpty():
+        hooks = materialize(down.groupBy("u").agg(F.min("v").alias("to")), "hooks")
+        while True:
+            above = hooks.select(F.col("u").alias("to"), F.col("to").alias("higher"))
+            jumped = materialize(hooks.join(above, "to", "left").select("u", F.coalesce("higher", "to").alias("to"), F.col("higher").isNotNull().alias("moved")), "hooks")
+            hooks = jumped.select("u", "to")
+            if jumped.where("moved").isEmpty():
+                break
+        if labels is None:
+            ends = down.select(F.col("v").alias("u")).distinct().join(hooks, "u", "left_anti")
+            labels = materialize(hooks.unionByName(ends.withColumn("to", F.col("u"))).select(F.col("u").alias("node"), F.col("to").alias("root")), "labels")
+        else:
+            moved = hooks.select(F.col("u").alias("root"), "to")
+            labels = materialize(labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        # One end at a time, each pre-aggregated, so that repeated edges are one before the other end is looked up.
+        half = down.join(hooks, "u").select(F.col("to").alias("u"), "v").where("u <> v").distinct()
+        ends = hooks.select(F.col("u").alias("v"), F.col("to").alias("w"))
+        both = half.join(ends, "v", "left").select("u", F.coalesce("w", "v").alias("v")).where("u <> v")
+        down = materialize(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    return labels

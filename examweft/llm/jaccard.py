@@ -358,7 +358,7 @@ def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
 
 
 def _links(rows: list[tuple], percent: int) -> list[tuple[int, int, int]]:
-    """(u, v, 0): links of one cell that connect all that its links connect; (u, u, n): links of ``u`` to documents.
+    """(u, v, 0): each node that one cell's links connect to a smaller one, with the smallest; (u, u, n): links of ``u`` to documents.
 
     Rows: key, n, docs, tokens, role; "a": is listed and asks for larger keys, "i": is listed, "q": asks.
     So each link is found once; it counts for both ends.
@@ -371,7 +371,7 @@ def _links(rows: list[tuple], percent: int) -> list[tuple[int, int, int]]:
     lists, order = Lists(keys, sizes, tokens, percent), np.array(keys, np.int64)
     names = np.unique(np.concatenate((order, np.array([r[0] for r in asking], np.int64))))
     place, weights = np.searchsorted(names, order), np.array(docs, np.int64)
-    group, number, out = np.arange(len(names)), np.zeros(len(names), np.int64), []
+    group, number = np.arange(len(names)), np.zeros(len(names), np.int64)
     for key, n, own_docs, own, role in asking:
         found = lists.search(own, n, int(np.searchsorted(order, key)) if role == "a" else -1)
         if not len(found):
@@ -379,11 +379,11 @@ def _links(rows: list[tuple], percent: int) -> list[tuple[int, int, int]]:
         at, to = int(np.searchsorted(names, key)), place[found]
         number[at] += weights[found].sum()
         number[to] += own_docs
-        for one, first in zip(*np.unique(group[to], return_index=True), strict=True):
-            if one != group[at]:
-                out.append((key, int(names[to[first]]), 0))
-                group[group == one] = group[at]
-    return out + [(int(names[i]), int(names[i]), int(number[i])) for i in np.flatnonzero(number)]
+        met = np.unique(np.append(group[to], group[at]))
+        if len(met) > 1:
+            group[np.isin(group, met)] = met[0]
+    joined = [(int(names[i]), int(names[group[i]]), 0) for i in np.flatnonzero(group != np.arange(len(names)))]
+    return joined + [(int(names[i]), int(names[i]), int(number[i])) for i in np.flatnonzero(number)]
 
 
 def _search(rows: DataFrame, percent: int, partitions: int) -> DataFrame:
@@ -412,7 +412,7 @@ def _search(rows: DataFrame, percent: int, partitions: int) -> DataFrame:
 
 
 def links(nodes: DataFrame, classes: DataFrame, percent: int = PERCENT, **sizes: int) -> DataFrame:
-    """(u, v, n): links between nodes (key, slice, n, tokens, prefix), enough of them that all components are whole,
+    """(u, v, n): connections of nodes (key, slice, n, tokens, prefix) by links, enough of them that all components are whole,
     and rows (u, u, n) whose sum is a node's number of links to documents of other nodes; classes: key, docs."""
     met = materialize(cells(nodes, percent, **sizes), "cells")
     once = nodes.groupBy("key").agg(F.min("slice").alias("slice")).join(met.select("key").distinct(), "key", "left_semi")
