@@ -1,7 +1,7 @@
 """Task and progress streams: throttling, task state, transitions, counters, debouncing, countdowns.
 
 What windows can say is a window, for tables and streams alike. What depends on the last event that was let
-through keeps one small state for each task, with a watermark after which it goes.
+through keeps one small state for each task, which stays (only countdowns go with their timers).
 """
 
 from __future__ import annotations
