@@ -155,5 +155,5 @@ def test_every_document_is_continued(spark, tmp_path):
                 return i
         return half
 
-    got = {r.doc_id: r.second_offset for r in QUERIES["whole_continuation_offsets"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.second_offset for r in QUERIES["continuation_offsets"](spark, str(tmp_path)).collect()}
     assert got == {i: want(t) for i, t in enumerate(texts)} and any(v != len(texts[i]) // 2 for i, v in got.items())
