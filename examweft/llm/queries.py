@@ -88,7 +88,10 @@ WITH u AS (
   FROM p
 )
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN path LIKE '/%' AND regexp_matches(host, '(^|[.-])(bet|bets|casino|pills|poker|porn|xxx)[.-]') THEN 'block'
+    WHEN regexp_matches(path, '^/(ads|cart|checkout|login|logout|signup|track|wp-login[.]php)([\x00-\x24\x26-\x2C/\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]|$)') THEN 'block'
+    ELSE 'allow' END AS verdict
 FROM r
 """
 

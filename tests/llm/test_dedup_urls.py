@@ -107,3 +107,49 @@ def test_index():
     assert {t: [r.pattern for r in rs] for t, rs in filed.items()} == {"h:a": ["a.net/x/"], "h:b": ["b.net/"], "h:net": ["net/"]}
     with pytest.raises(ValueError):
         urls.index((urls.Rule("/x", "block"),))
+
+
+def brute_fits(pattern, host, path):
+    """A rule against a url by backtracking over its characters, without regular expressions."""
+    exact, ends = pattern.startswith("|"), len(pattern) > 1 and pattern.endswith("|")
+    h, _, p = pattern[exact : len(pattern) - ends].partition("/")
+    kept = {*range(48, 58), *range(65, 91), *range(97, 123), *b"_.%-"}
+
+    def fits(rule, text, i, done):
+        if not rule:
+            return done(i)
+        if rule[0] == "*":
+            return any(fits(rule[1:], text, j, done) for j in range(i, len(text) + 1))
+        if rule[0] == "^":
+            parts = i < len(text) and ord(text[i]) < 128 and ord(text[i]) not in kept
+            return (parts and fits(rule[1:], text, i + 1, done)) or (i == len(text) and fits(rule[1:], text, i, done))
+        return i < len(text) and text[i] == rule[0] and fits(rule[1:], text, i + 1, done)
+
+    starts = [0] if exact else [0, *(i + 1 for i, c in enumerate(host) if c == ".")]
+    return any(fits(h, host, i, lambda i: i == len(host)) for i in starts) and path[:1] == "/" and fits(p, path, 1, lambda i: not ends or i == len(path))
+
+
+def brute_best(rules, host, path):
+    fitting = [r for r in rules if brute_fits(r.pattern, host, path)]
+    return min(fitting, key=lambda r: (-len(r.pattern), r.pattern), default=None)
+
+
+@pytest.mark.parametrize("literal", [True, False])
+def test_wildcards_anchors_and_own_rules(spark, literal, monkeypatch):
+    rng = random.Random(9)
+    if not literal:
+        monkeypatch.setattr(urls, "LITERAL_RULES", 0)
+    symbols = lambda more, n: "".join(rng.choices(["a", "b1", "-", *more], k=n))
+    patterns = {rng.choice(["|", "", ""]) + symbols([".", "*", "^"], rng.randint(1, 4)) + "/" + symbols(["/", "*", "^", "."], rng.randint(0, 4)) + rng.choice(["|", "", ""]) for _ in range(400)}
+    rules = tuple(urls.Rule(p, rng.choice(["block", "allow"])) for p in sorted(patterns) if urls.rule_tokens(p))
+    assert len(rules) > 100
+    texts = [symbols([".", ".", ":"], rng.randint(1, 5)) + "/" + symbols(["/", "/", ".", ":", "é", "\n"], rng.randint(0, 5)) for _ in range(500)]
+    texts += ["m.casino-win.org/x", "a.b-bets.com/", "casino.org/", "casinos.org/", "xcasino-a.org/", "x.org/login", "x.org/login/1", "x.org/logins", "x.org/a/login", "porn", "x.net/login", "bet", "a.bet/"]
+    pages = spark.createDataFrame(list(enumerate("http://" + t for t in texts)), "page_id long, url string").withColumn("method_rule", F.lit(3))
+    for mine, own in ((rules, urls.OWN_RULES), ((), rules), (urls.RULES, urls.OWN_RULES)):
+        got = {r.page_id: (r.rule, r.method_rule, r.verdict) for r in urls.judge(pages, mine, own=own).collect()}
+        for i, text in enumerate(texts):
+            host, slash, path = text.partition("/")
+            first, second = (brute_best(rs, host, slash + path) for rs in (mine, own))
+            want = (first.pattern, None, first.verdict) if first else (None, second.pattern, second.verdict) if second else (None, None, "allow")
+            assert got[i] == want, text
