@@ -1,12 +1,10 @@
 """Byte-level BPE through a table of distinct words.
 
-Spark splits texts into words. For each stretch of rows a task takes the distinct words, encodes each of
-them once, and joins the ids back by position: a word's place in the text picks its row of the
-distinct-word table. Decoding joins ids with the id-to-piece table, which has as many rows as the
-vocabulary, whatever the input.
-
-The distinct-word table is per task, not global: a global one would have to be joined with every word
-occurrence by a shuffle (several times the input), for texts whose own words are at hand already.
+Spark splits texts into words. A stretch of a task's rows keeps its texts as numbers of its distinct words. The
+distinct words of all stretches meet in one table, where each is encoded once; its ids are joined with the
+id-to-piece table, which gives its bytes back. Each stretch gets the rows of its own words by a join, and takes
+them by position: ids and decoded text of every document. What is shuffled is four bytes a word and each stretch's
+distinct words; a word is there once for a stretch, so that no word is a hot key.
 """
 
 from __future__ import annotations
@@ -14,15 +12,16 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from functools import cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from examweft.llm.common import map_batches, whole_text
+from examweft.llm.common import map_batches, materialize, whole_text
 
 SPECIAL = "<|endoftext|>"
 #: The splitting pattern of this vocabulary (a fixed value), white space spelled out as Unicode has it.
@@ -127,8 +126,8 @@ def with_words(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.when(~odd, words(text)).alias("_words"), F.when(odd, text).alias("_odd"))
 
 
-def stretches(path: str, batch: pa.RecordBatch):
-    """(rows, ids, bounds) for consecutive rows of a batch with ``_words`` and ``_odd``, a bounded number of words each."""
+def word_stretches(path: str, batch: pa.RecordBatch):
+    """(rows, lists) for consecutive rows of a batch with ``_words`` and ``_odd``, a bounded number of words each."""
     lists = batch.column("_words")
     if batch.column("_odd").null_count < batch.num_rows:
         lists = pa.array([w if o is None else split_by_library(path, o) for w, o in zip(lists.to_pylist(), batch.column("_odd").to_pylist(), strict=True)], pa.list_(pa.string()))
@@ -137,34 +136,96 @@ def stretches(path: str, batch: pa.RecordBatch):
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, base + STRETCH, "right")))
-        ids, bounds = token_ids(path, lists.slice(at, to - at))
-        yield slice(at, to), ids, bounds
+        yield slice(at, to), lists.slice(at, to - at)
         at = to
 
 
-def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, n_tokens, and ids as binary: little-endian unsigned 32-bit integers in order.
+def stretches(path: str, batch: pa.RecordBatch):
+    """(rows, ids, bounds) of ``word_stretches``."""
+    for rows, lists in word_stretches(path, batch):
+        yield rows, *token_ids(path, lists)
+
+
+def _blobs(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Little-endian unsigned 32-bit numbers as one binary value for each row."""
+    data = np.ascontiguousarray(data, "<u4")
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 4).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
-    As the tokenizers library with ``add_special_tokens=False``, without truncation or padding. A null or
-    empty text has no ids; repeated rows are encoded each; an empty table gives none. ``keep`` names the
-    columns that pass through; others are ignored, so that names can't clash.
-    """
-    keep = list(keep)
+
+def numbered(df: DataFrame, tokenizer_path: str, text_col: str, keep: list[str]) -> DataFrame:
+    """Two kinds of rows: ``keep``, _slice and _codes for each text; _slice and _distinct, its words by number, for each stretch."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.select(*keep).schema}
 
     def run(batches):
+        place, number = TaskContext.get().partitionId() << 32, count()
         for batch in batches:
-            for rows, ids, bounds in stretches(tokenizer_path, batch):
-                part = batch.slice(rows.start, rows.stop - rows.start)
-                data = ids.astype("<u4", copy=False)
-                blob = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((bounds * 4).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(np.diff(bounds)), blob], names=[*keep, "n_tokens", "ids"])
+            for rows, lists in word_stretches(tokenizer_path, batch):
+                name, part = place + next(number), batch.slice(rows.start, rows.stop - rows.start)
+                bounds = np.asarray(lists.offsets, np.int64)
+                table = lists.flatten().dictionary_encode()
+                codes = _blobs(np.asarray(table.indices, np.uint32), bounds - bounds[0])
+                none = pa.nulls(part.num_rows, pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([name] * part.num_rows, pa.int64()), codes, none], names=[*keep, "_slice", "_codes", "_distinct"])
+                if len(table):
+                    known = pa.ListArray.from_arrays([0, len(table.dictionary)], table.dictionary)
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, part.schema.field(c).type) for c in keep), pa.array([name], pa.int64()), pa.nulls(1, pa.binary()), known], names=[*keep, "_slice", "_codes", "_distinct"])
+
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in kinds.items())
+    return with_words(df, text_col, keep).mapInArrow(run, f"{schema}, _slice long, _codes binary, _distinct array<string>")
+
+
+def word_table(words: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(_word, _ids, _bytes) for distinct words (_word): each is encoded once, and its ids are joined with the id-to-piece table."""
+    def ids(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, bounds = encode_words(tokenizer_path, batch.column("_word").to_pylist())
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found, pa.int32()))
+        return pa.RecordBatch.from_arrays([batch.column("_word"), lists], names=["_word", "_ids"])
+
+    table, ends = pieces(tokenizer_path)
+    known = pa.table({"_id": pa.array(range(len(ends) - 1), pa.int32()), "_piece": [table[a:b].tobytes().hex() for a, b in zip(ends, ends[1:], strict=False)]})
+    listed = map_batches(words, ids, "_word string, _ids array<int>").select("_word", F.posexplode("_ids").alias("_at", "_id"))
+    placed = listed.join(words.sparkSession.createDataFrame(known), "_id").groupBy("_word").agg(F.sort_array(F.collect_list(F.struct("_at", "_id", "_piece"))).alias("_found"))
+    joined = F.unhex(F.array_join(F.transform("_found", lambda x: x["_piece"]), ""))
+    return placed.select("_word", F.transform("_found", lambda x: x["_id"]).alias("_ids"), joined.alias("_bytes"))
+
+
+def round_trip(df: DataFrame, tokenizer_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, n_tokens, ids as binary (little-endian unsigned 32-bit integers in order), and their decoded text.
+
+    As the tokenizers library with ``add_special_tokens=False``, without truncation or padding; malformed UTF-8 is
+    replaced as the library does. A null or empty text has no ids; repeated rows are encoded each; an empty table
+    gives none. ``keep`` names the columns that pass through (none of them may begin with an underscore); others
+    are ignored, so that names can't clash.
+    """
+    keep = list(keep)
+    rows = materialize(numbered(df, tokenizer_path, text_col, keep), "stretches", compression="zstd")
+    listed = rows.where("_distinct is not null").select("_slice", F.posexplode("_distinct").alias("_code", "_word"))
+    table = listed.join(word_table(listed.select("_word").distinct(), tokenizer_path), "_word").select(F.col("_slice").alias("_of"), "_code", "_ids", "_bytes")
+    texts = rows.where("_codes is not null").select(*keep, "_slice", "_codes")
+
+    def joined(docs: pa.Table, own: pa.Table) -> pa.Table:
+        own = own.sort_by("_code")
+        lists, spelled = own.column("_ids").combine_chunks(), own.column("_bytes").to_pylist()
+        flat, starts = np.asarray(lists.flatten(), np.uint32), np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))))
+        codes = [np.frombuffer(c.as_buffer(), "<u4") for c in docs.column("_codes")]
+        ids, ends = ragged(flat, starts, np.concatenate(codes).astype(np.int64)) if len(own) else (flat, np.zeros(1, np.int64))
+        bounds = ends[np.concatenate(([0], np.cumsum([len(c) for c in codes])))]
+        decoded = [b"".join([spelled[i] for i in c.tolist()]).decode("utf-8", "replace") for c in codes]
+        return pa.table([*(docs.column(c) for c in keep), pa.array(np.diff(bounds)), _blobs(ids, bounds), pa.array(decoded, pa.string())], names=[*keep, "n_tokens", "ids", "decoded"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return with_words(df, text_col, keep).mapInArrow(run, f"{kept}, n_tokens long, ids binary")
+    return texts.groupBy("_slice").cogroup(table.groupBy("_of")).applyInArrow(joined, f"{kept}, n_tokens long, ids binary, decoded string")
+
+
+def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, n_tokens and ids of ``round_trip``."""
+    return round_trip(df, tokenizer_path, text_col, keep).drop("decoded")
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, ``ids_col`` and ``decoded``: the text of the ids, malformed UTF-8 replaced as the library does.
+    """``keep``, ``ids_col`` and ``decoded``: the text of stored ids, malformed UTF-8 replaced as the library does.
+
+    For ids without their words: each is looked up in the id-to-piece table inside the task.
 
     Ids beyond the vocabulary stand for nothing; null ids give null.
     """

@@ -60,9 +60,8 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), bpe_path())
-    decoded = bpe.decode(encoded, bpe_path(), keep=("doc_id", "n_tokens"))
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), bpe_path())
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

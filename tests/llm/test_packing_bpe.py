@@ -25,7 +25,9 @@ def test_encode_and_decode(texts, none, tokenizer_path):
     want = sorted((str(r.doc_id), library(tokenizer_path, r.text), r.text or "") for r in texts.collect())
     got = sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in rows)
     assert got == want and all(r.n_tokens == len(r.ids) // 4 for r in rows)
-    assert bpe.encode(none, tokenizer_path).count() == 0
+    both = sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in bpe.round_trip(texts, tokenizer_path).collect())
+    assert both == got
+    assert bpe.encode(none, tokenizer_path).count() == 0 and bpe.round_trip(none, tokenizer_path).count() == 0
 
 
 def test_decode_of_any_ids(spark, tokenizer_path):
