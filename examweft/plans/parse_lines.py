@@ -40,9 +40,13 @@ def parse_lines(docs: DataFrame, text: str = "text", question: str = QUESTION, o
     grouped = rows.groupBy("doc_id", "q").agg(ordered("pos", "kind", "o", "line", "stimulus").alias("ls"))
     of = lambda test: F.filter("ls", test)
     stem = joined(F.transform(of(lambda x: (x["o"] == 0) & x["kind"].isin("q", "t")), lambda x: F.when(x["kind"] == "q", strip(F.regexp_extract(x["line"], question, 4))).otherwise(x["line"])))
-    options = F.transform(of(lambda x: x["kind"] == "o"), lambda x: F.struct(
-        F.upper(F.regexp_extract(x["line"], option, 2)).alias("label"),
-        joined(F.transform(F.filter("ls", lambda y: (y["o"] == x["o"]) & y["kind"].isin("o", "t")), lambda y: F.when(y["kind"] == "o", strip(F.regexp_extract(y["line"], option, 4))).otherwise(y["line"]))).alias("text"),
+    # An option's lines are those from its own to the next one's: two lists of places, side by side.
+    begins = F.filter(F.transform("ls", lambda x, i: F.when(x["kind"] == "o", i + 1)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(begins, 2, F.greatest(F.size(begins), F.lit(1))), F.array(F.size("ls") + 1))
+    places = F.filter(F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), (b - a).alias("n"))), lambda p: p["a"].isNotNull())
+    options = F.transform(F.transform(places, lambda p: F.slice("ls", p["a"], p["n"])), lambda ys: F.struct(
+        F.upper(F.regexp_extract(ys[0]["line"], option, 2)).alias("label"),
+        joined(F.transform(F.filter(ys, lambda y: y["kind"].isin("o", "t")), lambda y: F.when(y["kind"] == "o", strip(F.regexp_extract(y["line"], option, 4))).otherwise(y["line"]))).alias("text"),
     ))
     number = strip(F.replace(F.regexp_extract(F.col("ls")[0]["line"], question, 2), F.lit("*"), F.lit("")))
     explanation = F.coalesce(F.try_element_at(F.transform(of(lambda x: x["kind"] == "e"), lambda x: x["line"]), F.lit(-1)), F.lit(""))

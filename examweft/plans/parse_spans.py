@@ -66,10 +66,9 @@ def parse_spans(spans: DataFrame) -> DataFrame:
     last = lambda rs, name: F.try_element_at(F.transform(rs, lambda r: r[name]), F.lit(-1))
     head = F.col("rs")[0]
     marks = of("option_label", "option_text")
-    labelled = F.transform(marks, lambda r, i: F.struct(
-        r["label"].alias("kind"), r["text"].alias("text"),
-        F.when((i > 0) & (F.get(marks, i - 1)["label"] == "option_label"), clean_option_label(F.get(marks, i - 1)["text"])).alias("before"),
-    ))
+    # Shifted by one instead of looked up by place, so that an option's cost doesn't grow with their number.
+    previous = F.concat(F.array(F.lit(None).cast("string")), F.transform(marks, lambda r: F.when(r["label"] == "option_label", r["text"])))
+    labelled = F.zip_with(marks, previous, lambda r, p: F.struct(r["label"].alias("kind"), r["text"].alias("text"), F.when(p.isNotNull(), clean_option_label(p)).alias("before")))
     options = F.transform(F.filter(labelled, lambda r: r["kind"] == "option_text"), lambda r, k: F.struct(F.coalesce(r["before"], F.concat(F.lit("Option "), (k + 1).cast("string"))).alias("label"), r["text"].alias("text")))
     source = F.try_element_at(F.filter("rs", lambda r: r["named"].isNotNull()), F.lit(-1))
     found = grouped.select(
