@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examweft.llm import bpe, chat, dedup, jaccard, licenses, media, packing, pii, quality, urls
+from examweft.llm import bpe, chat, dedup, jaccard, licenses, media, merkle, packing, pii, quality, urls
 from examweft.llm.common import read, prepare
 
 
@@ -110,6 +110,58 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("found")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    lower = F.translate("text", merkle.UPPER, merkle.LOWER)
+    hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    tampered = F.when(hit, merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), lower))
+    found = merkle.manifest(docs, tampered=tampered).withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("steps")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: Unsigned CRC-32 of a text's UTF-8 bytes, a bit at a time: for hexadecimal digits of the bytes in a column.
+_CRC32 = """(4294967295 - list_reduce(
+  list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, CAST(length({hex}) AS BIGINT), 2), lambda i: CAST(('0x' || substr({hex}, i, 2)) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda r, k: xor(r >> 1, CASE WHEN r % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """The tree level by level, as many as 8 ** levels leaves of a group need; the groups' ends count as one run of eight at most."""
+    field = lambda c, v="": f"coalesce(strlen(CAST({v or c} AS VARCHAR)) || ':' || CAST({v or c} AS VARCHAR), '-')"
+    fields = " || ".join(map(field, ("doc_id", "source", "lang", "n_chars")))
+    lower = f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')"
+    parts = [f"""WITH d AS (
+  SELECT *, {_CRC32.format(hex="hex(encode(CAST(doc_id AS VARCHAR)))")} % 3 = 0 AS hit FROM documents
+), l0 AS (
+  SELECT doc_id, lang, sha256({fields} || {field("text")}) AS leaf, sha256({fields} || CASE WHEN hit THEN {field("text", lower)} ELSE {field("text")} END) AS start
+  FROM d
+), n0 AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p0, count(*) OVER (PARTITION BY lang) AS c0, leaf AS h0 FROM l0
+)"""]
+    for k in range(levels):
+        up = f"p{k} // 8"
+        parts.append(f"""r{k} AS (
+  SELECT DISTINCT lang, p{k} AS p, h{k} AS h, c{k} AS c FROM n{k} WHERE c{k} > 1
+), u{k} AS (
+  SELECT lang, p // 8 AS up, sha256(string_agg(h, '' ORDER BY p)) AS parent, list(h ORDER BY p) AS run FROM r{k} GROUP BY lang, p // 8
+), n{k + 1} AS (
+  SELECT n.*, CASE WHEN c{k} > 1 THEN {up} ELSE 0 END AS p{k + 1}, (c{k} + 7) // 8 AS c{k + 1}, coalesce(parent, h{k}) AS h{k + 1},
+    coalesce(array_to_string(run[:p{k} % 8], ''), '') AS a{k}, coalesce(array_to_string(run[p{k} % 8 + 2:], ''), '') AS b{k}, run IS NOT NULL AS s{k}
+  FROM n{k} n LEFT JOIN u{k} u ON n.lang IS NOT DISTINCT FROM u.lang AND u.up = {up}
+)""")
+    top = f"h{levels}"
+    parts.append(f"""g AS (SELECT DISTINCT lang, {top} AS subroot FROM n{levels}
+), t AS (SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS q FROM g
+), e AS (SELECT CASE WHEN count(*) > 1 THEN sha256(string_agg(subroot, '' ORDER BY q)) ELSE min(subroot) END AS root, list(subroot ORDER BY q) AS run FROM t
+), z AS (
+  SELECT n.*, t.subroot, e.root, array_to_string(e.run[:q], '') AS a{levels}, array_to_string(e.run[q + 2:], '') AS b{levels}, len(e.run) > 1 AS s{levels}
+  FROM n{levels} n JOIN t ON n.lang IS NOT DISTINCT FROM t.lang CROSS JOIN e
+), f0 AS (SELECT *, start AS f FROM z)""")
+    parts += [f"f{k + 1} AS (SELECT * REPLACE (CASE WHEN s{k} THEN sha256(a{k} || f || b{k}) ELSE f END AS f) FROM f{k})" for k in range(levels + 1)]
+    siblings = " || ".join(f"a{k} || b{k}" for k in range(levels + 1))
+    return ", ".join(parts) + f"\nSELECT doc_id, leaf, subroot, root, sha256({siblings}) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{levels + 1}"
+
+
 OP8_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -119,8 +171,9 @@ FROM t WINDOW w AS (PARTITION BY text)
 
 _QUERIES = {f.__name__: f for f in (
     op1_matroska, op2_packing, op3_jaccard, op4_chat, op5_licenses, op6_bpe, op7_urls, op8_exact_dedup, op9_quality, op10_pii,
+    op11_merkle,
 )}
-_SQL = {"op4_chat": OP4_SQL, "op7_urls": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+_SQL = {"op4_chat": OP4_SQL, "op7_urls": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op11_merkle": _merkle_sql()}
 
 
 def queries() -> dict:
