@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examweft.llm import bpe, chat, dedup, jaccard, licenses, media, merkle, packing, pii, quality, urls
+from examweft.llm import bpe, chat, dedup, jaccard, licenses, media, merkle, packing, pii, quality, spelling, urls
 from examweft.llm.common import read, prepare
 
 
@@ -162,6 +162,43 @@ def _merkle_sql(levels: int = 8) -> str:
     return ", ".join(parts) + f"\nSELECT doc_id, leaf, subroot, root, sha256({siblings}) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{levels + 1}"
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(read(spark, sf_dir, "documents").select("doc_id", "text"), cut_every=97)
+    return spelling.variants(words)
+
+
+OP12_SQL = f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents
+), c AS (
+  SELECT doc_id, translate(run, '{merkle.UPPER}', '{merkle.LOWER}') AS run, count(*) AS n FROM r GROUP BY ALL
+), h AS (
+  SELECT *, {_CRC32.format(hex="hex(encode(CAST(doc_id AS VARCHAR) || ':' || run))")} AS h FROM c
+), v AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h
+), w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), d AS (
+  SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM w, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS p)
+), e AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word
+), f AS (
+  SELECT word, count(*) AS n_near, min({{'less': -m, 'word': other}}) AS best FROM e GROUP BY word
+), g AS (
+  SELECT word, CASE WHEN -best.less >= 2 * n THEN best.word END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 2 * n THEN -best.less END AS form_n
+  FROM w LEFT JOIN f USING (word)
+), t AS (
+  SELECT word, form AS last FROM g WHERE form IS NOT NULL
+  UNION ALL SELECT t.word, g.form FROM t JOIN g ON g.word = t.last WHERE g.form IS NOT NULL
+), ends AS (
+  SELECT t.word, last AS root FROM t JOIN g ON g.word = t.last WHERE g.form IS NULL
+)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM g LEFT JOIN ends USING (word)
+"""
+
+
 OP8_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -171,9 +208,9 @@ FROM t WINDOW w AS (PARTITION BY text)
 
 _QUERIES = {f.__name__: f for f in (
     op1_matroska, op2_packing, op3_jaccard, op4_chat, op5_licenses, op6_bpe, op7_urls, op8_exact_dedup, op9_quality, op10_pii,
-    op11_merkle,
+    op11_merkle, op12_spelling,
 )}
-_SQL = {"op4_chat": OP4_SQL, "op7_urls": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op11_merkle": _merkle_sql()}
+_SQL = {"op4_chat": OP4_SQL, "op7_urls": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op11_merkle": _merkle_sql(), "op12_spelling": OP12_SQL}
 
 
 def queries() -> dict:
