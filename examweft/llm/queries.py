@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examweft.llm import bpe, chat, dedup, jaccard, licenses, media, merkle, packing, pii, quality, spelling, urls
+from examweft.llm import bpe, chat, dedup, jaccard, licenses, media, merkle, minhash, packing, pii, quality, spelling, urls
 from examweft.llm.common import read, prepare
 
 
@@ -199,6 +199,10 @@ SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM g LEFT J
 """
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP8_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -208,7 +212,7 @@ FROM t WINDOW w AS (PARTITION BY text)
 
 _QUERIES = {f.__name__: f for f in (
     op1_matroska, op2_packing, op3_jaccard, op4_chat, op5_licenses, op6_bpe, op7_urls, op8_exact_dedup, op9_quality, op10_pii,
-    op11_merkle, op12_spelling,
+    op11_merkle, op12_spelling, op13_minhash,
 )}
 _SQL = {"op4_chat": OP4_SQL, "op7_urls": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op11_merkle": _merkle_sql(), "op12_spelling": OP12_SQL}
 
