@@ -1,18 +1,25 @@
 """The engine's front: what a caller can ask of its tables, one method for each request.
 
-The state is one table of changes: each request that changes anything appends its changed documents, as JSON text,
-and its deletions in one write, so that a request is done as a whole or not at all, and costs what it changes. The
-last change of a document counts. ``tidy`` writes the state without its history elsewhere.
+The state is one table of changes: a request that changes anything appends its changed documents, as JSON text, and its
+deletions in one write, and costs what it changes. The last change of a document counts. ``tidy`` writes the state
+without its history elsewhere, clustered by identifier.
+
+What an append guarantees is what Spark's committer does: a job that fails leaves none of its rows, but a reader may list
+the folder while files of one append are being moved in, and sees some of them. Versions are the writer's
+clock: of two writers that change one document at a time the later clock wins, whatever the order of their commits. One
+writer at a time, or readers that wait for its call to return, see whole requests.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from examweft import schemas
 from examweft.functions.text import clean_grade, clean_reply
@@ -34,22 +41,32 @@ class Engine:
 
     # --- state ------------------------------------------------------------------------------------
 
-    def table(self, name: str) -> DataFrame:
-        """The documents of a kind that are in force."""
+    def table(self, name: str, *keys: str) -> DataFrame:
+        """The documents of a kind that are in force; with ``keys`` only those, by a filter that reaches the files."""
+        return self._parsed(name, self._last(name, *keys).where("not c.gone").select("c.data"))
+
+    def _last(self, name: str, *keys: str) -> DataFrame:
+        """(id, c): the last change of each document."""
         changes = self.spark.read.schema(CHANGES).parquet(self.root).where(F.col("kind") == name)
-        last = changes.groupBy("id").agg(F.max_by(F.struct("data", "gone"), "version").alias("c")).where("not c.gone")
-        columns = self.spark.createDataFrame([], TABLES[name]).schema
-        return last.select(F.from_json("c.data", columns).alias("d")).select("d.*")
+        changes = changes.where(F.col("id").isin(*keys)) if keys else changes
+        return changes.groupBy("id").agg(F.max_by(F.struct("data", "gone"), "version").alias("c"))
+
+    def _parsed(self, name: str, rows: DataFrame) -> DataFrame:
+        return rows.select(F.from_json("data", self._schema(name)).alias("d")).select("d.*")
+
+    def _schema(self, name: str) -> StructType:
+        return self.spark.createDataFrame([], TABLES[name]).schema
 
     def _write(self, *changes: DataFrame) -> int:
         """All changes of a request, in one append; returns its version."""
         version = time.time_ns()
         rows = reduce(DataFrame.unionByName, changes).withColumn("version", F.lit(version))
-        rows.select("kind", "id", "version", "gone", "data").write.mode("append").partitionBy("kind").parquet(self.root)
+        written = rows.select("kind", "id", "version", "gone", "data").write.mode("append").partitionBy("kind")
+        written.option("parquet.bloom.filter.enabled#id", "true").parquet(self.root)
         return version
 
     def _changed(self, name: str, rows: DataFrame) -> DataFrame:
-        columns = self.spark.createDataFrame([], TABLES[name]).columns
+        columns = self._schema(name).names
         whole = catalog.newest_per_key(rows.select(*columns))
         return whole.select(F.lit(name).alias("kind"), "id", F.lit(False).alias("gone"), F.to_json(F.struct(*columns)).alias("data"))
 
@@ -63,19 +80,31 @@ class Engine:
     def _of(self, version: int, name: str) -> DataFrame:
         """The documents that one write put in."""
         rows = self.spark.read.schema(CHANGES).parquet(self.root).where((F.col("kind") == name) & (F.col("version") == version))
-        return rows.select(F.from_json("data", self.spark.createDataFrame([], TABLES[name]).schema).alias("d")).select("d.*")
-
-    def tidy(self, root: str) -> Engine:
-        """The state in force as an engine of its own at ``root``."""
+        return self._parsed(name, rows.select("data"))
+
+    def _add(self, name: str, made: DataFrame, retried: bool) -> DataFrame:
+        """Puts new documents in and returns them. With a caller's own token those that are there already stay as they are."""
+        if not retried:
+            return self._of(self._write(self._changed(name, made)), name)
+        known = self._last(name).select("id")
+        version = self._write(self._changed(name, made.join(known, "id", "left_anti")))
+        return self._of(version, name).unionByName(self.table(name).join(made.select("id"), "id", "left_semi").join(self._of(version, name).select("id"), "id", "left_anti"))
+
+    def tidy(self, root: str, files: int | None = None) -> Engine:
+        """The state in force as an engine of its own at ``root``, in ranges of identifiers, each sorted and with a filter of its
+        identifiers: a look-up by identifier reads the files that may have it, and of these the row groups that may."""
         other = Engine(self.spark, root)
-        other._write(*(self._changed(name, self.table(name)) for name in TABLES))
+        rows = reduce(DataFrame.unionByName, (self._changed(name, self.table(name)) for name in TABLES))
+        ranges = rows.repartitionByRange(*([files] if files else []), "kind", "id").sortWithinPartitions("kind", "id")
+        other._write(ranges)
         return other
 
     def _one(self, name: str, key: str) -> DataFrame:
-        found = catalog.by_id(self.table(name), key)
-        if found.isEmpty():
+        """One document by identifier, fetched in one run; it is one row."""
+        found = self.table(name, key).collect()
+        if not found:
             raise NotFound(key)
-        return found
+        return self.spark.createDataFrame(found, self._schema(name))
 
     def _delete(self, name: str, key: str) -> None:
         self._write(self._gone(name, self._one(name, key)))
@@ -96,14 +125,16 @@ class Engine:
     def exam(self, exam_id: str) -> DataFrame:
         return self._one("exams", exam_id)
 
-    def create_exams(self, new: DataFrame, created_at: Column | None = None) -> DataFrame:
-        """Puts exams (title, subject, grade, duration_minutes, questions) into the bank and returns them."""
+    def create_exams(self, new: DataFrame, created_at: Column | None = None, token: str | None = None) -> DataFrame:
+        """Puts exams (title, subject, grade, duration_minutes, questions) into the bank and returns them.
+
+        Each row is an exam of its own, whatever others are equal to it. A caller that may have to repeat a request gives it
+        a ``token``: the same rows under the same token are put in once.
+        """
         at = created_at if created_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-        rows = new.withColumn("duration_minutes", F.coalesce("duration_minutes", F.lit(schemas.DEFAULT_DURATION)))
-        before = self.table("exams")
-        made = storage.insert_exam(before.where("false"), rows, at, "title", "subject", "grade")
-        new = made.join(before.select("id"), "id", "left_anti")
-        return self._of(self._write(self._changed("exams", new)), "exams")
+        keyed = storage.numbered_repeats(new, F.lit(token or uuid.uuid4().hex)).withColumn("duration_minutes", F.coalesce("duration_minutes", F.lit(schemas.DEFAULT_DURATION)))
+        none = self.spark.createDataFrame([], TABLES["exams"])
+        return self._add("exams", storage.insert_exam(none, keyed, at, "request_key"), bool(token))
 
     def update_exam(self, changes: DataFrame) -> None:
         """Overlays title, subject, grade, duration_minutes and questions of exams by id."""
@@ -128,12 +159,17 @@ class Engine:
     def submissions(self, exam_id: str | None = None) -> DataFrame:
         return catalog.newest_first(catalog.facets(self.table("submissions"), exam_id=exam_id), "submitted_at")
 
-    def submit(self, requests: DataFrame, submitted_at: Column | None = None) -> DataFrame:
-        """Grades requests (exam_id, student_name, student_code, answers), keeps and returns the submissions."""
-        for row in storage.missing(self.table("exams").withColumnRenamed("id", "exam_id"), requests, "exam_id").limit(1).collect():
+    def submit(self, requests: DataFrame, submitted_at: Column | None = None, token: str | None = None) -> DataFrame:
+        """Grades requests (exam_id, student_name, student_code, answers), keeps and returns the submissions.
+
+        Each row is a submission of its own: students of one name, second attempts and equal rows all stay. ``token`` as
+        in ``create_exams``.
+        """
+        exams = self.table("exams").join(requests.select(F.col("exam_id").alias("id")).distinct(), "id", "left_semi")
+        for row in storage.missing(exams.withColumnRenamed("id", "exam_id"), requests, "exam_id").limit(1).collect():
             raise NotFound(row["exam_id"])
-        new = grading.grade(requests, self.table("exams"), submitted_at).join(self.table("submissions").select("id"), "id", "left_anti")
-        return self._of(self._write(self._changed("submissions", new)), "submissions")
+        keyed = storage.numbered_repeats(requests, F.lit(token or uuid.uuid4().hex))
+        return self._add("submissions", grading.grade(keyed, exams, submitted_at), bool(token))
 
     def delete_submission(self, submission_id: str) -> None:
         self._delete("submissions", submission_id)

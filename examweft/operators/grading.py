@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from examweft import schemas
 from examweft.functions import scoring
-from examweft.functions.text import json_object, normalize_answer, short_id
+from examweft.functions.text import identity, json_object, normalize_answer
 
 
 def detailed_results(questions: Column, answers: Column) -> Column:
@@ -28,8 +28,9 @@ def detailed_results(questions: Column, answers: Column) -> Column:
 def grade(requests: DataFrame, exams: DataFrame, submitted_at: Column | None = None) -> DataFrame:
     """Submissions for requests (exam_id, student_name, student_code, answers); those for unknown exams go (404).
 
-    Exams are joined by identifier; Spark broadcasts them only where they are small. Identifiers are digests
-    of exam, student and answers, so that a task that runs again makes the same ones.
+    Exams are joined by identifier; Spark broadcasts them only where they are small. Identifiers are digests of exam,
+    student, code, answers and, where the requests have it, a column ``request_key`` (``storage.numbered_repeats``), so that a
+    task that runs again makes the same ones. Without that column equal requests get equal identifiers.
     """
     keyed = requests.join(exams.select(F.col("id").alias("exam_id"), F.col("title").alias("exam_title"), "questions"), "exam_id")
     return grade_in_place(keyed, submitted_at)
@@ -41,7 +42,7 @@ def grade_in_place(keyed: DataFrame, submitted_at: Column | None = None) -> Data
     total = F.size("detailed_results")
     correct = F.size(F.filter("detailed_results", lambda r: r["is_correct"]))
     return graded.withColumns({"total_questions": total, "correct_count": correct}).select(
-        short_id("sub_", F.col("exam_id"), F.col("student_name"), F.to_json("answers")).alias("id"),
+        identity("sub_", *map(F.col, ("exam_id", "student_name", "student_code")), F.to_json("answers"), *([F.col("request_key")] if "request_key" in keyed.columns else [])).alias("id"),
         "exam_id", F.coalesce("exam_title", F.lit("")).alias("exam_title"), "student_name",
         F.coalesce("student_code", F.lit(schemas.DEFAULT_STUDENT_CODE)).alias("student_code"),
         (submitted_at if submitted_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("submitted_at"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examweft import schemas
-from examweft.functions.text import short_id, strip
+from examweft.functions.text import identity, strip
 from examweft.plans.common import ordered, with_placeholders
 
 #: Patterns and defaults of the language (fixed values).
@@ -116,7 +116,7 @@ def parse_markup(docs: DataFrame, text: str = "text") -> DataFrame:
     passages = questions.select("doc_id", "n", "block", "stimulus_id").join(known, ["doc_id", "stimulus_id"]).where("known_at < block").groupBy("doc_id", "n").agg(F.max_by("stimulus_text", "known_at").alias("stimulus_text"))
     blank = F.lit("")
     whole = questions.join(passages, ["doc_id", "n"], "left").select("doc_id", F.struct(
-        "n", F.coalesce(F.nullif("id", blank), short_id("q_", F.col("doc_id").cast("string"), F.col("n").cast("string"))).alias("id"),
+        "n", F.coalesce(F.nullif("id", blank), identity("q_", F.col("doc_id"), F.col("n"))).alias("id"),
         F.coalesce(F.nullif("number", blank), F.concat(F.lit("Câu "), F.col("n").cast("string"))).alias("question_number"),
         "stem", with_placeholders(F.col("options")).alias("options"), "correct_answer", "explanation", "stimulus_id", F.coalesce("stimulus_text", blank).alias("stimulus_text"), F.lit(None).cast("string").alias("section"),
     ).alias("q"))

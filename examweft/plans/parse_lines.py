@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from examweft.functions.text import lines, short_id, strip
+from examweft.functions.text import identity, lines, strip
 from examweft.plans.common import joined, ordered, with_placeholders
 
 #: Patterns of lines (fixed values); a question's number is group 2 and its text group 4.
@@ -54,6 +54,6 @@ def parse_lines(docs: DataFrame, text: str = "text", question: str = QUESTION, o
     found = grouped.select("doc_id", "q", number.alias("question_number"), stem.alias("stem"), options.alias("options"), explanation.alias("explanation"), stimulus.alias("stimulus_id"))
     kept = found.where((F.col("stem") != "") | (F.size("options") > 0)).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("q")))
     return kept.select(
-        "doc_id", "n", short_id("q_", F.col("doc_id").cast("string"), F.col("n").cast("string")).alias("id"), "question_number", "stem",
+        "doc_id", "n", identity("q_", F.col("doc_id"), F.col("n")).alias("id"), "question_number", "stem",
         with_placeholders(F.col("options")).alias("options"), F.lit("").alias("correct_answer"), "explanation", "stimulus_id",
     )

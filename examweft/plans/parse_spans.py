@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from examweft.functions.text import clean_option_label, short_id, strip
+from examweft.functions.text import clean_option_label, identity, strip
 from examweft.plans.common import joined, ordered, with_placeholders
 
 HEADS = ("question", "question_label")
@@ -84,7 +84,7 @@ def parse_spans(spans: DataFrame) -> DataFrame:
     default = F.concat(F.lit("Câu "), F.col("n").cast("string"))
     own_number = F.when(F.col("opened_by") == "question", param("question_number"))
     return kept.join(texts, ["doc_id", "q"], "left").select(
-        "doc_id", "n", F.coalesce(param("id"), short_id("q_", F.col("doc_id").cast("string"), F.col("n").cast("string"))).alias("id"),
+        "doc_id", "n", F.coalesce(param("id"), identity("q_", F.col("doc_id"), F.col("n"))).alias("id"),
         F.coalesce("number", own_number, default).alias("question_number"), "stem", with_placeholders(F.col("options")).alias("options"),
         F.when(F.col("opened_by") == "stem", "").otherwise(F.coalesce(F.try_element_at("params", F.lit("correct_answer")), F.lit(""))).alias("correct_answer"),
         "explanation", "stimulus_id", F.coalesce("stimulus_text", F.lit("")).alias("stimulus_text"), "section",

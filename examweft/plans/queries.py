@@ -678,7 +678,7 @@ def updated_exams(spark, d):
     return storage.update_exam(exams, exams.where("id % 4 = 0").select("id", F.lit("renamed").alias("title")))
 
 
-@query("SELECT c_name AS title, 'exam_' || substr(md5(c_name), 1, 8) AS id, '2024' AS created_at FROM customer")
+@query("SELECT c_name AS title, 'exam_' || md5(length(c_name) || ':' || c_name) AS id, '2024' AS created_at FROM customer")
 def inserted_exams(spark, d):
     """K3, X26."""
     none = spark.createDataFrame([], "title string, id string, created_at string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from examweft.functions.text import short_id
+from examweft.functions.text import identity
 from examweft.operators.catalog import newest_per_key
 
 
@@ -34,9 +34,25 @@ def deleted(table: DataFrame, current: DataFrame, key: str = "id") -> DataFrame:
     return table.join(current.select(key).distinct(), key, "left_anti")
 
 
+def numbered_repeats(rows: DataFrame, token: Column, name: str = "request_key") -> DataFrame:
+    """``rows`` with a key for each: of the request's token, the row's whole content and its number among equal rows.
+
+    The same request gives the same keys again, another one others. Rows that are equal in all columns are
+    interchangeable; they are numbered in one window over their content.
+    """
+    whole = [F.to_json(F.col(c)) if "<" in kind else F.col(c) for c, kind in rows.dtypes]
+    named = rows.withColumn(name, identity("", token, *whole))
+    repeat = F.row_number().over(Window.partitionBy(name).orderBy(F.lit(0)))
+    return named.withColumn(name, F.concat(name, F.lit("."), repeat.cast("string")))
+
+
 def insert_exam(exams: DataFrame, new: DataFrame, created_at: Column, *id_keys: str) -> DataFrame:
-    """Exams with new ones, which get a repeatable identifier and their creation time, by which the newest come first (K3)."""
-    made = new.withColumns({"id": short_id("exam_", *map(F.col, id_keys or ("title", "subject", "grade"))), "created_at": created_at})
+    """Exams with new ones, which get an identifier of ``id_keys`` and their creation time, by which the newest come first (K3).
+
+    New exams that are equal in all of ``id_keys`` get equal identifiers: a caller for whom each row is an exam of
+    its own names a key that tells them apart (``numbered_repeats``).
+    """
+    made = new.withColumns({"id": identity("exam_", *map(F.col, id_keys)), "created_at": created_at})
     return exams.unionByName(made.select(*exams.columns))
 
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from examweft import schemas
 from examweft.engine import Engine, NotFound
+from examweft.functions.text import identity
 from examweft.sources import readers
 from tests.test_grading import question
 
@@ -51,3 +52,71 @@ def test_documents(spark, tmp_path):
     assert [(r.question_number, r.stem, r.options[0].label) for r in e.parse(tagged).collect()] == [("Câu 1.", "What", "A")]
     labels = e.label(tagged).orderBy("pos").collect()
     assert [r.tag for r in labels] == ["B-question_label", "I-question_label", "I-question_label", "B-stem", "B-option_label", "I-option_label", "B-option_text"]
+
+
+EXAM = "title string, subject string, grade string, duration_minutes int, questions " + schemas.EXAMS.split("questions ")[1]
+
+
+def test_no_exam_and_no_submission_is_lost(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    quiz = spark.createDataFrame([("Quiz", "s", "9", None, [question("q1")]), ("Quiz", "s", "9", 30, []), ("Quiz", "s", "9", 30, [])], EXAM)
+    assert e.create_exams(quiz).count() == 3 and e.create_exams(quiz).count() == 3
+    assert e.exams().count() == 6 and e.exams().select("id").distinct().count() == 6
+    exam = e.exams().where("size(questions) = 1").first().id
+    ask = lambda *rows: spark.createDataFrame([(exam, *r) for r in rows], schemas.REQUESTS)
+    anna = ask(("Anna", "S1", {"q1": "A"}), ("Anna", "S2", {"q1": "A"}), ("Anna", "S2", {"q1": "A"}))
+    assert e.submit(anna, F.lit("1")).count() == 3
+    assert e.submit(ask(("Anna", "S1", {"q1": "A"})), F.lit("2")).count() == 1
+    assert e.submissions(exam).count() == 4 and e.submissions().select("id").distinct().count() == 4
+
+
+def test_a_repeated_request_counts_once(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    rows = spark.createDataFrame([("T", "s", "9", None, [question("q1")])] * 2, EXAM)
+    first = sorted(r.id for r in e.create_exams(rows, token="r1").collect())
+    assert sorted(r.id for r in e.create_exams(rows, token="r1").collect()) == first and e.exams().count() == 2
+    ask = spark.createDataFrame([(first[0], "An", None, {"q1": "A"})], schemas.REQUESTS)
+    made = [r.id for _ in range(2) for r in e.submit(ask, token="s1").collect()]
+    assert len(made) == 2 and len(set(made)) == 1 and e.submissions().count() == 1
+    assert e.submit(ask, token="s2").first().id != made[0]
+    e.delete_exam(first[0])
+    e.create_exams(rows, token="r1")
+    assert e.health()["exams"] == 1  # deleted since: the repeated request doesn't bring it back
+
+
+def test_identities_are_wide(spark):
+    ids = spark.range(1_000_000).select(identity("e_", F.col("id")).alias("id"))
+    assert ids.distinct().count() == 1_000_000
+    keys = spark.createDataFrame([("a", "b", None), ("a", None, "b"), ("ab", "", None), ("a", "b", "-"), ("1:a", "b", None)], "x string, y string, z string")
+    assert keys.select(identity("", *map(F.col, "xyz")).alias("id")).distinct().count() == 5
+
+
+def scanned(df):
+    """Rows that the scans of a plan gave out."""
+    df.collect()
+    todo, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in kind:
+            todo.append(node.plan())
+        elif node.children().isEmpty():
+            rows += node.metrics().apply("numOutputRows").value() if node.metrics().contains("numOutputRows") else 0
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+def test_look_ups_skip_files(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "a"))
+    many = spark.range(4000).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("title"), F.lit("s").alias("subject"), F.lit("9").alias("grade"), F.lit(30).alias("duration_minutes"), F.array().cast(EXAM.split("questions ")[1]).alias("questions"))
+    e.create_exams(many)
+    t = e.tidy(str(tmp_path / "b"), 8)
+    assert t.health() == e.health()
+    key = t.exams("t77").first().id
+    assert 0 < scanned(t.table("exams", key)) <= 600 and scanned(t.table("exams")) == 4000 and t.exam(key).count() == 1
+    assert f"EqualTo(id,{key})" in t.table("exams", key)._jdf.queryExecution().toString()
+    with pytest.raises(NotFound):
+        t.exam("exam_none")
