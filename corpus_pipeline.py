@@ -15,31 +15,34 @@ from examweft.llm.queries import bpe_path
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. A null or empty text is scored like any other; of repeated rows all stay or
+    all go; without labels all stay."""
     prepare(spark)
     return quality.keep_good(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
+    """Of equal texts the one with the largest doc_id stays. A null text counts as empty, a null doc_id as smaller than any;
+    rows that share a doc_id stay or go together."""
     return dedup.deduplicate(docs, keep="max")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links connect the one with the smallest doc_id stays."""
+    """Of each group of documents that links connect the one with the smallest doc_id stays, with other rows of that doc_id.
+    Texts without words are linked with nothing and stay."""
     prepare(spark)
     return jaccard.first_of_each(docs)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked, and n_chars follows the text."""
+    """Personal data is masked, and n_chars follows the text. A null text stays null; every row stays."""
     prepare(spark)
     masked = pii.redact(docs)
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
+    """Token pieces and their places in sequences. A null or empty text is one piece of one token; repeated rows are packed each."""
     prepare(spark)
     return packing.pack(packing.token_pieces(docs, bpe_path()))
 
