@@ -5,14 +5,14 @@ into a block, ``<|=role|>text`` and for each further turn ``<|+role|>text``. Ins
 a backslash, ``<`` and ``[`` (in roles ``|`` as well) are written as two characters that hold none of
 them, so that no text can hold a control string, and reading back is exact.
 
-Turn structs are collected in two steps, first for stretches of ``CHUNK`` turn numbers, then for the
+Turn structs are collected in two steps, first for stretches of ``CHUNK`` turns at most, then for the
 conversation: a long conversation is sorted, merged and escaped in many tasks, and only its finished
-stretches meet. A conversation's formatted text is one value, so Spark's 2 GB limit of a value holds.
+stretches meet. A stretch is cut by turn number and then, where turns are tied or repeated, by rank. A conversation's formatted text is one value, so Spark's 2 GB limit of a value holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 256
@@ -53,7 +53,9 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
         F.floor(F.col("turn") / CHUNK).alias("chunk"),
         F.struct("turn", role.alias("role"), text.alias("text")).alias("t"),
     )
-    stretch = rows.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    rank = F.row_number().over(Window.partitionBy("conv_id", "chunk").orderBy("t")) - 1
+    ranked = rows.withColumn("part", F.floor(rank / CHUNK))
+    stretch = ranked.groupBy("conv_id", "chunk", "part").agg(F.sort_array(F.collect_list("t")).alias("ts"))
 
     none = F.array().cast("array<struct<role:string,texts:array<string>>>")
 
@@ -85,6 +87,7 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
         "conv_id",
         F.struct(
             "chunk",
+            "part",
             F.col("ts")[0]["role"].alias("first"),
             F.element_at("ts", -1)["role"].alias("last"),
             F.array_join(F.transform("ps", lambda p: p["s"]), "").alias("s"),

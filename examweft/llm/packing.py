@@ -6,8 +6,9 @@ Open bins are kept in a bitset keyed by free space, so that the best one is the
 piece's length; no more than ``open_bins`` are open, and the fullest closes first.
 
 A shard has a fixed number of pieces (not a fixed share of them), so that the loss, one bin or so in
-each shard, stays the same small share of any input. Measured on 11,562 pieces: 4,939 sequences with windows
-of 1,024 pieces and 256 open bins, 4,990 without windows, 4,936 is the lower bound.
+each shard, stays the same small share of any input. A window is twice the open bins: as many bins as it opens for
+pieces longer than half a sequence then stay open for its short ones. Simulated on 16,384 lengths from 1 to 2,048, all
+equally likely: 8,303 sequences, 8,317 without windows, 8,720 with windows of 1,024; 8,205 is the lower bound.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from examweft.llm.common import materialize
 
 CAPACITY = 2048
 OPEN_BINS = 256
-WINDOW = 1024
+WINDOW = 2 * OPEN_BINS
 SHARD = 16_384
 END_ID = 0
 
@@ -46,14 +47,21 @@ class Bins:
             space, number = self.capacity, self.opened
             self.opened += 1
         if left := space - length:
-            if self.count == self.most:
-                self._take((self.bits & -self.bits).bit_length() - 1)
+            if self.count < self.most:
+                self._open(left, number)
+            else:  # the fullest closes, be it the one that was just filled
+                fullest = (self.bits & -self.bits).bit_length() - 1
+                if left > fullest:
+                    self._take(fullest)
+                    self._open(left, number)
                 self.closed += 1
-            self.by_space[left].append(number)
-            self.bits |= 1 << left
-            self.count += 1
         return number, self.capacity - space
 
+    def _open(self, space: int, number: int) -> None:
+        self.by_space[space].append(number)
+        self.bits |= 1 << space
+        self.count += 1
+
     def _take(self, space: int) -> int:
         number = self.by_space[space].pop()
         self.count -= 1

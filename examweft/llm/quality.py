@@ -242,13 +242,16 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of ``docs`` that aren't rejected, with all their columns. Each text is looked at once; a row is known by its
     identifier and a hash of its text."""
+    known = "_row"
+    while known in map(str.lower, docs.columns):
+        known = f"_{known}"
     row = F.struct(F.col(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("hash"))
-    stats = materialize(features(docs.withColumn("_row", row), text_col, (id_col, "_row")), "stats")
+    stats = materialize(features(docs.withColumn(known, row), text_col, (id_col, known)), "stats")
     model = fit(stats, labels, id_col, label_col)
 
     def function(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.select(["_row"]).filter(pa.array(model.scores(_rows(batch)) < THRESHOLD))
+        return batch.select([known]).filter(pa.array(model.scores(_rows(batch)) < THRESHOLD))
 
-    bad = map_batches(stats.select("_row", "stats", "grams"), function, f"_row {stats.schema['_row'].dataType.simpleString()}").distinct()
-    bad = materialize(bad.select(F.col("_row").alias("_bad")), "rejected")
-    return without(docs.withColumn("_row", row), bad, "_row").drop("_row")
+    bad = map_batches(stats.select(known, "stats", "grams"), function, f"{known} {stats.schema[known].dataType.simpleString()}").distinct()
+    bad = materialize(bad.select(F.col(known).alias("bad")), "rejected")
+    return without(docs.withColumn(known, row), bad, known).drop(known)

@@ -118,7 +118,7 @@ def best_rule(candidates: Column) -> Column:
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = DEFAULT_VERDICT, url: str = "url", own: tuple[Rule, ...] = OWN_RULES) -> DataFrame:
-    """``pages`` with host, path, rule, method_rule and verdict; columns of those names are replaced.
+    """``pages`` with host, path, rule, method_rule and verdict; columns of those names are replaced, all others stay.
 
     ``rule`` is the one of ``rules`` that decides; where there is none, ``method_rule`` is the one of ``own`` that does.
     A null url, or one without ``://``, has an empty host and path and gets the default verdict, as
@@ -129,14 +129,15 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = DEFA
     known = {r.pattern for r in rules}
     own = tuple(r for r in own if r.pattern not in known)
     filed, mine = index((*rules, *own)), {r.pattern for r in own}
-    out = pages.withColumns({"_h": host, "_p": path})
+    out = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"), host.alias("_h"), path.alias("_p"))
     if len(rules) + len(own) <= LITERAL_RULES:
         out = out.withColumn("_r", best_rule(_from_literal(filed, mine)))
     else:
         out = _from_join(out, filed, mine)
     names = {"host": F.col("_h"), "path": F.col("_p"), "rule": F.when(~F.col("_r.own"), F.col("_r.pattern")),
              "method_rule": F.when(F.col("_r.own"), F.col("_r.pattern")), "verdict": F.coalesce(F.col("_r.verdict"), F.lit(default))}
-    return out.withColumns(names).drop("_h", "_p", "_r")
+    kept = [F.col("row").getField(c).alias(c) for c in pages.columns if c.lower() not in names]
+    return out.select(*kept, *(column.alias(name) for name, column in names.items()))
 
 
 def _from_literal(filed: dict[str, list[Rule]], mine: set[str]) -> Column:

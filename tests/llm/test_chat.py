@@ -51,3 +51,19 @@ def test_digests_follow_the_mask(turns):
 
 def test_nothing(turns):
     assert chat.digests(chat.format_conversations(turns.where("false"))).count() == 0
+
+
+def test_many_tied_turns(spark):
+    """A stretch holds so many turns at most, whether they are tied, repeated or without a number."""
+    turns = spark.range(60_000).select(F.lit(1).alias("conv_id"), F.when(F.col("id") % 2 == 0, 7).cast("long").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), (F.col("id") % 100).cast("string").alias("text"))
+    r = chat.digests(chat.format_conversations(turns)).first()
+    rows = sorted(((i % 2 == 0), "user" if i % 3 == 0 else "assistant", str(i % 100)) for i in range(60_000))
+    assert r.n_turns == 60_000 and r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in rows).encode()).hexdigest()
+    loss = "".join(b for _, a, b in rows if a == "assistant")
+    assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_any_stretch_gives_the_same(turns, monkeypatch):
+    want = {r.conv_id: r.formatted for r in chat.format_conversations(turns).collect()}
+    monkeypatch.setattr(chat, "CHUNK", 2)
+    assert {r.conv_id: r.formatted for r in chat.format_conversations(turns).collect()} == want

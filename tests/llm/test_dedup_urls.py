@@ -153,3 +153,13 @@ def test_wildcards_anchors_and_own_rules(spark, literal, monkeypatch):
             first, second = (brute_best(rs, host, slash + path) for rs in (mine, own))
             want = (first.pattern, None, first.verdict) if first else (None, second.pattern, second.verdict) if second else (None, None, "allow")
             assert got[i] == want, text
+
+
+@pytest.mark.parametrize("literal", [True, False])
+def test_judge_keeps_every_column(spark, literal, monkeypatch):
+    if not literal:
+        monkeypatch.setattr(urls, "LITERAL_RULES", 0)
+    pages = spark.createDataFrame([(1, "http://x.net/", 4, 5, 6, 7, 8, "h")], "page_id long, url string, _h int, _p int, _r int, row int, `a.b` int, Host string")
+    r = urls.judge(pages).first().asDict()
+    assert [r[c] for c in ("page_id", "_h", "_p", "_r", "row", "a.b")] == [1, 4, 5, 6, 7, 8]
+    assert (r["host"], r["rule"], r["verdict"]) == ("x.net", "net/", "block") and "Host" not in r

@@ -117,3 +117,24 @@ def test_packing_of_nothing_and_repeats(spark, none, tokenizer_path):
 def test_other_columns_pass_through(odd, tokenizer_path):
     kept = bpe.encode(odd.withColumn("words", F.lit(1)), tokenizer_path, keep=("doc_id", "n", "words"))
     assert kept.columns == ["doc_id", "n", "words", "n_tokens", "ids"] and kept.count() == odd.count()
+
+
+def test_the_newcomer_closes_if_it_is_the_fullest():
+    bins = packing.Bins(10, 2)
+    assert [bins.place(n) for n in (6, 7, 9, 4, 3)] == [(0, 0), (1, 0), (2, 0), (0, 6), (1, 7)] and bins.closed == 1
+    bins = packing.Bins(10, 2)
+    assert [bins.place(n) for n in (9, 6, 7, 1, 4, 3)][3] == (2, 7)  # of bins with 1, 4 and 3 left the one with 1 was closed
+
+
+@pytest.mark.parametrize("draw", [lambda r: r.randint(1, 2048), lambda r: r.randint(700, 2048), lambda r: min(2048, int(r.lognormvariate(5.5, 1.2)) + 1)])
+def test_windows_are_no_worse_than_arrival(draw):
+    rng = random.Random(11)
+    lengths = [draw(rng) for _ in range(packing.SHARD)]
+    opened = []
+    for window in (1, packing.WINDOW):
+        bins = packing.Bins(packing.CAPACITY, packing.OPEN_BINS)
+        for at in range(0, len(lengths), window):
+            for n in sorted(lengths[at : at + window], reverse=True):
+                bins.place(n)
+        opened.append(bins.opened)
+    assert opened[1] <= opened[0]

@@ -136,3 +136,10 @@ def test_keep_good(labelled):
     kept = Q.keep_good(docs, labels)
     assert kept.columns == docs.columns and kept.where("truth = 1").count() == docs.where("truth = 1").count()
     assert kept.where("truth = 0").count() < 0.05 * docs.where("truth = 0").count() + 1
+
+
+def test_keep_good_keeps_clashing_columns(labelled):
+    docs, labels = labelled
+    more = docs.selectExpr("*", "doc_id + 1 as _row", "'x' as __row", "2 as stats", "3 as grams", "4 as _bad", "5 as _text")
+    kept = Q.keep_good(more, labels)
+    assert kept.columns == more.columns and kept.where("_row = doc_id + 1 and __row = 'x' and stats + grams + _bad + _text = 14").count() == Q.keep_good(docs, labels).count()
