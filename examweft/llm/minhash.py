@@ -4,10 +4,13 @@
 2. Circulant signatures: one permutation of the 32-bit universe is applied to a set once; a second one, circularly shifted
    by 0, 1, 2, ..., gives all coordinates: coordinate k is the least ``second((first(x) + k) mod 2**32)`` of the set.
    Bands of neighbouring coordinates are buckets; nodes alone in all their buckets end here.
-3. First round: each node goes to one bucket, the largest that it is in, with its whole set. A bucket is cut into parts of bounded
-   size; each part has the bucket's representative too, and all that link in a part are joined. Sets move once each.
-4. Second round: only buckets that hold several components yet (of equal ones, one). Nodes of the largest component meet the
-   others, part by part, and the others meet each other; nodes that are joined already aren't compared again.
+3. Rounds of parts: each node goes to one bucket, the largest that it is in, with its whole set. A bucket is cut into parts of bounded
+   size by a hash; each part has the bucket's first node too, and all that link in a part are joined. Sets move once each.
+   Then only buckets go on that hold several components yet (of equal ones, one), in parts dealt anew, until a round
+   joins few: a large group of near copies is one component after some rounds, without its pairs.
+4. What is left is compared whole, first within each node's largest bucket, then in all its other buckets but for pairs that
+   have met: nodes of the largest side of a bucket meet the others, part by part, and the others meet each other. Pairs
+   that are joined already aren't compared again.
 5. Components of the links; each document gets the smallest identifier of its component.
 
 Links are confirmed by counting common hashes of whole sets. A link at the threshold is in no common bucket with a
@@ -31,7 +34,9 @@ from examweft.llm.jaccard import shingle_sets
 WORDS, PERCENT = 3, 85
 BANDS, ROWS = 32, 5
 #: Nodes and shingles of a part.
-PART_NODES, PART_TOKENS = 128, 250_000
+PART_NODES, PART_TOKENS = 512, 500_000
+#: A round of parts is followed by another one if it joined one of so many nodes of the buckets that are still mixed.
+AGAIN = 20
 #: Shingles whose coordinates are computed at a time.
 BLOCK = 1 << 15
 
@@ -120,7 +125,7 @@ def whole_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, k:
 # --- verification ---------------------------------------------------------------------------------
 
 def linked(nodes: list[int], known: list[int], sizes: np.ndarray, tokens: list[np.ndarray], role: list[str], percent: int) -> list[tuple[int, int]]:
-    """Of one cell: (u, v) for each node that links join to another one, v the smallest of its new group.
+    """Of one cell: (u, v) for each known component that links join to another one, by a node of it and of the other.
 
     Roles: "a" meets all others of the cell, "i" and "q" each other. Nodes with the same ``known`` component aren't compared.
     """
@@ -142,10 +147,13 @@ def linked(nodes: list[int], known: list[int], sizes: np.ndarray, tokens: list[n
         if len(met):
             together = np.unique(np.append(group[met], group[i]))
             group[np.isin(group, together)] = together[0]
-    least: dict[int, int] = {}
-    for node, g in zip(nodes, group.tolist(), strict=True):
-        least[g] = min(node, least.get(g, node))
-    return [(node, least[g]) for node, g in zip(nodes, group.tolist(), strict=True) if node != least[g]]
+    ends: dict[int, int] = {}  # of each known component and each joined group its first node here
+    first: dict[int, int] = {}
+    for node, name, g in zip(nodes, known, group.tolist(), strict=True):
+        first.setdefault(name, node)
+        ends.setdefault(g, node)
+    joined = {first[name]: ends[g] for name, g in zip(known, group.tolist(), strict=True)}
+    return [(u, v) for u, v in joined.items() if u != v]
 
 
 def _verified(rows: DataFrame, percent: int) -> DataFrame:
@@ -181,32 +189,42 @@ def _dealt(parts: Column) -> Column:
     return F.pmod(F.xxhash64("node"), parts)
 
 
-def first_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links of nodes (bucket, node, n) within the parts of their largest buckets."""
+def homes_of(met: DataFrame) -> DataFrame:
+    """``met`` with one bucket for each node, the one that most nodes are in."""
     sizes = met.groupBy("bucket").agg(F.count("*").alias("size"))
-    homes = met.join(sizes, "bucket").groupBy("node").agg(F.max(F.struct("size", "bucket"))["bucket"].alias("bucket"), F.max("n").alias("n"))
-    homes = materialize(homes, "homes")
-    kept = homes.groupBy("bucket").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens"), F.min("node").alias("first")).where("nodes > 1")
+    homes = met.join(sizes, "bucket").groupBy("node").agg(F.max(F.struct("size", "bucket"))["bucket"].alias("bucket"), F.max("n").alias("n"), F.max("known").alias("known"))
+    return materialize(homes, "homes")
+
+
+def part_links(met: DataFrame, sets: DataFrame, percent: int, number: int) -> DataFrame:
+    """(u, v): links of nodes (bucket, node, n, known) within the parts of their largest buckets; ``number`` deals the parts anew."""
+    homes = homes_of(met)
+    kept = homes.groupBy("bucket").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens"), F.min(F.struct("node", "known")).alias("first")).where("nodes > 1")
     kept = materialize(kept.select("bucket", "first", _parts("nodes", "tokens").alias("parts")), "kept")
-    own = homes.join(kept, "bucket").select("bucket", _dealt(F.col("parts")).alias("x"), "node")
-    visits = kept.where("parts > 1").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("x"), F.col("first").alias("node"))
+    own = homes.join(kept, "bucket").select("bucket", F.pmod(F.xxhash64("node", F.lit(number)), F.col("parts")).alias("x"), "node", "known")
+    visits = kept.where("parts > 1").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("x"), "first.node", "first.known")
     places = own.unionByName(visits).distinct()
-    rows = places.join(sets, "node").select("bucket", "x", F.lit(0).alias("y"), "node", F.col("node").alias("known"), "n", "tokens", F.lit("a").alias("role"))
-    return materialize(_verified(rows, percent), "first")
+    rows = places.join(sets, "node").select("bucket", "x", F.lit(0).alias("y"), "node", "known", "n", "tokens", F.lit("a").alias("role"))
+    return materialize(_verified(rows, percent), "part")
 
 
-def more_links(met: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links that join what ``found`` has not joined yet, in all buckets that nodes share."""
+def still_mixed(met: DataFrame, found: DataFrame) -> DataFrame:
+    """``met`` with the components ``known`` after the links ``found``: the buckets that hold several, of equal ones one."""
     groups = components(found).select("node", F.col("root").alias("known"))
     named = materialize(met.join(groups, "node", "left").withColumn("known", F.coalesce("known", "node")), "named")
     whole = named.groupBy("bucket").agg(F.min("known").alias("a"), F.max("known").alias("b"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("size")).where("a < b")
-    once = materialize(whole.groupBy("sum", "size").agg(F.min("bucket").alias("bucket")).select("bucket"), "mixed")
-    mixed = materialize(named.join(once, "bucket"), "mixed")
-    shares = mixed.groupBy("bucket", "known").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens"))
-    sums = shares.groupBy("bucket").agg(F.max_by(F.struct("known", "nodes", "tokens"), F.struct("nodes", "known")).alias("most"), F.sum("nodes").alias("nodes"), F.sum("tokens").alias("tokens"))
-    sums = sums.select("bucket", F.col("most.known").alias("most"), _parts("most.nodes", "most.tokens").alias("large"), (F.col("nodes") - F.col("most.nodes")).alias("nodes"), (F.col("tokens") - F.col("most.tokens")).alias("tokens"))
+    once = materialize(whole.groupBy("sum", "size").agg(F.min("bucket").alias("bucket")).select("bucket"), "once")
+    return materialize(named.join(once, "bucket"), "mixed")
+
+
+def cross_links(mixed: DataFrame, sets: DataFrame, percent: int, group: str) -> DataFrame:
+    """(u, v): the links that join components of each bucket, but for pairs of one ``group``, a column of ``mixed`` (bucket, node, n, known)."""
+    mixed = mixed.withColumn("side", F.col(group))
+    shares = mixed.groupBy("bucket", "side").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens"))
+    sums = shares.groupBy("bucket").agg(F.max_by(F.struct("side", "nodes", "tokens"), F.struct("nodes", "side")).alias("most"), F.sum("nodes").alias("nodes"), F.sum("tokens").alias("tokens"))
+    sums = sums.select("bucket", F.col("most.side").alias("most"), _parts("most.nodes", "most.tokens").alias("large"), (F.col("nodes") - F.col("most.nodes")).alias("nodes"), (F.col("tokens") - F.col("most.tokens")).alias("tokens"))
     sums = materialize(sums.select("bucket", "most", "large", _parts("nodes", "tokens").alias("rest")), "sums")
-    rows = mixed.join(sums, "bucket").withColumn("inside", F.col("known") == F.col("most"))
+    rows = mixed.join(sums, "bucket").withColumn("inside", F.col("side") == F.col("most"))
     rows = rows.withColumn("here", _dealt(F.when(F.col("inside"), F.col("large")).otherwise(F.col("rest"))))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     cell = lambda x, y, role: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), role.alias("role"))
@@ -216,7 +234,7 @@ def more_links(met: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
     among = F.transform(upto(F.col("rest")), lambda j: cell(F.least(F.col("here"), j), F.greatest(F.col("here"), j), F.when(F.col("here") == j, "a").when(F.col("here") < j, "i").otherwise("q")))
     cells = F.when(F.col("inside"), across).otherwise(F.concat(across, among))
     places = materialize(rows.select("bucket", "node", "known", F.explode(cells).alias("c")).select("bucket", "node", "known", "c.*"), "places")
-    return materialize(_verified(places.join(sets, "node").select("bucket", "x", "y", "node", "known", "n", "tokens", "role"), percent), "more")
+    return materialize(_verified(places.join(sets, "node").select("bucket", "x", "y", "node", "known", "n", "tokens", "role"), percent), "cross")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -236,8 +254,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = materialize(banded.join(shared, "bucket"), "met")
     asked = materialize(nodes.select("node", "key", "id").join(met.select("node").distinct(), "node"), "asked")
     sets = whole_sets(docs, asked, id_col, text_col, k)
-    found = first_links(met, sets, percent)
-    found = found.unionByName(more_links(met, found, sets, percent))
+    mixed, found, number = met.withColumn("known", F.col("node")), None, 0
+    while True:
+        new = part_links(mixed, sets, percent, number)
+        found, number = new if found is None else found.unionByName(new), number + 1
+        mixed = still_mixed(met, found)
+        if new.count() * AGAIN < mixed.select("node").distinct().count() or number > 1 and new.isEmpty():
+            break
+    homes = homes_of(mixed)
+    found = found.unionByName(cross_links(homes, sets, percent, "known"))
+    mixed = still_mixed(met, found).join(homes.select("node", F.col("bucket").alias("home")), "node", "left")
+    mixed = materialize(mixed.withColumn("home", F.coalesce("home", "bucket")), "homed")
+    several = mixed.groupBy("bucket").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a < b").select("bucket")
+    found = found.unionByName(cross_links(materialize(mixed.join(several, "bucket"), "homed"), sets, percent, "home"))
     roots = nodes.select("key", "node").join(components(found), "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     rooted = materialize(own.select("id", "n", "key").join(materialize(roots, "roots"), "key", "left"), "rooted")
     least = materialize(rooted.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id")), "least")
