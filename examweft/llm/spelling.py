@@ -114,7 +114,7 @@ def light_edges(words: DataFrame) -> DataFrame:
     edges = materialize(_edges(words), "edges")
     sizes = edges.groupBy("node", "code").agg(F.count("*").alias("size"))
     heaviest = F.max_by(F.when(F.col("code") >= 0, F.col("code")), F.when(F.col("code") >= 0, F.struct("size", "code")))
-    heavy = sizes.groupBy("node").agg(heaviest.alias("heavy"), F.count("*").alias("ways")).where("ways > 1 and heavy is not null").drop("ways")
+    heavy = materialize(sizes.groupBy("node").agg(heaviest.alias("heavy"), F.count("*").alias("ways")).where("ways > 1 and heavy is not null").drop("ways"), "heavy")
     return edges.join(heavy, "node").where("code <> heavy").select("id", "place", "code", "heavy")
 
 
