@@ -70,9 +70,13 @@ def has_sections(questions: Column) -> Column:
     return F.exists(questions, lambda q: ~blank(q["section"]))
 
 
-def newest_first(df: DataFrame, column: str = "created_at", *then: str) -> DataFrame:
+def newest_order(column: str = "created_at", *then: str) -> list[Column]:
     """By creation time, the newest first; rows without any come last (O1, O5). ``then`` orders equal times."""
-    return df.orderBy(F.coalesce(F.col(column), F.lit("")).desc(), *then)
+    return [F.coalesce(F.col(column), F.lit("")).desc(), *map(F.col, then)]
+
+
+def newest_first(df: DataFrame, column: str = "created_at", *then: str) -> DataFrame:
+    return df.orderBy(*newest_order(column, *then))
 
 
 def newest_per_key(rows: DataFrame, key: str = "id", version: str | None = None) -> DataFrame:

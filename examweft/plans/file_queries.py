@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from examweft.functions import text as X
-from examweft.operators import bio, catalog, tokens
+from examweft.operators import bio, catalog, ranks, tokens
 from examweft.plans import annotation, markup, remote, storage
 from examweft.plans.queries import PAGE_LABELS, PAGE_SPANS, PAGE_TAGS, page_docs, page_labels, query, table
 from examweft.sources import readers, sinks
@@ -21,11 +21,12 @@ def folder(spark: SparkSession, name: str) -> str:
 
 # --- selection, order, deletion -------------------------------------------------------------------
 
-@query("SELECT n_nationkey, n_name, row_number() OVER (ORDER BY CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE n_name END DESC, n_nationkey) - 1 AS place FROM nation")
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END DESC, o_orderkey) - 1 AS place FROM orders")
 def newest_tasks(spark, d):
-    """The newest first, tasks without a time last. The 25 nations stand for a client's list of tasks."""
-    rows = table(spark, d, "nation").select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 4 != 0, F.col("n_name")).alias("created_at"))
-    return catalog.newest_first(rows, "created_at", "n_nationkey").coalesce(1).select("n_nationkey", "n_name", F.monotonically_increasing_id().alias("place"))
+    """The newest first, tasks without a time last, each with its place in the list."""
+    day = F.when(F.col("o_orderkey") % 4 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", day.alias("created_at"))
+    return ranks.placed(rows, *catalog.newest_order("created_at", "o_orderkey")).drop("created_at")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1")
@@ -43,13 +44,16 @@ def deleted_submissions(spark, d):
     return storage.delete_by_id(orders, gone, "o_orderkey").unionByName(absent)
 
 
-_LABELS = ", ".join(f"('{tag}', {n})" for tag, n in bio.label_ids(PAGE_TAGS).items())
+#: The label ids of the pages' tags, stated here for SQL beside what ``bio.label_ids`` makes of the tags (fixed values).
+PAGE_LABEL_IDS = {"O": 0, "B-p": 1, "I-p": 2, "B-li": 3, "I-li": 4, "B-ul": 5, "I-ul": 6, "B-a": 7, "I-a": 8, "B-div": 9, "I-div": 10, "B-h1": 11, "I-h1": 12, "B-title": 13, "I-title": 14}
+_LABELS = ", ".join(f"('{tag}', {n})" for tag, n in PAGE_LABEL_IDS.items())
 
 
-@query(f"SELECT tag, label_id FROM (VALUES {_LABELS}) t(tag, label_id) WHERE tag <> 'O'")
+@query(f"WITH {PAGE_LABELS} SELECT t.tag, t.label_id, count(lab.tag) AS n_tokens FROM (VALUES {_LABELS}) t(tag, label_id) LEFT JOIN lab USING (tag) GROUP BY ALL")
 def label_vocabulary(spark, d):
-    """The label ids as a table."""
-    return spark.createDataFrame([x for x in bio.label_ids(PAGE_TAGS).items() if x[0] != "O"], "tag string, label_id int")
+    """The label ids as a table, and how many tokens of the pages bear each."""
+    names = spark.createDataFrame(list(bio.label_ids(PAGE_TAGS).items()), "tag string, label_id int")
+    return names.join(page_labels(spark, d).select("tag", F.lit(1).alias("one")), "tag", "left").groupBy("tag", "label_id").agg(F.count("one").alias("n_tokens"))
 
 
 # --- files ----------------------------------------------------------------------------------------

@@ -1,17 +1,22 @@
 """Task and progress streams: throttling, task state, transitions, counters, debouncing, countdowns.
 
-What windows can say is a window, for tables and streams alike. What depends on the last event that was let
-through keeps one small state for each task, which stays (only countdowns go with their timers).
+What windows can say is a window, for tables and streams alike. What depends on the events before keeps one small state
+for each task. It goes when the watermark is ``keep`` past the task's last event, or, of a task that is done, ``linger``
+past it; so the state follows the tasks at work, not all there ever were. Events behind the watermark are late: they
+are left out before they reach a state. A task whose state has gone begins anew with its next event.
+These streams need the state store that ``with_state_store`` sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from examweft.functions.text import word_count
@@ -20,18 +25,53 @@ THROTTLE_MS, DEBOUNCE = 80, "350 milliseconds"
 WATERMARK = "10 minutes"
 
 
-def _let_through(ms: Iterator[int], sure: Iterator[bool], last: int | None) -> tuple[list[bool], int | None]:
-    out = []
-    for t, s in zip(ms, sure, strict=True):
-        out.append(bool(s) or last is None or t - last >= THROTTLE_MS)
-        last = t if out[-1] else last
-    return out, last
+#: How long after its last event a task's state is kept, and after the end of one that is done, in milliseconds.
+KEEP_MS, LINGER_MS = 86_400_000, 600_000
+DONE = ("completed", "failed")
+#: Where a status may go from (fixed values); the same one may come again.
+STAGES = {"pending": (None,), "processing": (None, "pending"), "completed": (None, "pending", "processing"), "failed": (None, "pending", "processing")}
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 
-def _throttled(pdf: pd.DataFrame, last: int | None) -> tuple[pd.DataFrame, int | None]:
-    pdf = pdf.sort_values(["ms", "streamed_tokens"], kind="stable")
-    keep, last = _let_through(pdf["ms"], pdf["streamed_tokens"] >= pdf["estimated_tokens"], last)
-    return pdf[keep], last
+
+@contextmanager
+def with_state_store(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Queries started in here get the state store that keyed states with timers need, over so many partitions."""
+    settings = {_STORE: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class _Kept(StatefulProcessor):
+    """A state value for each task, which a timer of event time takes away. ``schema`` ends with the time of its newest event."""
+
+    schema = ""
+
+    def __init__(self, keep: int = KEEP_MS):
+        self.keep = keep
+
+    def init(self, handle) -> None:
+        self.handle, self.state = handle, handle.getValueState("state", self.schema)
+
+    def put(self, value: tuple, keep: int | None = None) -> None:
+        """Keeps ``value`` until ``keep`` past its last field."""
+        self.state.update(value)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(value[-1] + (self.keep if keep is None else keep))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 EVENT = "task_id string, ms long, streamed_tokens int, estimated_tokens int"
@@ -63,57 +103,73 @@ def throttle(events: DataFrame) -> DataFrame:
 EVENT_COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
 
 
-def throttle_stream(events: DataFrame) -> DataFrame:
-    """The same for a stream; the state is when the last event went through."""
-    def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out, last = _throttled(pd.concat(list(batches)), last)
-        if last is not None:
-            state.update((int(last),))
-        yield out
+class _Throttle(_Kept):
+    schema = "last long, at long"
+
+    def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
+        last, at = self.state.get() or (None, 0)
+        for row in sorted(rows, key=lambda r: (r.ms, r.streamed_tokens)):
+            if last is None or row.ms - last >= THROTTLE_MS or row.streamed_tokens >= row.estimated_tokens:
+                last = row.ms
+                yield Row(task_id=row.task_id, ms=row.ms, streamed_tokens=row.streamed_tokens, estimated_tokens=row.estimated_tokens)
+            at = max(at, row.ms)
+        self.put((last, at))
+
 
-    return events.select(*EVENT_COLUMNS).groupBy("task_id").applyInPandasWithState(one, EVENT, "last long", "append", GroupStateTimeout.NoTimeout)
+def throttle_stream(events: DataFrame, watermark: str = WATERMARK, keep: int = KEEP_MS) -> DataFrame:
+    """The same for a stream; the state is when the last event went through. Events come in order of batches: one that
+    is older than those of a batch before, but not late, is taken after them."""
+    timed = events.select(*EVENT_COLUMNS, F.timestamp_millis("ms").alias("ts")).withWatermark("ts", watermark)
+    return timed.groupBy("task_id").transformWithState(_Throttle(max(keep, THROTTLE_MS)), EVENT, "append", "eventTime")
 
 
 STATE = "status string, progress int, message string, error string, seq int"
+_FIELDS = ("status", "progress", "message", "error")
 
 
-def fold_updates(old: tuple, rows: pd.DataFrame) -> tuple:
-    """A task's fields after partial updates in order; null keeps what was. Progress may fall."""
-    now = list(old)
-    for row in rows.sort_values("seq").itertuples(index=False):
-        for i, name in enumerate(("status", "progress", "message", "error")):
-            value = getattr(row, name)
-            if value is not None and not pd.isna(value):
-                now[i] = int(value) if name == "progress" else value
-        now[4] = int(row.seq)
-    return tuple(now)
+class _Tasks(_Kept):
+    schema = f"{STATE}, refused int, at long"
 
+    def __init__(self, keep: int, linger: int):
+        super().__init__(keep)
+        self.linger = linger
 
-def task_states(updates: DataFrame) -> DataFrame:
-    """The running state of each task in a stream of partial updates (task_id, seq, status, progress, message, error)."""
-    def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else ("pending", 0, None, None, -1)
-        now = fold_updates(old, pd.concat(list(batches)))
-        state.update(now)
-        yield pd.DataFrame([(key[0], *now)], columns=["task_id", "status", "progress", "message", "error", "seq"])
+    def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
+        now = dict(zip((*_FIELDS, "seq", "refused", "at"), self.state.get() or (None, 0, None, None, -1, 0, 0), strict=True))
+        for row in sorted(rows, key=lambda r: r.seq):
+            if row.status is not None and row.status != now["status"] and now["status"] not in STAGES.get(row.status, (now["status"],)):
+                now["refused"] += 1
+            now |= {c: row[c] for c in _FIELDS if row[c] is not None} | {"seq": row.seq, "at": max(now["at"], int(row.ts.timestamp() * 1000))}
+        self.put(tuple(now.values()), self.linger if now["status"] in DONE else None)
+        yield Row(task_id=key[0], **{c: now[c] for c in (*_FIELDS, "seq", "refused")})
 
-    return updates.groupBy("task_id").applyInPandasWithState(one, f"task_id string, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
 
+def task_states(updates: DataFrame, watermark: str = WATERMARK, keep: int = KEEP_MS, linger: int = LINGER_MS) -> DataFrame:
+    """The running state of each task in a stream of partial updates (task_id, seq, ts, status, progress, message, error).
+
+    Null keeps what was; progress may fall. ``refused`` counts changes of status against the order of stages (F1): to a
+    former stage, or out of a task that is done. They are taken over all the same, as the last word of whoever sends them.
+    """
+    rows = updates.select("task_id", "seq", *_FIELDS, F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
+    return rows.groupBy("task_id").transformWithState(_Tasks(keep, linger), f"task_id string, {STATE}, refused int", "update", "eventTime")
+
+
+class _Transitions(_Kept):
+    schema = "status string, at long"
+
+    def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
+        previous, at = self.state.get() or (None, 0)
+        for row in sorted(rows, key=lambda r: r.seq):
+            if previous is not None and row.status is not None and row.status != previous:
+                yield Row(task_id=key[0], seq=row.seq, previous=previous, status=row.status)
+            previous, at = row.status, max(at, int(row.ts.timestamp() * 1000))
+        self.put((previous, at))
 
-def transitions(snapshots: DataFrame) -> DataFrame:
-    """Status changes between polled snapshots (task_id, seq, status) of a stream: task_id, seq, previous, status."""
-    def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        previous, out = state.get[0] if state.exists else None, []
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            if previous is not None and row.status != previous:
-                out.append((key[0], int(row.seq), previous, row.status))
-            previous = row.status
-        state.update((previous,))
-        yield pd.DataFrame(out, columns=["task_id", "seq", "previous", "status"])
 
-    return snapshots.select("task_id", "seq", "status").groupBy("task_id").applyInPandasWithState(
-        one, "task_id string, seq int, previous string, status string", "status string", "append", GroupStateTimeout.NoTimeout)
+def transitions(snapshots: DataFrame, watermark: str = WATERMARK, keep: int = KEEP_MS) -> DataFrame:
+    """Status changes between polled snapshots (task_id, seq, ts, status) of a stream: task_id, seq, previous, status."""
+    rows = snapshots.select("task_id", "seq", "status", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
+    return rows.groupBy("task_id").transformWithState(_Transitions(keep), "task_id string, seq long, previous string, status string", "append", "eventTime")
 
 
 def streamed_tokens(chunks: DataFrame) -> DataFrame:
@@ -133,6 +189,7 @@ def debounce(edits: DataFrame, key: str, ts: str, value: str, gap: str = DEBOUNC
 
 
 def debounce_stream(edits: DataFrame, key: str, ts: str, value: str, gap: str = DEBOUNCE, watermark: str = WATERMARK) -> DataFrame:
+    """The same for a stream: a burst is known to be over, and is given out, when the watermark is past its gap."""
     return debounce(edits.withWatermark(ts, watermark), key, ts, value, gap)
 
 
@@ -152,7 +209,7 @@ def countdown_stream(events: DataFrame, watermark: str = "1 second") -> DataFram
             yield pd.DataFrame([(key[0], pd.Timestamp(deadline, unit="ms"), True)], columns=["attempt_id", "ended", "automatic"])
             return
         deadline = state.get[0] if state.exists else None
-        for row in pd.concat(list(batches)).sort_values("ts").itertuples(index=False):
+        for row in pd.concat(list(batches)).sort_values(["ts", "kind"]).itertuples(index=False):
             if row.kind == "start":
                 deadline = int(row.ts.timestamp() * 1000) + int(row.duration_minutes) * 60_000
             elif deadline is not None and row.ts.timestamp() * 1000 <= deadline:

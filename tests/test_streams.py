@@ -16,9 +16,12 @@ def stream(spark, tmp_path, df, files=1, name="in"):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def drain(df, name, mode="append"):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
+def drain(df, name, mode="append", sizes=None):
+    with progress.with_state_store(df.sparkSession, 2):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    if sizes is not None:
+        sizes += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     return df.sparkSession.table(name)
 
 
@@ -29,18 +32,46 @@ PASSED = {("t", 0), ("t", 80), ("t", 100), ("t", 150), ("t", 240), ("u", 10)}
 def test_throttle(spark, tmp_path):
     df = spark.createDataFrame(EVENTS, progress.EVENT)
     assert {(r.task_id, r.ms) for r in progress.throttle(df).collect()} == PASSED
-    out = drain(progress.throttle_stream(stream(spark, tmp_path, df)), "throttled")
-    assert {(r.task_id, r.ms) for r in out.collect()} == PASSED
+    later = df.withColumn("ms", F.col("ms") + 1000)  # nothing is before the first watermark, 1970
+    out = drain(progress.throttle_stream(stream(spark, tmp_path, later)), "throttled")
+    assert {(r.task_id, r.ms - 1000) for r in out.collect()} == PASSED
+
+
+UPDATE = "task_id string, seq long, ts timestamp, status string, progress int, message string, error string"
+at_minute = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
 
 
 def test_task_states_and_transitions(spark, tmp_path):
-    rows = [("a", 1, "pending", 0, "m", None), ("a", 2, "processing", None, None, None), ("a", 3, None, 99, None, None), ("a", 4, None, 80, "saving", None), ("a", 5, "completed", 100, None, None), ("b", 1, "pending", 0, None, None), ("b", 2, "failed", None, None, "boom")]
-    df = spark.createDataFrame(rows, "task_id string, seq int, status string, progress int, message string, error string")
+    rows = [("a", 1, "pending", 0, "m", None), ("a", 2, "processing", None, None, None), ("a", 3, None, 99, None, None), ("a", 4, None, 80, "saving", None), ("a", 5, "completed", 100, None, None), ("b", 1, "pending", 0, None, None), ("b", 2, "failed", None, None, "boom"), ("c", 1, "completed", 1, None, None), ("c", 2, "pending", None, None, None), ("c", 3, "odd", None, None, None)]
+    df = spark.createDataFrame([(t, n, at_minute(n), *r) for t, n, *r in rows], UPDATE)
     out = {r.task_id: r for r in drain(progress.task_states(stream(spark, tmp_path, df)), "states", "update").collect()}
-    assert (out["a"].status, out["a"].progress, out["a"].message) == ("completed", 100, "saving") and out["b"].error == "boom" and out["b"].progress == 0
-    marks = df.where("status is not null")
-    got = drain(progress.transitions(stream(spark, tmp_path, marks, name="in2")), "transitions").collect()
-    assert {(r.task_id, r.previous, r.status) for r in got} == {("a", "pending", "processing"), ("a", "processing", "completed"), ("b", "pending", "failed")}
+    assert (out["a"].status, out["a"].progress, out["a"].message, out["a"].refused) == ("completed", 100, "saving", 0)
+    assert (out["b"].error, out["b"].progress, out["b"].refused) == ("boom", 0, 0) and (out["c"].status, out["c"].refused) == ("odd", 1)
+    got = drain(progress.transitions(stream(spark, tmp_path, df.where("status is not null"), name="in2")), "transitions").collect()
+    assert {(r.task_id, r.previous, r.status) for r in got} == {("a", "pending", "processing"), ("a", "processing", "completed"), ("b", "pending", "failed"), ("c", "completed", "pending"), ("c", "pending", "odd")}
+
+
+def test_states_go_and_late_rows_stay_out(spark, tmp_path):
+    """Done tasks are forgotten soon, idle ones later; what is behind the watermark changes nothing."""
+    source = str(tmp_path / "in")
+    batches = [
+        [(f"d{i}", 1, at_minute(0), "completed", 100, None, None) for i in range(50)] + [("idle", 1, at_minute(0), "processing", 5, None, None)],
+        [("x", 1, at_minute(60), "pending", 0, None, None)],
+        [("idle", 2, at_minute(30), None, 7, None, None), ("d1", 2, at_minute(1), None, 1, None, None), ("x", 2, at_minute(61), "processing", 1, None, None)],
+        [("y", 1, at_minute(3000), "pending", 0, None, None)],
+        [("z", 1, at_minute(3001), "pending", 0, None, None)],
+    ]
+    seen, sizes = [], []
+    for number, rows in enumerate(batches):  # a run each, restarted from the checkpoint
+        spark.createDataFrame(rows, UPDATE).coalesce(1).write.mode("append").parquet(source)
+        states = progress.task_states(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), "1 minute", keep=24 * 3_600_000, linger=60_000)
+        with progress.with_state_store(spark, 2):
+            q = states.writeStream.outputMode("update").foreachBatch(lambda batch, _, n=number: seen.extend((n, r.task_id, r.progress) for r in batch.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(240)
+        sizes += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    changed = {(n, t) for n, t, _ in seen}
+    assert (2, "x") in changed and (2, "d1") not in changed and (2, "idle") not in changed  # late
+    assert max(sizes) >= 50 and sizes[-1] <= 6, sizes
 
 
 def test_debounce(spark, tmp_path):
