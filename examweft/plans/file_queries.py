@@ -12,7 +12,7 @@ from examweft.functions import text as X
 from examweft.operators import bio, catalog, ranks, tokens
 from examweft.plans import annotation, markup, remote, storage
 from examweft.plans.queries import PAGE_LABELS, PAGE_SPANS, PAGE_TAGS, page_docs, page_labels, query, table
-from examweft.sources import readers, sinks
+from examweft.sources import named, readers, requests, sinks
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -96,6 +96,40 @@ def exported_texts(spark, d):
     return readers.named_texts(spark, path).select(F.col("name").cast("long").alias("doc_id"), F.md5("text").alias("tagged_md5"))
 
 
+@query(f"""WITH {PAGE_LABELS} SELECT page_id AS doc_id, 'xml' AS kind, md5(html) AS file_md5 FROM pages
+UNION ALL SELECT doc_id, 'conll', md5(string_agg(tok || chr(9) || tag, chr(10) ORDER BY pos)) FROM lab GROUP BY doc_id""")
+def exported_files(spark, d):
+    """Tagged texts and their CoNLL as files of their own, one for each page, written by the tasks and read back."""
+    path = folder(spark, "files")
+    named.write_named(page_docs(spark, d), path, "tagged", "doc_id", ".xml")
+    named.write_named(bio.conll(page_labels(spark, d)), path, "conll", "doc_id", ".conll")
+    back = [named.read_named(spark, path, f".{kind}").select(F.col("name").cast("long").alias("doc_id"), F.lit(kind).alias("kind"), F.md5("content").alias("file_md5")) for kind in ("xml", "conll")]
+    return back[0].unionByName(back[1])
+
+
+@query("""WITH r AS (SELECT 'req_' || strftime(ts, '%Y%m%d_%H%M%S') || '_' || substr(CAST(event_id AS VARCHAR), 1, 8) AS folder, * FROM events)
+SELECT folder || '--raw.txt' AS name, md5(event_type) AS content_md5 FROM r UNION ALL SELECT folder || '--metadata.json', md5('{"value":' || CAST(trunc(value) AS INTEGER) || '}') FROM r WHERE value > 50""")
+def logged_files(spark, d):
+    """The files of each request, as far as it has them."""
+    path = folder(spark, "request-files")
+    events = table(spark, d, "events").select(F.col("event_id").cast("string").alias("request_id"), "ts", F.col("event_type").alias("text"), F.when(F.col("value") > 50, F.to_json(F.struct(F.col("value").cast("int").alias("value")))).alias("metadata"))
+    named.log_files(events.withColumn("folder", sinks.request_folder()), path)
+    return named.read_named(spark, path).select("name", F.md5("content").alias("content_md5"))
+
+
+@query("SELECT event_id, event_type AS type, CAST(trunc(value) AS INTEGER) AS progress FROM events")
+def chunked_frames(spark, d):
+    """Each user's events as one stream of bytes, recorded in chunks that cut frames, lines and characters anywhere."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("stream"), "event_id", F.col("event_type").alias("type"), F.col("value").cast("int").alias("progress"), F.concat(F.lit("é–😀 "), F.col("event_id").cast("string")).alias("message"))
+    frames = rows.select("stream", F.col("event_id").alias("seq"), F.encode(sinks.sse_frame(F.struct("type", "progress", "message")), "utf-8").alias("data"))
+    # A frame's bytes in pieces of 1 to 13, by its number.
+    sized = frames.select("stream", (F.col("seq") * 1000).alias("first"), "data", (F.pmod(F.col("seq"), F.lit(13)) + 1).cast("int").alias("size"))
+    pieces = F.transform(F.sequence(F.lit(1), F.length("data"), F.col("size")), lambda p: F.substring(F.col("data"), p, F.col("size")))
+    cut = sized.select("stream", "first", F.posexplode(pieces).alias("at", "data")).select("stream", (F.col("first") + F.col("at")).alias("seq"), "data")
+    found = requests.frames_of_chunks(cut)
+    return readers.sse_events(found).select(F.regexp_extract("message", "^é–😀 ([0-9]+)$", 1).cast("long").alias("event_id"), "type", "progress")
+
+
 @query(f"WITH {PAGE_SPANS} SELECT page_id AS doc_id, (SELECT count(*) FROM spans s WHERE s.doc_id = page_id) AS n_spans FROM pages WHERE page_id IN (SELECT doc_id FROM spans)")
 def exported_annotations(spark, d):
     """K8: annotations as JSON, written and read back."""
@@ -114,14 +148,15 @@ def used_label_ids(spark, d):
     return page_labels(spark, d).select("tag", "label_id").distinct()
 
 
-@query("SELECT n_nationkey AS n, base64(CAST(n_name AS BLOB)) AS given, lower(n_name) AS wanted FROM nation WHERE n_nationkey BETWEEN 1 AND 6")
+@query(r"SELECT p_partkey AS n, base64('\x89PNG'::BLOB || encode(p_name)) AS given, lower(p_name) AS wanted FROM part WHERE p_partkey BETWEEN 1 AND 149")
 def example_image_pairs(spark, d):
-    """Numbered images with their texts, as base64, up to the first gap (the seventh text is missing)."""
-    nations = table(spark, d, "nation").where("n_nationkey > 0")
-    number = F.col("n_nationkey").cast("string")
-    images = nations.select(F.concat(F.lit("in_"), number).alias("stem"), F.encode("n_name", "utf-8").alias("content"))
-    texts = nations.where("n_nationkey <> 7").select(F.concat(F.lit("out_"), number).alias("stem"), F.lower("n_name").alias("text"))
-    return readers.example_images(images, texts).select(F.col("n").cast("long").alias("n"), "given", "wanted")
+    """Numbered image files and texts, read as files; images as base64, up to the first gap (one text is missing)."""
+    path = folder(spark, "examples")
+    parts = table(spark, d, "part").where("p_partkey > 0").withColumn("n", F.col("p_partkey").cast("string"))
+    png = F.concat(F.unhex(F.lit("89504E47")), F.encode("p_name", "utf-8"))
+    named.write_named(parts.select(F.concat(F.lit("in_"), "n").alias("output"), png.alias("image")), path, "image", suffix=".png")
+    named.write_named(parts.where("p_partkey <> 150").select(F.concat(F.lit("out_"), "n").alias("output"), F.lower("p_name").alias("text")), path, "text", suffix=".md")
+    return readers.example_images(readers.binary_files(spark, path, "*.png"), readers.text_files(spark, path)).select(F.col("n").cast("long").alias("n"), "given", "wanted")
 
 
 @query("SELECT p_partkey, CAST(ceil(p_size / 4.0) AS INTEGER) AS batches, 5 AS workers FROM part")

@@ -9,8 +9,13 @@ from examweft.functions.text import output_name
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset the warehouse, if all share it."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if (warehouse.startswith(("file:", "/")) or ":" not in warehouse) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir: the warehouse is a folder of one machine")
+    return warehouse
 
 
 def write_table(df: DataFrame, folder: str, name: str) -> None:
@@ -33,7 +38,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_texts(df: DataFrame, path: str, column: str, key: str = "output") -> None:
-    """Texts by name: tagged XML, CoNLL or markdown, many to a file (K9, K10, K13). ``readers.named_texts`` reads them."""
+    """Texts by name as one Parquet table, for texts that Spark reads again; ``readers.named_texts`` does. As files: ``named.write_named``."""
     df.select(F.col(key).cast("string").alias("name"), F.col(column).alias("text")).write.mode("overwrite").parquet(path)
 
 
@@ -42,11 +47,16 @@ def write_files(df: DataFrame, path: str, column: str, key: str = "output") -> N
     df.select(key, F.col(column).alias("value")).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(path)
 
 
+def request_folder() -> Column:
+    """The folder name of a request (request_id, ts)."""
+    return F.concat(F.lit("req_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("_"), F.substring("request_id", 1, 8))
+
+
 def request_log(requests: DataFrame) -> DataFrame:
     """Log rows of requests: counts, rounded duration, date, folder name."""
     count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
     return requests.select(
-        "request_id", F.concat(F.lit("req_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("_"), F.substring("request_id", 1, 8)).alias("folder"),
+        "request_id", request_folder().alias("folder"),
         F.to_date("ts").alias("date"), "source", "status", F.bround("duration", 4).alias("duration"),
         count("spans").alias("spans_count"), count("tokens").alias("tokens_count"), count("questions").alias("questions_count"),
     )
