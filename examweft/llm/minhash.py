@@ -14,7 +14,7 @@
 5. Components of the links; each document gets the smallest identifier of its component.
 
 Links are confirmed by counting common hashes of whole sets. A link at the threshold is in no common bucket with a
-probability of ``(1 - 0.85**5)**32``, 7 in 10**9; a component loses it only if nothing else connects its ends.
+probability of ``(1 - 0.85**6)**32``, 3 in 10**7; a component loses it only if nothing else connects its ends.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from examweft.llm.graph import components
 from examweft.llm.jaccard import shingle_sets
 
 WORDS, PERCENT = 3, 85
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 32, 6
 #: Nodes and shingles of a part.
 PART_NODES, PART_TOKENS = 512, 500_000
 #: A round of parts is followed by another one if it joined one of so many nodes of the buckets that are still mixed.
