@@ -77,6 +77,13 @@ class Engine:
         """Puts documents in by identifier."""
         self._write(self._changed(name, rows))
 
+    def replace(self, **current: DataFrame) -> None:
+        """A full sync: of each kind given, its documents become those rows and no others (K1). All kinds change in one write."""
+        changes = []
+        for name, rows in current.items():
+            changes += [self._changed(name, rows), self._gone(name, storage.deleted(self._last(name).where("not c.gone").select("id"), rows))]
+        self._write(*changes)
+
     def _of(self, version: int, name: str) -> DataFrame:
         """The documents that one write put in."""
         rows = self.spark.read.schema(CHANGES).parquet(self.root).where((F.col("kind") == name) & (F.col("version") == version))

@@ -3,13 +3,14 @@ injected model calls, rounds of annotation, and branches of the markup language.
 
 from __future__ import annotations
 
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from examweft.functions import text as X
-from examweft.operators import bio, catalog, ranks, tokens
+from examweft.operators import bio, catalog, ranks, search, tokens
 from examweft.plans import annotation, markup, remote, storage
 from examweft.plans.queries import PAGE_LABELS, PAGE_SPANS, PAGE_TAGS, page_docs, page_labels, query, table
 from examweft.sources import named, readers, requests, sinks
@@ -167,6 +168,16 @@ def configured_batches(spark, d):
     return table(spark, d, "part").select("p_partkey", F.size(ranges).alias("batches"), F.lit(settings["workers"]).alias("workers"))
 
 
+@query("SELECT word, p_partkey, p_name FROM part, (VALUES ('BRASS'), ('el'), ('ed 1'), ('no such text'), ('Brand#1')) q(word) WHERE contains(lower(p_name), lower(word)) OR contains(lower(p_brand), lower(word)) OR contains(lower(p_type), lower(word))")
+def indexed_search(spark, d):
+    """P3, P5 by an index of trigrams."""
+    exams, columns = table(spark, d, "part"), ("p_name", "p_brand", "p_type")
+    path = folder(spark, "grams")
+    search.write_index(exams, path, "p_partkey", columns)
+    found = [search.search(exams, path, word, "p_partkey", columns).select(F.lit(word).alias("word"), "p_partkey", "p_name") for word in ("BRASS", "el", "ed 1", "no such text", "Brand#1")]
+    return reduce(DataFrame.unionByName, found)
+
+
 # --- model calls ----------------------------------------------------------------------------------
 
 def _read_image(image: str) -> str:
@@ -182,6 +193,22 @@ def recognised_pages(spark, d):
     return remote.recognise(pages, _read_image, delay=0)
 
 
+def _sized(text: str) -> str:
+    if text.startswith("1"):
+        raise OSError("no answer")
+    return f"read {text}"
+
+
+@query("SELECT p_partkey, CASE WHEN CAST(p_size AS VARCHAR) LIKE '1%' THEN NULL ELSE 'read ' || p_size END AS reply, CASE WHEN CAST(p_size AS VARCHAR) LIKE '1%' THEN 'OSError: no answer' END AS reply_error, false AS asked_again FROM part")
+def kept_replies(spark, d):
+    """Each distinct prompt is asked once and its reply kept; a second run asks only for those that failed."""
+    place = folder(spark, "replies")
+    prompts = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("string").alias("prompt"))
+    remote.kept_replies(prompts, _sized, "prompt", "reply", place, attempts=1, delay=0).write.format("noop").mode("overwrite").save()
+    again = remote.kept_replies(prompts, lambda text: _sized(text) + " again", "prompt", "reply", place, attempts=1, delay=0)
+    return again.select("p_partkey", "reply", "reply_error", F.coalesce(F.endswith("reply", F.lit("again")), F.lit(False)).alias("asked_again"))
+
+
 def _annotator(text: str) -> str:
     return f"<think>hm</think>\n```xml\n<stem>{text}</stem>\n```"
 

@@ -120,3 +120,16 @@ def test_look_ups_skip_files(spark, tmp_path):
     assert f"EqualTo(id,{key})" in t.table("exams", key)._jdf.queryExecution().toString()
     with pytest.raises(NotFound):
         t.exam("exam_none")
+
+
+def test_a_full_sync_of_two_tables_is_one_write(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    rows = spark.createDataFrame([("A", "s", "9", None, [question("q1")]), ("B", "s", "9", 30, [])], EXAM)
+    ids = {r.title: r.id for r in e.create_exams(rows).collect()}
+    e.submit(spark.createDataFrame([(ids["A"], "An", None, {"q1": "A"}), (ids["A"], "Bo", None, {})], schemas.REQUESTS))
+    before = e.spark.read.parquet(e.root).select("version").distinct().count()
+    e.replace(exams=e.exams().where("title = 'A'").withColumn("subject", F.lit("new")), submissions=e.submissions().where("student_name = 'Bo'"))
+    assert e.spark.read.parquet(e.root).select("version").distinct().count() == before + 1
+    assert [(r.title, r.subject) for r in e.exams().collect()] == [("A", "new")] and [r.student_name for r in e.submissions().collect()] == ["Bo"]
+    e.replace(exams=e.exams().where("false"))
+    assert e.health() == {"exams": 0, "submissions": 1, "tasks": 0}
