@@ -3,9 +3,11 @@ injected model calls, rounds of annotation, and branches of the markup language.
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from examweft.functions import text as X
 from examweft.operators import bio, catalog, ranks, search, tokens
 from examweft.plans import annotation, markup, remote, storage
 from examweft.plans.queries import PAGE_LABELS, PAGE_SPANS, PAGE_TAGS, page_docs, page_labels, query, table
-from examweft.sources import named, readers, requests, sinks
+from examweft.sources import named, pdf, readers, requests, sinks
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -168,6 +170,34 @@ def configured_batches(spark, d):
     return table(spark, d, "part").select("p_partkey", F.size(ranges).alias("batches"), F.lit(settings["workers"]).alias("workers"))
 
 
+def _small_pdf(*texts: str) -> bytes:
+    """A PDF file with a page for each text."""
+    shown = [t.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") for t in texts]
+    kids = " ".join(f"{3 + 2 * i} 0 R" for i in range(len(shown)))
+    parts = [b"%PDF-1.4", b"1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj", f"2 0 obj <</Type /Pages /Count {len(shown)} /Kids [{kids}]>> endobj".encode()]
+    for i, text in enumerate(shown):
+        content = zlib.compress(b"BT /F1 12 Tf 72 700 Td (" + text + b") Tj ET")
+        parts += [f"{3 + 2 * i} 0 obj <</Type /Page /Parent 2 0 R /Contents {4 + 2 * i} 0 R>> endobj".encode(), f"{4 + 2 * i} 0 obj <</Length {len(content)} /Filter /FlateDecode>> stream\n".encode() + content + b"\nendstream endobj"]
+    return b"\n".join([*parts, b"trailer <</Root 1 0 R>>", b"%%EOF"])
+
+
+@query("""SELECT c_custkey, 1 AS page, c_name AS text, false AS failed FROM customer WHERE c_custkey % 50 <> 0 UNION ALL SELECT c_custkey, 2, c_mktsegment || ' (' || c_custkey || ')', false FROM customer WHERE c_custkey % 50 <> 0
+UNION ALL SELECT c_custkey, NULL, NULL, true FROM customer WHERE c_custkey % 50 = 0""")
+def pdf_pages(spark, d):
+    """The text layers of PDF files, a file for each customer; some are damaged."""
+    path = folder(spark, "pdfs")
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", F.concat("c_mktsegment", F.lit(" ("), F.col("c_custkey").cast("string"), F.lit(")")).alias("second"))
+
+    def files(batches):
+        for batch in batches:
+            made = [_small_pdf(a, b) if k % 50 else b"no PDF" for k, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["c_custkey", "content"])
+
+    named.write_named(rows.mapInArrow(files, "c_custkey long, content binary"), path, "content", "c_custkey", ".PDF")
+    found = pdf.page_texts(readers.binary_files(spark, path, "*.PDF"))
+    return found.select(F.regexp_extract("path", "([0-9]+)[.]PDF$", 1).cast("long").alias("c_custkey"), "page", "text", F.col("error").isNotNull().alias("failed"))
+
+
 @query("SELECT word, p_partkey, p_name FROM part, (VALUES ('BRASS'), ('el'), ('ed 1'), ('no such text'), ('Brand#1')) q(word) WHERE contains(lower(p_name), lower(word)) OR contains(lower(p_brand), lower(word)) OR contains(lower(p_type), lower(word))")
 def indexed_search(spark, d):
     """P3, P5 by an index of trigrams."""
