@@ -1,5 +1,6 @@
 """Licence scans: an Aho-Corasick automaton finds identifier tags and notice phrases in one pass over a
-text's words, and a shunting-yard parser evaluates the licence expressions behind the tags.
+text's words, and a shunting-yard parser evaluates the licence expressions behind the tags. The phrases are made by a
+small grammar of notices: names, versions, clauses, and the word for a licence in either spelling and place.
 """
 
 from __future__ import annotations
@@ -37,6 +38,40 @@ PHRASES = {
     "creative commons attribution noderivs": "cc-by-nd",
     "all rights reserved": "all-rights-reserved",
 }
+#: Names that a notice may put before or behind the word for a licence, and their labels (fixed values).
+NAMES = {
+    "mit": "mit", "apache": "apache", "bsd": "bsd", "isc": "isc", "zlib": "zlib", "gpl": "gpl", "gnu gpl": "gpl", "lgpl": "lgpl", "gnu lgpl": "lgpl", "agpl": "agpl", "gnu agpl": "agpl",
+    "mpl": "mpl", "mozilla public": "mpl", "epl": "epl", "eclipse public": "epl", "boost software": "bsl", "general public": "gpl", "lesser general public": "lgpl", "affero general public": "agpl",
+}
+#: Families whose notices name a version, and the versions in words and in identifiers (fixed values).
+VERSIONED = {"gpl": ("1", "2", "3"), "lgpl": ("2", "2 1", "3"), "agpl": ("3",), "mpl": ("1 1", "2 0"), "epl": ("1 0", "2 0"), "apache": ("1 1", "2 0")}
+CLAUSES = {"0": "0", "1": "1", "2": "2", "3": "3", "4": "4", "two": "2", "three": "3", "four": "4"}
+
+
+def notices() -> dict[str, str]:
+    """Phrases of the notice grammar, in words, and their labels: a name beside "license" or "licence" in any of its places, a family with
+    its version, a number of clauses. Both spellings, and the words that stand between."""
+    found = {}
+    for name, label in NAMES.items():
+        for word in ("license", "licence"):
+            found |= {f"{name} {word}": label, f"{word} {name}": label, f"{word} the {name}": label, f"{name} style {word}": label}
+        found |= {f"{name} licensed": label, f"{name} licenced": label}
+        for verb in ("licensed", "licenced", "released", "distributed", "available"):
+            found |= {f"{verb} under {name}": label, f"{verb} under the {name}": label}
+    for name, label in NAMES.items():
+        for version in VERSIONED.get(label, ()):
+            exact = f"{label}-{version.replace(' ', '.') if ' ' in version else version + '.0'}"
+            ways = (f"v{version}", f"version {version}", *([version] if " " in version else [f"{version} 0"]))
+            for way in ways:
+                found |= {f"{name} {way}": exact} if way.startswith("v") else {}  # bare numbers only behind the word for a licence
+                found |= {f"{name} {word}{comma} {way}": exact for word in ("license", "licence") for comma in ("", " as published by the free software foundation either")}
+            found[f"{name}v{version}"] = exact
+            found |= {f"{verb} under {the}{name}{way}": exact for verb in ("licensed", "released", "distributed") for the in ("", "the ") for way in (f"v{version}", f" v{version}")}
+    for said, n in CLAUSES.items():
+        found |= {f"{said} clause bsd": f"bsd-{n}-clause", f"bsd {said} clause": f"bsd-{n}-clause", f"bsd {said} clause license": f"bsd-{n}-clause", f"bsd {said} clause licence": f"bsd-{n}-clause", f"{said} clause bsd license": f"bsd-{n}-clause"}
+    return {phrase: label for phrase, label in found.items() if phrase not in BASE_PHRASES} | PHRASES
+
+
 TAG = "spdx license identifier"
 #: How freely a labelled text may be reused (fixed values); identifiers are looked up by their longest prefix.
 FREEDOM = {
@@ -57,8 +92,13 @@ PRECEDENCE = {"OR": 1, "AND": 2, "WITH": 3}
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
-_EXPRESSION = re.compile(rb"[ \t]*:[ \t]*([A-Za-z0-9.+() \t-]+)")
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9.-]+\+?")
+_EXPRESSION = re.compile(rb"[ \t]*:[ \t]*([A-Za-z0-9.+()/ \t-]+)")
+_TOKEN = re.compile(r"[()/]|[A-Za-z0-9.-]+\+?")
+
+
+@cache
+def phrases() -> dict[str, str]:
+    return notices()
 
 
 @cache
@@ -66,7 +106,7 @@ def automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for phrase in (*BASE_PHRASES, *PHRASES, TAG):
+    for phrase in (*BASE_PHRASES, *phrases(), TAG):
         a.add_word(f" {phrase} ", phrase)
     a.make_automaton()
     return a
@@ -86,7 +126,7 @@ def parse_expression(text: str) -> list[str]:
     """
     out, stack, want_operand, depth = [], [], True, 0
     for token in _TOKEN.findall(text):
-        upper = token.upper()
+        upper = "OR" if token == "/" else token.upper()  # a slash is a choice, too
         if want_operand:
             exception = stack and stack[-1] == "WITH"
             if token == "(" and not exception:
@@ -154,7 +194,7 @@ def scan(text: bytes) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of one text in UTF-8."""
     found = text.translate(_WORDS).split()
     line = (b" " + b" ".join(found) + b" ").decode("latin-1")
-    base, labels, starts, longer, tags = set(), set(), [], [], []
+    base, labels, starts, longer, tags, known = set(), set(), [], [], [], phrases()
     for end, phrase in automaton().iter(line):
         if phrase == TAG:
             tags.append(end)
@@ -166,9 +206,9 @@ def scan(text: bytes) -> tuple:
     last = -1
     for a, b, phrase in sorted(longer, key=lambda x: (x[0], -x[1])):  # "cc by nc" is not "cc by" as well
         if b > last:
-            labels.add(PHRASES[phrase])
+            labels.add(known[phrase])
             last = b
-    scores = [FREEDOM[x] for x in base | labels]
+    scores = [freedom(x) for x in base | labels]
     for expression in tagged(text, line, tags):
         try:
             score, names = evaluate(parse_expression(expression))

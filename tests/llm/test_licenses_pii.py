@@ -194,3 +194,18 @@ def test_time_follows_length(unit):
     began = time.perf_counter()
     P.find("one dot " + unit * (1_000_000 // len(unit)))
     assert time.perf_counter() - began < 10
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("GNU GPL version 2", "gpl-2.0"), ("Licensed under GPLv3.", "gpl-3.0"), ("BSD 3-Clause License", "bsd-3-clause"), ("a three-clause BSD", "bsd-3-clause"), ("the MIT Licence", "mit"),
+    ("License: MIT", "mit"), ("MIT-licensed", "mit"), ("GNU General Public License, version 3", "gpl,gpl-3.0"), ("Apache License, Version 2.0", "apache,apache-2.0"), ("LGPL v2.1", "lgpl-2.1"),
+    ("Mozilla Public License 2.0", "mpl-2.0"), ("SPDX-License-Identifier: MIT/Apache-2.0", "apache-2.0,mit"), ("SPDX-License-Identifier: MIT and/or better", "mit"), ("released under the ISC", "isc"),
+    ("mit der Lizenz", ""), ("a driving licence", ""), ("under the apache helicopter", ""), ("version 2 of gpl", ""), ("the bsd 3 people", ""),
+])
+def test_notices(text, labels):
+    assert L.scan(text.encode())[5] == labels
+
+
+def test_versions_are_as_free_as_their_family():
+    assert L.scan(b"Licensed under GPLv3")[6] == 0.4 and L.scan(b"BSD 2-Clause")[6] == 1.0 and all(0 <= L.freedom(x) <= 1 for x in L.phrases().values())
+    assert not set(L.phrases()) & set(L.BASE_PHRASES)
