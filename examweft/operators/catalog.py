@@ -44,14 +44,17 @@ def leading_int(x: Column) -> Column:
     return F.regexp_extract(x, r"^\s*([+-]?[0-9]+)", 1).try_cast("int")
 
 
+def grade_order(column: str = "grade") -> list[Column]:
+    return [leading_int(F.col(column)).asc_nulls_last(), F.col(column)]
+
+
 def distinct_grades(df: DataFrame, column: str = "grade") -> DataFrame:
     """Cleaned distinct grades: those with a leading number first, by number, then the others by text.
 
     One total order, where comparing pairs by number or else by text would not be one.
     """
     cleaned = df.select(clean_grade(F.col(column)).alias("grade")).where(F.col("grade") != "").distinct()
-    number = leading_int(F.col("grade"))
-    return cleaned.orderBy(number.asc_nulls_last(), "grade")
+    return cleaned.orderBy(*grade_order())
 
 
 def last_by_first_seen(df: DataFrame, key: str, value: str, position: str) -> DataFrame:

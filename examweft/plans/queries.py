@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from examweft.functions import scoring
 from examweft.functions import text as X
-from examweft.operators import bio, catalog, gradebook, grading, runs, tokens
+from examweft.operators import bio, catalog, gradebook, grading, ranks, runs, tokens
 from examweft.plans import annotation, markup, parse_lines, parse_spans, routing, storage
 from examweft.sources import readers, sinks
 from examweft.streaming import progress
@@ -262,8 +262,8 @@ def catalog_subjects(spark, d):
 def catalog_grades(spark, d):
     """A9, O3, X22."""
     grades = table(spark, d, "part").select(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Lớp "), F.col("p_size").cast("string"), F.lit("A "))).otherwise(F.col("p_type")).alias("grade"))
-    listed = catalog.distinct_grades(grades)
-    return listed.select("grade", F.row_number().over(Window.orderBy(catalog.leading_int(F.col("grade")).asc_nulls_last(), "grade")).cast("long").alias("place"))
+    listed = ranks.placed(catalog.distinct_grades(grades), *catalog.grade_order())
+    return listed.select("grade", (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42")

@@ -132,3 +132,15 @@ def test_repeated_changes(spark):
     for n in (1, 4):
         assert rows(storage.upsert(exams, new.repartition(n))) == [("a", "n2", 8), ("b", "u", 2)]
     assert rows(storage.migrated(exams, exams)) == rows(exams) and rows(storage.migrated(exams.where("false"), exams)) == rows(exams)
+
+
+def test_places_without_one_task(spark):
+    from examweft.operators import ranks
+
+    rows = [(i, (i * 37) % 101 if i % 9 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, key long").repartition(7).withColumns({"row": F.lit(1), "at": F.lit(2), "part": F.lit(3), "a.b": F.lit(4)})
+    found = ranks.placed(df, F.col("key").desc_nulls_last(), "id")
+    got = {r.id: r.place for r in found.collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [i for i, _ in want] == sorted(got, key=got.get) and sorted(got.values()) == list(range(1000))
+    assert found.columns == [*df.columns, "place"] and ranks.placed(df.where("false"), "id").count() == 0
