@@ -106,6 +106,13 @@ _ENDINGS = "com|org|net|edu|gov|info|io|co|eu|uk|de|fr|es|it|nl|ch|at|vn|ru|pl|u
 _MARK = re.compile(r"(?i)\[\s*+(?:(at)|dot|\.)\s*+\]|\(\s*+(?:(at)|dot|\.)\s*+\)|\{\s*+(?:(at)|dot|\.)\s*+\}|<\s*+(?:(at)|dot|\.)\s*+>")
 _PLAIN_AT = re.compile(rf"(?i)(?<=[a-z0-9]) ++at ++(?=[a-z0-9-]+(?:(?: ++dot ++|\.)[a-z0-9-]+)* ++dot ++(?:{_ENDINGS})(?![a-z0-9-]))")
 _PLAIN_DOT = re.compile(r"(?i)(?<=[a-z0-9]) ++dot ++(?=[a-z0-9])")
+#: Words for the marks in four languages (fixed values). Those that prose uses otherwise count within a whole address only.
+_AT_WORD, _DOT_WORD = "(?:at|arroba|arobase)", "(?:dot|punto|punkt|point)"
+_ADDRESS = re.compile(rf"(?i)(?<=[a-z0-9]) ++{_AT_WORD} ++[a-z0-9-]++(?:(?: ++{_DOT_WORD} ++|\.)(?!(?:{_ENDINGS})(?![a-z0-9-]))[a-z0-9-]++)*+ ++{_DOT_WORD} ++(?:{_ENDINGS})(?![a-z0-9-])")
+_JOINED = re.compile(rf"(?i)(?<=[a-z0-9])_at_[a-z0-9-]++(?:_dot_(?!(?:{_ENDINGS})(?![a-z0-9_-]))[a-z0-9-]++)*+_dot_(?:{_ENDINGS})(?![a-z0-9_-])")
+_SHORT_AT = re.compile(rf"(?i)(?<=[a-z0-9])\(a\)(?=[a-z0-9-]++(?:\.(?!(?:{_ENDINGS})(?![a-z0-9.-]))[a-z0-9-]++)*+\.(?:{_ENDINGS})(?![a-z0-9-]))")
+_ADDRESS_ITEM = re.compile(rf"(?i)( ++{_AT_WORD} ++|_at_)| ++{_DOT_WORD} ++|_dot_")
+_FOREIGN = ("arroba", "arobase", "_at_", "(a)", " punto ", " punkt ", " point ")
 _REFERENCE = re.compile(r"(?i)&(?:#x[0-9a-f]{1,6}|#[0-9]{1,7}|commat|period|plus|hyphen|num|lowbar);|%40|%2e|%2b")
 _SPACED_END = re.compile(rf"(?i)(?: ?[a-z0-9-]+(?: ?\. ?[a-z0-9-]+)* ?\. ?(?:{_ENDINGS})|(?: [a-z0-9-])+(?: \.(?: [a-z0-9-])+)+)(?![a-z0-9-])")
 
@@ -213,6 +220,17 @@ def plain_marks(m: Mapped) -> None:
     m.rewrite([(*x.span(), ".") for x in _PLAIN_DOT.finditer(m.text)])
 
 
+def plain_addresses(m: Mapped) -> None:
+    """Whole addresses whose marks are words of any of the languages, or joined by underscores, or an a in brackets."""
+    edits = [(*x.span(), "@") for x in _SHORT_AT.finditer(m.text)]
+    for whole in (*_ADDRESS.finditer(m.text), *_JOINED.finditer(m.text)):
+        marked = False
+        for x in _ADDRESS_ITEM.finditer(m.text, *whole.span()):
+            edits.append((*x.span(), "." if marked else "@"))
+            marked = True
+    m.rewrite(sorted(edits))
+
+
 def closed_up(m: Mapped) -> None:
     """Blanks within addresses: ``name @ host . com`` and ``n a m e @ h o s t . c o m``."""
     edits, text, done = [], m.text, 0
@@ -238,7 +256,10 @@ def disguised(text: str) -> list[tuple[int, int, str]]:
     if not m.text.isascii():
         plain_characters(m)
     plain_digits(m)
-    if "dot" in m.text.lower() or _MARK.search(m.text):
+    low = m.text.lower()
+    if any(word in low for word in _FOREIGN):
+        plain_addresses(m)
+    if "dot" in low or _MARK.search(m.text):
         plain_marks(m)
     if "@" in m.text:
         closed_up(m)

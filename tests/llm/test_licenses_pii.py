@@ -209,3 +209,28 @@ def test_notices(text, labels):
 def test_versions_are_as_free_as_their_family():
     assert L.scan(b"Licensed under GPLv3")[6] == 0.4 and L.scan(b"BSD 2-Clause")[6] == 1.0 and all(0 <= L.freedom(x) <= 1 for x in L.phrases().values())
     assert not set(L.phrases()) & set(L.BASE_PHRASES)
+
+
+@pytest.mark.parametrize(("text", "part"), [
+    ("mail jane(a)example.com now", "jane(a)example.com"), ("x jane_at_example_dot_com y", "jane_at_example_dot_com"), ("juan arroba correo punto es", "juan arroba correo punto es"),
+    ("écrire à marie arobase site point fr.", "marie arobase site point fr"), ("hans at firma punkt de!", "hans at firma punkt de"), ("a.b at mail.firma dot co dot uk", "a.b at mail.firma dot co dot uk"),
+    ("ana arroba correo punto sub punto com", "ana arroba correo punto sub punto com"), ("jane(a)mail.example.org", "jane(a)mail.example.org"),
+])
+def test_marks_of_other_languages(text, part):
+    base, spans = P.find(text)
+    found = [(a, b) for a, k, b in spans if P.KINDS[k] == "email"]
+    start = text.index(part)
+    assert (start, start + len(part)) in found or any(a <= start and start + len(part) <= b for a, b in found), (found, part)
+
+
+@pytest.mark.parametrize("text", ["un point de vue at home", "jean@site.fr point de vue", "el punto es claro", "look at the point", "option (a) see site.com", "f(a)b", "at_a_dot", "der Punkt ist da", "question (a)example", "we were at work point final"])
+def test_prose_with_those_words_stays(text):
+    base, spans = P.find(text)
+    assert spans == base
+
+
+@pytest.mark.parametrize("unit", ["x_at_a_dot_", "a at b dot ", "a arroba b punto ", "x(a)y.", "x(a)", " point ", "_at_", "arroba ", "a at " + "b-" * 100])
+def test_marks_take_time_by_length(unit):
+    began = time.perf_counter()
+    P.find(unit * (200_000 // len(unit)))
+    assert time.perf_counter() - began < 10
