@@ -1,12 +1,9 @@
 """Byte-level BPE through a table of distinct words.
 
-Spark splits texts into words. For each stretch of rows a task takes the distinct words, encodes each of
-them once, and joins the ids back by position: a word's place in the text picks its row of the
-distinct-word table. Decoding joins ids with the id-to-piece table, which has as many rows as the
-vocabulary, whatever the input.
-
-The distinct-word table is per task, not global: a global one would have to be joined with every word
-occurrence by a shuffle (several times the input), for texts whose own words are at hand already.
+Spark splits texts into words. For each stretch of rows a task takes the distinct words, encodes each of them once, and
+takes the ids back by position: a word's place in the text picks its row of the distinct-word table. Decoding looks ids up in
+the id-to-piece table, an array of the vocabulary's size, whatever the input. Both are look-ups in arrays within a task, not
+joins of tables: as joins they shuffle the distinct words of every stretch, several times the input (figures in the README).
 """
 
 from __future__ import annotations

@@ -34,8 +34,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset the warehouse, if all share it."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if (warehouse.startswith("file:") or ":" not in warehouse) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir: the warehouse is a folder of one machine")
+    return warehouse
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
