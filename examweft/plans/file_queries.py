@@ -133,13 +133,14 @@ def chunked_frames(spark, d):
     return readers.sse_events(found).select(F.regexp_extract("message", "^é–😀 ([0-9]+)$", 1).cast("long").alias("event_id"), "type", "progress")
 
 
-@query(f"WITH {PAGE_SPANS} SELECT page_id AS doc_id, (SELECT count(*) FROM spans s WHERE s.doc_id = page_id) AS n_spans FROM pages WHERE page_id IN (SELECT doc_id FROM spans)")
+@query(f"WITH {PAGE_SPANS} SELECT page_id AS doc_id, (SELECT count(*) FROM spans s WHERE s.doc_id = page_id) AS n_spans FROM pages")
 def exported_annotations(spark, d):
     """K8: annotations as JSON, written and read back."""
     path = folder(spark, "annotations")
     spans = tokens.spans(page_docs(spark, d), tags=PAGE_TAGS)
     lists = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("close_order", "start", "end", "label"))).alias("spans"))
-    sinks.write_json(sinks.annotation_json(lists.withColumn("output", F.col("doc_id").cast("string"))), path)
+    every = page_docs(spark, d).select("doc_id").join(lists, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast(lists.schema["spans"].dataType)))
+    sinks.write_json(sinks.annotation_json(every.withColumn("output", F.col("doc_id").cast("string"))), path)
     back = spark.read.schema("output string, value string").json(path)
     parsed = F.from_json("value", "doc_id long, spans array<struct<close_order:int,start:int,end:int,label:string>>")
     return back.select(parsed.alias("a")).select("a.doc_id", F.size("a.spans").cast("long").alias("n_spans"))

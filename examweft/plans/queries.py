@@ -592,10 +592,10 @@ def shown_dates(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.shown_date(iso).alias("shown"), X.shown_date(F.lit("soon")).alias("missing"))
 
 
-@query("SELECT doc_id, CAST(1 + doc_id % 3 AS INTEGER) AS pages, CASE WHEN doc_id % 3 > 0 THEN text END AS body, doc_id % 2 = 0 AS complete FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, CAST(1 + doc_id % 3 AS INTEGER) AS pages, CASE WHEN doc_id % 3 > 0 THEN coalesce(text, '') END AS body, doc_id % 2 = 0 AS complete FROM documents")
 def page_marks(spark, d):
     """Documents of one to three pages, of which every other one has its end."""
-    docs = table(spark, d, "documents").select("doc_id", "text").where("text is not null")
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     end = F.when(F.col("doc_id") % 2 == 0, "<|END|>").otherwise("")
     pages = docs.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("doc_id") % 3 + 1)).alias("page"), F.concat("text", end).alias("text"))
     joined = readers.page_fallback(pages)
