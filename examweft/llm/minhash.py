@@ -34,7 +34,7 @@ from examweft.llm.jaccard import shingle_sets
 WORDS, PERCENT = 3, 85
 BANDS, ROWS = 32, 6
 #: Nodes and shingles of a part.
-PART_NODES, PART_TOKENS = 512, 500_000
+PART_NODES, PART_TOKENS = 2048, 1_000_000
 #: A round of parts is followed by another one if it joined one of so many nodes of the buckets that are still mixed.
 AGAIN = 20
 #: Shingles whose coordinates are computed at a time.
