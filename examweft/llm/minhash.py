@@ -4,14 +4,16 @@
 2. Circulant signatures: one permutation of the 32-bit universe is applied to a set once; a second one, circularly shifted
    by 0, 1, 2, ..., gives all coordinates: coordinate k is the least ``second((first(x) + k) mod 2**32)`` of the set.
    Bands of neighbouring coordinates are buckets; nodes alone in all their buckets end here.
-3. Rounds of parts: each node goes to one bucket, the largest that it is in, with its whole set. A bucket is cut into parts of bounded
+3. Groups: nodes that shared buckets lead to, over any number of nodes. No link leaves a group, so one that fits in a cell is
+   compared there, all with all; each of its sets moves to its cell once. Steps 4 and 5 are for larger groups only.
+4. Rounds of parts: each node goes to one bucket, the largest that it is in, with its whole set. A bucket is cut into parts of bounded
    size by a hash; each part has the bucket's first node too, and all that link in a part are joined. Sets move once each.
    Then only buckets go on that hold several components yet (of equal ones, one), in parts dealt anew, until a round
    joins few: a large group of near copies is one component after some rounds, without its pairs.
-4. What is left is compared whole, first within each node's largest bucket, then in all its other buckets but for pairs that
+5. What is left is compared whole, first within each node's largest bucket, then in all its other buckets but for pairs that
    have met: nodes of the largest side of a bucket meet the others, part by part, and the others meet each other. Pairs
    that are joined already aren't compared again.
-5. Components of the links; each document gets the smallest identifier of its component.
+6. Components of the links; each document gets the smallest identifier of its component.
 
 Links are confirmed by counting common hashes of whole sets. A link at the threshold is in no common bucket with a
 probability of ``(1 - 0.85**6)**32``, 3 in 10**7; a component loses it only if nothing else connects its ends.
@@ -106,20 +108,25 @@ def signed(docs: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> DataF
 
 
 def whole_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> DataFrame:
-    """(node, n, tokens) of ``asked`` (node, key, id), once each, from the texts; only rows that pass a filter of identifiers are read again."""
+    """``asked`` (key, id, ...) with ``tokens``, from the texts; only rows that pass a filter of identifiers are read again. Rows that
+    share an identifier and a set all come."""
 
     def function(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = list(shingle_sets(_texts(batch), k))
         lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), lists], names=["key", "tokens"])
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(_digest, sets), pa.binary()), lists], names=["id", "key", "tokens"])
 
-    maybe = may_be_in(asked.select("id"))
-    rows = docs.where(maybe(F.col(id_col))).select(whole_text(text_col).alias("text"))
-    found = map_batches(rows, function, "key binary, tokens array<long>")
-    each = materialize(found.join(asked.select("key", "node"), "key").select("node", F.size("tokens").cast("long").alias("n"), "tokens"), "found")
-    if each.groupBy("node").agg(F.count("*").alias("times")).where("times > 1").isEmpty():
-        return each
-    return materialize(each.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens")), "sets")
+    maybe, kind = may_be_in(asked.select("id")), docs.schema[id_col].dataType.simpleString()
+    rows = docs.where(maybe(F.col(id_col))).select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    found = map_batches(rows, function, f"id {kind}, key binary, tokens array<long>")
+    return found.join(asked, (found["key"] == asked["key"]) & found["id"].eqNullSafe(asked["id"])).select(asked["*"], found["tokens"])
+
+
+def once(sets: DataFrame) -> DataFrame:
+    """A written table (node, n, tokens) without repeated nodes."""
+    if sets.groupBy("node").agg(F.count("*").alias("times")).where("times > 1").isEmpty():
+        return sets
+    return materialize(sets.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens")), "sets")
 
 
 # --- verification ---------------------------------------------------------------------------------
@@ -157,20 +164,22 @@ def linked(nodes: list[int], known: list[int], sizes: np.ndarray, tokens: list[n
 
 
 def _verified(rows: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of all cells of ``rows`` (bucket, x, y, node, known, n, tokens, role); a cell's rows are together, held one cell at a time."""
+    """(u, v) of all cells of ``rows`` (bucket, x, y, node, known, n, tokens, role); a cell's rows are together, held one cell
+    at a time, one row for each node."""
     names = ["bucket", "x", "y"]
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), *names).sortWithinPartitions(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held = None, {}
         for batch in batches:
             tokens = batch.column("tokens")
             for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in (*names, "node", "known", "n", "role")), strict=True)):
                 if row[:3] != now:
-                    yield from answer(held)
-                    now, held = row[:3], []
-                held.append((*row[3:], np.asarray(tokens[i].values)))
-        yield from answer(held)
+                    yield from answer([*held.values()])
+                    now, held = row[:3], {}
+                if row[3] not in held:
+                    held[row[3]] = (*row[3:], np.asarray(tokens[i].values))
+        yield from answer([*held.values()])
 
     def answer(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len(held) > 1:
@@ -196,6 +205,12 @@ def homes_of(met: DataFrame) -> DataFrame:
     return materialize(homes, "homes")
 
 
+def group_links(sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links within groups that each fit in a cell; ``sets`` (node, n, tokens, root) has their nodes."""
+    cell = [F.col("root").alias("bucket"), F.lit(0).alias("x"), F.lit(0).alias("y")]
+    return materialize(_verified(sets.select(*cell, "node", F.col("node").alias("known"), "n", "tokens", F.lit("a").alias("role")), percent), "group")
+
+
 def part_links(met: DataFrame, sets: DataFrame, percent: int, number: int) -> DataFrame:
     """(u, v): links of nodes (bucket, node, n, known) within the parts of their largest buckets; ``number`` deals the parts anew."""
     homes = homes_of(met)
@@ -237,6 +252,23 @@ def cross_links(mixed: DataFrame, sets: DataFrame, percent: int, group: str) ->
     return materialize(_verified(places.join(sets, "node").select("bucket", "x", "y", "node", "known", "n", "tokens", "role"), percent), "cross")
 
 
+def large_group_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links that join all that is linked in groups of any size; ``met`` (bucket, node, n) and ``sets`` (node, n, tokens) have their nodes."""
+    mixed, found, number = met.withColumn("known", F.col("node")), None, 0
+    while True:
+        new = part_links(mixed, sets, percent, number)
+        found, number = new if found is None else found.unionByName(new), number + 1
+        mixed = still_mixed(met, found)
+        if new.count() * AGAIN < mixed.select("node").distinct().count() or number > 1 and new.isEmpty():
+            break
+    homes = homes_of(mixed)
+    found = found.unionByName(cross_links(homes, sets, percent, "known"))
+    mixed = still_mixed(met, found).join(homes.select("node", F.col("bucket").alias("home")), "node", "left")
+    mixed = materialize(mixed.withColumn("home", F.coalesce("home", "bucket")), "homed")
+    several = mixed.groupBy("bucket").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a < b").select("bucket")
+    return found.unionByName(cross_links(materialize(mixed.join(several, "bucket"), "homed"), sets, percent, "home"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each row of ``docs``: id_col, n_shingles, component_id, kept.
 
@@ -250,23 +282,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = own.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.any_value("bands").alias("bands"))
     nodes = materialize(each.withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("bucket")
-    met = materialize(banded.join(shared, "bucket"), "met")
-    asked = materialize(nodes.select("node", "key", "id").join(met.select("node").distinct(), "node"), "asked")
-    sets = whole_sets(docs, asked, id_col, text_col, k)
-    mixed, found, number = met.withColumn("known", F.col("node")), None, 0
-    while True:
-        new = part_links(mixed, sets, percent, number)
-        found, number = new if found is None else found.unionByName(new), number + 1
-        mixed = still_mixed(met, found)
-        if new.count() * AGAIN < mixed.select("node").distinct().count() or number > 1 and new.isEmpty():
-            break
-    homes = homes_of(mixed)
-    found = found.unionByName(cross_links(homes, sets, percent, "known"))
-    mixed = still_mixed(met, found).join(homes.select("node", F.col("bucket").alias("home")), "node", "left")
-    mixed = materialize(mixed.withColumn("home", F.coalesce("home", "bucket")), "homed")
-    several = mixed.groupBy("bucket").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a < b").select("bucket")
-    found = found.unionByName(cross_links(materialize(mixed.join(several, "bucket"), "homed"), sets, percent, "home"))
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    shared = materialize(shared.select("bucket", "first"), "shared")
+    maybe = may_be_in(shared.select("bucket"))
+    met = materialize(banded.where(maybe(F.col("bucket"))).join(shared, "bucket"), "met")
+    groups = components(met.select(F.col("node").alias("u"), F.col("first").alias("v")))
+    grouped = materialize(nodes.select("node", "key", "id", "n").join(groups, "node"), "grouped")
+    whole = grouped.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens")).select("root", (_parts("nodes", "tokens") == 1).alias("whole"))
+    asked = materialize(grouped.join(whole, "root"), "asked")
+    found = group_links(whole_sets(docs, asked.where("whole"), id_col, text_col, k), percent)
+    large = asked.where("NOT whole")
+    if not large.isEmpty():
+        sets = once(materialize(whole_sets(docs, large, id_col, text_col, k).select("node", "n", "tokens"), "found"))
+        spread = materialize(met.drop("first").join(large.select("node"), "node"), "spread")
+        found = found.unionByName(large_group_links(spread, sets, percent))
     roots = nodes.select("key", "node").join(components(found), "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     rooted = materialize(own.select("id", "n", "key").join(materialize(roots, "roots"), "key", "left"), "rooted")
     least = materialize(rooted.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id")), "least")

@@ -121,3 +121,26 @@ def test_whole_query(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((tuple(r) for r in queries.queries()["op13_minhash"](spark, str(tmp_path)).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_sets_of_groups_that_fit_move_once(spark, monkeypatch):
+    """Texts that share many buckets, linked or not, are compared in one cell of their group."""
+    moved, verified = [], minhash._verified
+
+    def watched(rows, percent):
+        moved.extend(r.node for r in rows.select("node").collect())
+        return verified(rows, percent)
+
+    monkeypatch.setattr(minhash, "_verified", watched)
+    rows = corpus(5)
+    assert answer(spark, rows) == brute(rows)
+    assert len(moved) > 300 and len(moved) == len(set(moved))
+
+
+def test_equal_rows_of_one_identifier(spark, monkeypatch):
+    words = [[f"{x}{i}" for i in range(40)] for x in "ab"]
+    rows = [(g if n else None, " ".join(words[g] + ["end"] * n)) for g in (0, 1) for n in range(4) for _ in range(3)]
+    want = brute(rows)
+    assert answer(spark, rows) == want and len({r[2] for r in want}) == 2
+    monkeypatch.setattr(minhash, "PART_NODES", 2)
+    assert answer(spark, rows) == want
