@@ -40,8 +40,8 @@ from examweft.llm.common import map_batches, materialize, shuffle_partitions, wh
 from examweft.llm.graph import components
 
 WORDS, PERCENT = 5, 75
-#: Text bytes hashed at a time, shingles in a bucket, shingles and nodes of a part.
-STRETCH, BUCKET, PART_TOKENS, PART_NODES = 1 << 22, 2_000_000, 250_000, 128
+#: Text bytes hashed at a time (some 40 bytes of memory each), shingles in a bucket (some 100), shingles and nodes of a part.
+STRETCH, BUCKET, PART_TOKENS, PART_NODES = 1 << 20, 1_000_000, 250_000, 128
 #: DivideSkip's weight of a long list's length against the number of lists that are set aside.
 MU = 0.01
 

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
@@ -195,3 +196,16 @@ def test_graph(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: v for k, v in parent.items() if k in got} and len(got) >= 100
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_hashing_holds_little_at_a_time():
+    """Executors run a worker a core beside the JVM: a batch of 8 MB of texts may not take twenty times its size."""
+    texts = [b" ".join(b"w%d" % (i * j % 9973) for j in range(1200)) for i in range(1, 1200)]
+    assert sum(map(len, texts)) > 6 << 20
+    tracemalloc.start()
+    try:
+        for _ in jaccard.shingle_sets(texts):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
