@@ -9,7 +9,8 @@
 4. Rounds of parts: each node goes to one bucket, the largest that it is in, with its whole set. A bucket is cut into parts of bounded
    size by a hash; each part has the bucket's first node too, and all that link in a part are joined. Sets move once each.
    Then only buckets go on that hold several components yet (of equal ones, one), in parts dealt anew, until a round
-   joins few: a large group of near copies is one component after some rounds, without its pairs.
+   joins few: a large group of near copies is one component after some rounds, without its pairs. A node carries its
+   buckets, so that a round looks its component up once and not once for each bucket.
 5. What is left is compared whole, first within each node's largest bucket, then in all its other buckets but for pairs that
    have met: nodes of the largest side of a bucket meet the others, part by part, and the others meet each other. Pairs
    that are joined already aren't compared again.
@@ -198,10 +199,14 @@ def _dealt(parts: Column) -> Column:
     return F.pmod(F.xxhash64("node"), parts)
 
 
-def homes_of(met: DataFrame) -> DataFrame:
-    """``met`` with one bucket for each node, the one that most nodes are in."""
-    sizes = met.groupBy("bucket").agg(F.count("*").alias("size"))
-    homes = met.join(sizes, "bucket").groupBy("node").agg(F.max(F.struct("size", "bucket"))["bucket"].alias("bucket"), F.max("n").alias("n"), F.max("known").alias("known"))
+def in_buckets(named: DataFrame) -> DataFrame:
+    """``named`` (node, n, buckets, ...) with a row for each bucket of a node: bucket and size instead of buckets."""
+    return named.withColumn("b", F.explode("buckets")).select("b.*", *(c for c in named.columns if c != "buckets"))
+
+
+def homes_of(rows: DataFrame) -> DataFrame:
+    """One bucket for each node of ``rows`` (bucket, size, node, n, known), the one that most nodes are in."""
+    homes = rows.groupBy("node").agg(F.max(F.struct("size", "bucket"))["bucket"].alias("bucket"), F.max("n").alias("n"), F.max("known").alias("known"))
     return materialize(homes, "homes")
 
 
@@ -211,9 +216,8 @@ def group_links(sets: DataFrame, percent: int) -> DataFrame:
     return materialize(_verified(sets.select(*cell, "node", F.col("node").alias("known"), "n", "tokens", F.lit("a").alias("role")), percent), "group")
 
 
-def part_links(met: DataFrame, sets: DataFrame, percent: int, number: int) -> DataFrame:
-    """(u, v): links of nodes (bucket, node, n, known) within the parts of their largest buckets; ``number`` deals the parts anew."""
-    homes = homes_of(met)
+def part_links(homes: DataFrame, sets: DataFrame, percent: int, number: int) -> DataFrame:
+    """(u, v): links of nodes (node, bucket, n, known) within the parts of their buckets; ``number`` deals the parts anew."""
     kept = homes.groupBy("bucket").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens"), F.min(F.struct("node", "known")).alias("first")).where("nodes > 1")
     kept = materialize(kept.select("bucket", "first", _parts("nodes", "tokens").alias("parts")), "kept")
     own = homes.join(kept, "bucket").select("bucket", F.pmod(F.xxhash64("node", F.lit(number)), F.col("parts")).alias("x"), "node", "known")
@@ -223,23 +227,29 @@ def part_links(met: DataFrame, sets: DataFrame, percent: int, number: int) -> Da
     return materialize(_verified(rows, percent), "part")
 
 
-def still_mixed(met: DataFrame, found: DataFrame) -> DataFrame:
-    """``met`` with the components ``known`` after the links ``found``: the buckets that hold several, of equal ones one."""
+def named_by(spread: DataFrame, found: DataFrame) -> DataFrame:
+    """``spread`` (node, n, buckets) with the components ``known`` after the links ``found``; a node is looked up once, whatever
+    the number of its buckets."""
     groups = components(found).select("node", F.col("root").alias("known"))
-    named = materialize(met.join(groups, "node", "left").withColumn("known", F.coalesce("known", "node")), "named")
-    whole = named.groupBy("bucket").agg(F.min("known").alias("a"), F.max("known").alias("b"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("size")).where("a < b")
-    once = materialize(whole.groupBy("sum", "size").agg(F.min("bucket").alias("bucket")).select("bucket"), "once")
-    return materialize(named.join(once, "bucket"), "mixed")
+    return materialize(spread.join(groups, "node", "left").withColumn("known", F.coalesce("known", "node")), "named")
+
+
+def mixed_buckets(rows: DataFrame) -> DataFrame:
+    """(bucket): of ``rows`` (bucket, size, node, known) the buckets that hold several components; of equal ones one."""
+    whole = rows.groupBy("bucket").agg(F.min("known").alias("a"), F.max("known").alias("b"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.any_value("size").alias("size")).where("a < b")
+    return materialize(whole.groupBy("sum", "size").agg(F.min("bucket").alias("bucket")).select("bucket"), "once")
 
 
-def cross_links(mixed: DataFrame, sets: DataFrame, percent: int, group: str) -> DataFrame:
-    """(u, v): the links that join components of each bucket, but for pairs of one ``group``, a column of ``mixed`` (bucket, node, n, known)."""
-    mixed = mixed.withColumn("side", F.col(group))
-    shares = mixed.groupBy("bucket", "side").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens"))
-    sums = shares.groupBy("bucket").agg(F.max_by(F.struct("side", "nodes", "tokens"), F.struct("nodes", "side")).alias("most"), F.sum("nodes").alias("nodes"), F.sum("tokens").alias("tokens"))
+def cross_links(rows: DataFrame, once: DataFrame, sets: DataFrame, percent: int, group: str) -> DataFrame:
+    """(u, v): the links that join components of each bucket of ``once``, but for pairs of one ``group``, a column of ``rows``
+    (bucket, node, n, known). Rows of other buckets, and of those with one group only, have nothing to meet and go no further."""
+    rows = rows.withColumn("side", F.col(group))
+    shares = rows.groupBy("bucket", "side").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens"))
+    sums = shares.groupBy("bucket").agg(F.count("*").alias("sides"), F.max_by(F.struct("side", "nodes", "tokens"), F.struct("nodes", "side")).alias("most"), F.sum("nodes").alias("nodes"), F.sum("tokens").alias("tokens"))
+    sums = sums.where("sides > 1").join(once, "bucket")
     sums = sums.select("bucket", F.col("most.side").alias("most"), _parts("most.nodes", "most.tokens").alias("large"), (F.col("nodes") - F.col("most.nodes")).alias("nodes"), (F.col("tokens") - F.col("most.tokens")).alias("tokens"))
     sums = materialize(sums.select("bucket", "most", "large", _parts("nodes", "tokens").alias("rest")), "sums")
-    rows = mixed.join(sums, "bucket").withColumn("inside", F.col("side") == F.col("most"))
+    rows = rows.join(sums, "bucket").withColumn("inside", F.col("side") == F.col("most"))
     rows = rows.withColumn("here", _dealt(F.when(F.col("inside"), F.col("large")).otherwise(F.col("rest"))))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     cell = lambda x, y, role: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), role.alias("role"))
@@ -252,21 +262,23 @@ def cross_links(mixed: DataFrame, sets: DataFrame, percent: int, group: str) ->
     return materialize(_verified(places.join(sets, "node").select("bucket", "x", "y", "node", "known", "n", "tokens", "role"), percent), "cross")
 
 
-def large_group_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links that join all that is linked in groups of any size; ``met`` (bucket, node, n) and ``sets`` (node, n, tokens) have their nodes."""
-    mixed, found, number = met.withColumn("known", F.col("node")), None, 0
+def large_group_links(spread: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links that join all that is linked in groups of any size; ``spread`` (node, n, buckets) and ``sets`` (node, n, tokens) have their nodes."""
+    homes, found, number = homes_of(in_buckets(spread.withColumn("known", F.col("node")))), None, 0
     while True:
-        new = part_links(mixed, sets, percent, number)
+        new = part_links(homes, sets, percent, number)
         found, number = new if found is None else found.unionByName(new), number + 1
-        mixed = still_mixed(met, found)
-        if new.count() * AGAIN < mixed.select("node").distinct().count() or number > 1 and new.isEmpty():
+        rows = in_buckets(named_by(spread, found))
+        once = mixed_buckets(rows)
+        homes = homes_of(rows.join(once, "bucket"))
+        if new.count() * AGAIN < homes.count() or number > 1 and new.isEmpty():
             break
-    homes = homes_of(mixed)
-    found = found.unionByName(cross_links(homes, sets, percent, "known"))
-    mixed = still_mixed(met, found).join(homes.select("node", F.col("bucket").alias("home")), "node", "left")
-    mixed = materialize(mixed.withColumn("home", F.coalesce("home", "bucket")), "homed")
-    several = mixed.groupBy("bucket").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a < b").select("bucket")
-    return found.unionByName(cross_links(materialize(mixed.join(several, "bucket"), "homed"), sets, percent, "home"))
+    found = found.unionByName(cross_links(homes, once, sets, percent, "known"))
+    named = named_by(spread, found)
+    once = mixed_buckets(in_buckets(named))
+    # Nodes of buckets that are still mixed have a home; other buckets aren't asked for.
+    homed = materialize(named.join(homes.select("node", F.col("bucket").alias("home")), "node"), "homed")
+    return found.unionByName(cross_links(in_buckets(homed), once, sets, percent, "home"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -282,8 +294,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = own.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.any_value("bands").alias("bands"))
     nodes = materialize(each.withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    shared = materialize(shared.select("bucket", "first"), "shared")
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size")).where("first < last")
+    shared = materialize(shared.select("bucket", "first", "size"), "shared")
     maybe = may_be_in(shared.select("bucket"))
     met = materialize(banded.where(maybe(F.col("bucket"))).join(shared, "bucket"), "met")
     groups = components(met.select(F.col("node").alias("u"), F.col("first").alias("v")))
@@ -294,7 +306,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = asked.where("NOT whole")
     if not large.isEmpty():
         sets = once(materialize(whole_sets(docs, large, id_col, text_col, k).select("node", "n", "tokens"), "found"))
-        spread = materialize(met.drop("first").join(large.select("node"), "node"), "spread")
+        own_buckets = F.collect_list(F.struct("size", "bucket")).alias("buckets")  # one for each band at most
+        spread = materialize(met.join(large.select("node"), "node").groupBy("node").agg(F.max("n").alias("n"), own_buckets), "spread")
         found = found.unionByName(large_group_links(spread, sets, percent))
     roots = nodes.select("key", "node").join(components(found), "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     rooted = materialize(own.select("id", "n", "key").join(materialize(roots, "roots"), "key", "left"), "rooted")

@@ -144,3 +144,20 @@ def test_equal_rows_of_one_identifier(spark, monkeypatch):
     assert answer(spark, rows) == want and len({r[2] for r in want}) == 2
     monkeypatch.setattr(minhash, "PART_NODES", 2)
     assert answer(spark, rows) == want
+
+
+def test_rounds_look_up_each_node_once(spark, monkeypatch):
+    """In groups larger than a cell a node takes one row of the joins by node, whatever the number of its buckets."""
+    seen, write = [], minhash.materialize
+
+    def watched(df, name, **options):
+        out = write(df, name, **options)
+        if name in ("named", "homed"):
+            seen.append([r.node for r in out.select("node").collect()])
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", watched)
+    monkeypatch.setattr(minhash, "PART_NODES", 7)
+    rows = corpus(11)
+    assert answer(spark, rows) == brute(rows)
+    assert len(seen) >= 3 and all(len(nodes) == len(set(nodes)) > 0 for nodes in seen)
