@@ -267,15 +267,19 @@ def large_group_links(spread: DataFrame, sets: DataFrame, percent: int) -> DataF
     homes, found, number = homes_of(in_buckets(spread.withColumn("known", F.col("node")))), None, 0
     while True:
         new = part_links(homes, sets, percent, number)
+        if number and new.isEmpty():  # nothing that follows from the links has changed
+            break
         found, number = new if found is None else found.unionByName(new), number + 1
-        rows = in_buckets(named_by(spread, found))
-        once = mixed_buckets(rows)
-        homes = homes_of(rows.join(once, "bucket"))
-        if new.count() * AGAIN < homes.count() or number > 1 and new.isEmpty():
+        named = named_by(spread, found)
+        once = mixed_buckets(in_buckets(named))
+        homes = homes_of(in_buckets(named).join(once, "bucket"))
+        if new.count() * AGAIN < homes.count():
             break
-    found = found.unionByName(cross_links(homes, once, sets, percent, "known"))
-    named = named_by(spread, found)
-    once = mixed_buckets(in_buckets(named))
+    new = cross_links(homes, once, sets, percent, "known")
+    if not new.isEmpty():
+        found = found.unionByName(new)
+        named = named_by(spread, found)
+        once = mixed_buckets(in_buckets(named))
     # Nodes of buckets that are still mixed have a home; other buckets aren't asked for.
     homed = materialize(named.join(homes.select("node", F.col("bucket").alias("home")), "node"), "homed")
     return found.unionByName(cross_links(in_buckets(homed), once, sets, percent, "home"))

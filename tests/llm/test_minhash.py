@@ -161,3 +161,14 @@ def test_rounds_look_up_each_node_once(spark, monkeypatch):
     rows = corpus(11)
     assert answer(spark, rows) == brute(rows)
     assert len(seen) >= 3 and all(len(nodes) == len(set(nodes)) > 0 for nodes in seen)
+
+
+def test_rounds_without_links_change_nothing(spark, monkeypatch):
+    """Texts that share a passage and aren't linked: components are named once, not again for each step that finds no link."""
+    names, write = [], minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df, name, **options: names.append(name) or write(df, name, **options))
+    monkeypatch.setattr(minhash, "PART_NODES", 7)
+    passage = [f"p{i}" for i in range(120)]
+    rows = [(i, " ".join(passage + [f"x{i}_{j}" for j in range(40 + i % 20)])) for i in range(60)]
+    assert answer(spark, rows) == brute(rows)
+    assert "cross" in names and names.count("named") == 1
