@@ -37,6 +37,30 @@ def test_throttle(spark, tmp_path):
     assert {(r.task_id, r.ms - 1000) for r in out.collect()} == PASSED
 
 
+def test_throttle_before_1970_and_without_times(spark, tmp_path):
+    """Times before 1970 are divided as SQL does and aren't late; a null says nothing for an event."""
+    rows = [("a", ms, tok, 90) for ms, tok in ((-200, 1), (-150, 2), (-120, 3), (-90, 90), (0, 4), (None, 5), (None, 95))] + [("b", None, None, 90), ("b", None, 1, 90)]
+    df = spark.createDataFrame(rows, progress.EVENT)
+    want = {("a", -200, 1), ("a", -120, 3), ("a", -90, 90), ("a", 0, 4), ("a", None, 95), ("b", None, 1)}
+    assert {r[:3] for r in progress.throttle(df).collect()} == want
+    out = drain(progress.throttle_stream(stream(spark, tmp_path, df)), "early")
+    assert {r[:3] for r in out.collect()} == want
+
+
+def test_throttle_queries_equal_their_sql_before_1970(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    at = lambda n: dt.datetime(1969, 12, 1) + dt.timedelta(hours=7 * n)
+    rows = [(n, at(n), n % 3, "view", float(n * 37 % 120), "{}") for n in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("throttled", "streamed_throttle"):
+        want = sorted(con.sql(entry.oracle_sql()[name]).fetchall())
+        assert sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect())) == want and want[0][1] < 0, name
+
+
 UPDATE = "task_id string, seq long, ts timestamp, status string, progress int, message string, error string"
 at_minute = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
 
