@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,7 +55,17 @@ def strip_markdown(x: Column) -> Column:
     return strip(out)
 
 
-def section_title(text: Column, ordinal: Column) -> Column:
+#: Characters whose upper case is longer than one, and their capitals of one.
+_CAPITALS = ("ßᾀᾁᾂᾃᾄᾅᾆᾇᾐᾑᾒᾓᾔᾕᾖᾗᾠᾡᾢᾣᾤᾥᾦᾧᾳῃῳ", "ẞᾈᾉᾊᾋᾌᾍᾎᾏᾘᾙᾚᾛᾜᾝᾞᾟᾨᾩᾪᾫᾬᾭᾮᾯᾼῌῼ")
+
+
+def upper_by_character(x: Column) -> Column:
+    """Upper case as SQL has it, a character for a character: what has no such capital stays, and ß is ẞ (``upper`` makes it SS)."""
+    one = lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(F.translate(c, *_CAPITALS))
+    return F.when(F.length(F.upper(x)) == F.length(x), F.upper(x)).otherwise(F.array_join(F.transform(F.split(x, ""), one), ""))
+
+
+def section_title(text: Column, ordinal: Column, upper: Callable[[Column], Column] = F.upper) -> Column:
     """A heading for a section: its PART or SECTION number, else a short first line, else ``Section n``."""
 
     def found(word: str) -> Column:
@@ -61,7 +73,7 @@ def section_title(text: Column, ordinal: Column) -> Column:
 
     first = F.try_element_at(F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != ""), F.lit(1))
     short = F.when((F.length(first) < 20) & ~F.rlike(first, F.lit("(?i)directions|in the|read the")), first)
-    return F.coalesce(F.upper(F.coalesce(found("PART"), found("SECTION"), short)), F.concat(F.lit("Section "), ordinal.cast("string")))
+    return F.coalesce(upper(F.coalesce(found("PART"), found("SECTION"), short)), F.concat(F.lit("Section "), ordinal.cast("string")))
 
 
 def gap_count(x: Column) -> Column:

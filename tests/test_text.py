@@ -72,3 +72,16 @@ def test_small_ones(spark):
     assert [tuple(r) for r in values(spark, lambda c: X.batch_ranges(c.cast("int"), F.lit(3)), "7")[0]] == [(0, 3), (3, 6), (6, 7)]
     assert values(spark, lambda c: X.batch_ranges(c.cast("int"), F.lit(3)), "0") == [[]]
     assert values(spark, X.lines, "a\r\nb\x85c\n") == [re.split("x", "axbxc")]
+
+
+def test_section_titles_in_capitals_of_the_sql(spark, tmp_path):
+    """The operator writes ß as the original does, the query as its SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    texts = ["Zutz. Dem er erßch.", "einü ßbe", "ŉ ǰ ﬁ ΐ ᾳ ÿ", "😀 ß x", "part ii ß", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = duckdb.sql(entry.oracle_sql()["section_titles"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")).fetchall()
+    got = entry.queries()["section_titles"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and (0, "ZUTZ. DEM ER ERẞCH.") in want
+    assert values(spark, lambda c: X.section_title(c, F.lit(1)), "einü ßbe") == ["EINÜ SSBE"]
