@@ -179,21 +179,19 @@ def progress_events(spark: SparkSession, urls: list[str], stream: bool = False,
 def frames_of_chunks(chunks: DataFrame) -> DataFrame:
     """(stream, number, value): the frames of recorded chunks (stream, seq, data binary), cut anywhere, parts of a character included.
 
-    A chunk is cut at blank lines; whether one begins at its start depends on the last byte of the chunk before. What
-    is numbered over a whole stream is a small row for each chunk; pieces of a frame are gathered by frame. Empty chunks
-    count for nothing; what no blank line ends is no frame.
+    A chunk is cut at blank lines; whether one begins at its start depends on the last byte of the chunk before. Chunks are
+    dealt by stream once, and numbered and gathered by frame where they are: without a join, whose sides Spark would take for as
+    small as what they are cut out of and broadcast. Empty chunks count for nothing; what no blank line ends is no frame.
     """
     text = F.decode("data", "ISO-8859-1")  # a character for each byte
     full = chunks.where(F.length("data") > 0).select("stream", "seq", text.alias("text"))
-    cuts = lambda x: F.size(F.split(x, "\n\n+")) - 1
-    small = full.select("stream", "seq", (F.right("text", F.lit(1)) == "\n").alias("ends"), cuts(F.col("text")).alias("alone"), cuts(F.concat(F.lit("\n"), "text")).alias("after"))
     order = Window.partitionBy("stream").orderBy("seq")
-    small = small.withColumn("follows", F.coalesce(F.lag("ends").over(order), F.lit(False)))
-    own = F.when(F.col("follows"), F.col("after")).otherwise(F.col("alone"))
-    small = small.withColumn("before", F.coalesce(F.sum(own).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = full.join(small.select("stream", "seq", "follows", "before"), ["stream", "seq"])
+    follows = F.coalesce(F.lag(F.right("text", F.lit(1)) == "\n").over(order), F.lit(False))
     parts = F.split(F.when(F.col("follows"), F.concat(F.lit("\n"), "text")).otherwise(F.col("text")), "\n\n+")
-    pieces = joined.select("stream", "seq", "before", "follows", F.posexplode(parts).alias("at", "piece"), F.size(parts).alias("parts"))
+    cut = full.withColumn("follows", follows).select("stream", "seq", "follows", parts.alias("parts"))
+    before = F.sum(F.size("parts") - 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = cut.withColumn("before", F.coalesce(before, F.lit(0)))
+    pieces = numbered.select("stream", "seq", "before", "follows", F.posexplode("parts").alias("at", "piece"), F.size("parts").alias("parts"))
     # The line end that was put before a chunk goes again where no blank line took it.
     piece = F.when(F.col("follows") & (F.col("at") == 0) & F.startswith("piece", F.lit("\n")), F.substr("piece", F.lit(2))).otherwise(F.col("piece"))
     pieces = pieces.select("stream", (F.col("before") + F.col("at")).alias("number"), (F.col("at") < F.col("parts") - 1).alias("ended"), F.struct("seq", piece.alias("piece")).alias("p"))

@@ -150,3 +150,13 @@ def test_log_files(spark, tmp_path):
     named.log_files(rows.withColumn("folder", sinks.request_folder()), str(tmp_path / "log"))
     got = {r.name: bytes(r.content) for r in named.read_named(spark, str(tmp_path / "log")).collect()}
     assert got == {f"req_20240506_070809_abcdefgh--{n}": c for n, c in (("annotated.xml", b"<p>"), ("tags.conll", b"a\tO"), ("metadata.json", b"{}"))}
+
+
+def test_recorded_chunks_are_never_broadcast(spark):
+    """Chunks cut out of a small table are many: no side of them may go through the driver, whatever size Spark guesses."""
+    frames = spark.range(50).select((F.col("id") % 3).alias("stream"), "id", F.encode(F.concat(F.lit("data: é"), F.col("id").cast("string"), F.lit("\n\n")), "utf-8").alias("data"))
+    pieces = F.transform(F.sequence(F.lit(1), F.length("data"), F.lit(2)), lambda p: F.substring(F.col("data"), p, F.lit(2)))
+    cut = frames.select("stream", "id", F.posexplode(pieces).alias("at", "data")).select("stream", (F.col("id") * 1000 + F.col("at")).alias("seq"), "data")
+    found = requests.frames_of_chunks(cut)
+    assert {r.value.strip("\n") for r in found.collect()} == {f"data: é{n}" for n in range(50)}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
