@@ -157,3 +157,23 @@ def test_every_document_is_continued(spark, tmp_path):
 
     got = {r.doc_id: r.second_offset for r in QUERIES["continuation_offsets"](spark, str(tmp_path)).collect()}
     assert got == {i: want(t) for i, t in enumerate(texts)} and any(v != len(texts[i]) // 2 for i, v in got.items())
+
+
+def test_token_sums_are_those_of_the_tokens(spark):
+    """The same as by rows, without moving any."""
+    texts = ["a b, $x y$ é😀\u2003z", "", None, " \x1c\n", "<|page|>Page 12 w", "$$a\nb$$", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    sums = tokens.token_sums(docs)
+    rows = tokens.tokens(docs).groupBy("doc_id").agg(F.count("*"), F.sum("start"), F.sum("end"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda t: t["tok"]))
+    got = sorted((tuple(r) for r in sums.collect()), key=lambda r: r[0])
+    assert got == sorted((tuple(r) for r in rows.collect()), key=lambda r: r[0]) and [r[0] for r in got] == [0, 4, 5, 6]
+    assert "Exchange" not in sums._jdf.queryExecution().executedPlan().toString()
+
+
+def test_label_vocabulary_moves_no_text_of_tokens(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(1, "<p>a b</p> c"), (2, "<h1>d</h1>"), (3, "")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    df = entry.queries()["label_vocabulary"](spark, str(tmp_path))
+    assert {r.tag: r.n_tokens for r in df.collect() if r.n_tokens} == {"B-p": 1, "I-p": 1, "O": 1, "B-h1": 1} and df.count() == 15
+    assert " AS tok" not in df._jdf.queryExecution().optimizedPlan().toString()
