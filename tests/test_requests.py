@@ -188,7 +188,8 @@ def test_queries_of_files_list_none_on_the_driver(spark, tmp_path):
 
     spark.range(1, 200).selectExpr("id AS p_partkey", "concat('Part ', id) AS p_name").write.parquet(str(tmp_path / "part.parquet"))
     spark.range(1, 200).selectExpr("id AS c_custkey", "concat('c', id) AS c_name", "'s' AS c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
-    for name, n in (("example_image_pairs", 149), ("pdf_pages", 2 * 196 + 3)):
+    spark.range(5).selectExpr("id AS page_id", "concat('<p>a ', id, '</p>') AS html").write.parquet(str(tmp_path / "pages.parquet"))
+    for name, n in (("example_image_pairs", 149), ("pdf_pages", 2 * 196 + 3), ("exported_files", 10)):
         df = entry.queries()[name](spark, str(tmp_path))
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert df.count() == n and "named_files" in plan and not any(x in plan for x in ("binaryFile", "Relation [value", "Relation [path")), name
