@@ -144,3 +144,14 @@ def test_routing(spark, provider, model, primary, gateway, chat, annotator, targ
     args = [F.col(c) for c in "pmab"]
     r = df.select(chat_endpoint(*args).alias("c"), annotator_endpoint(*args).alias("x"), target_model(chat_endpoint(*args), F.col("m")).alias("t")).first()
     assert tuple(r) == (chat, annotator, target)
+
+
+def test_markup_is_read_without_joins(spark):
+    """One shuffle, of blocks; passages of one name change from question to question."""
+    text = "Title: t\n[Stimulus]\nId: s\none\n[Question]\nRefer: s\n1. a\n[Stimulus]\nId: s\ntwo\n[Question]\nRefer: s\n2. b\nGrade: g\n[Question]\n\n[Question]\nRefer: x\n3. c"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "Duration: 7")], "doc_id int, text string")
+    parsed = markup.parse_markup(docs)
+    got = {r.doc_id: (r.title, r.grade, r.duration_minutes, [(q.stem, q.stimulus_text) for q in r.questions]) for r in parsed.collect()}
+    assert got[1] == ("t", "g", 45, [("a", "one"), ("b", "two"), ("c", "")]) and got[4][2:] == (7, []) and got[2][3] == [] and set(got) == {1, 2, 4}
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert "MergeJoin" not in plan and "HashJoin" not in plan
